@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import licenses, packing, quality, spm, tokenout, toxicity
+from tessera.llm import kmtree, licenses, near_dup, packing, quality, spm, tokenout, toxicity, url_filter, vafile, vectors
 from tessera.llm.common import scratch
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -52,6 +52,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model)
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), end_id=1, capacity=2048)
 
@@ -60,6 +64,22 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_BPE))
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, keep, copy of every document."""
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
+def op6_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = vectors.finite(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    whole = good.select("id", F.transform("v", lambda x: F.floor(F.lit(256.0) * x).cast("double")).alias("v"))
+    return vafile.search(whole, whole.filter("id % 50 = 0"), k=5)
+
+
+def op7_kmtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = vectors.finite(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return kmtree.search(good, good.filter("id % 50 = 0"), k=5)
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -81,13 +101,33 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_urls": op2_urls,
         "op3_packing": op3_packing,
         "op4_sentencepiece": op4_sentencepiece,
+        "op5_near_dup": op5_near_dup,
+        "op6_vafile": op6_vafile,
+        "op7_kmtree": op7_kmtree,
         "op8_licenses": op8_licenses,
         "op9_toxicity": op9_toxicity,
         "op10_tokens": op10_tokens,
     }
 
 
+#: Inner products of floor(256 x) in DuckDB; ties to the smaller id.
+OP6_SQL = """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM good q JOIN good c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_vafile": OP6_SQL}

@@ -25,9 +25,12 @@ def keyword_token(c: Column) -> Column:
 
 
 def ngram_tokens(least: int, most: int) -> Step:
+    def of_size(c: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(c) - n + 1)
+        return F.when(F.length(c) >= n, F.transform(starts, lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
     def grams(c: Column) -> Column:
-        size = F.length(c)
-        by_size = [F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i, n=n: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(least, most + 1)]
+        by_size = [of_size(c, n) for n in range(least, most + 1)]
         return F.when(c.isNotNull(), F.concat(*by_size) if len(by_size) > 1 else by_size[0])
 
     return grams

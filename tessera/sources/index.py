@@ -40,7 +40,7 @@ class Index:
         prefix = Config.prefix if prefix is None else prefix
         self.base = name
         self.name = "_".join(p for p in (prefix, name, suffix) if p)
-        self.mapping, self.source, self.source_id, self._frame = mapping or IndexMapping(), source, source_id, frame
+        self.mapping, self._source, self.source_id, self._frame = mapping or IndexMapping(), source, source_id, frame
         self.id_column = id_column if frame is not None else "_id"
         self.settings = {**Config.index, **(settings or {})}
         self.scopes, self.agg_definitions = dict(scopes or {}), dict(aggs or {})
@@ -104,9 +104,9 @@ class Index:
         return self.store.read()
 
     def source_rows(self) -> DataFrame:
-        if self.source is None:
+        if self._source is None:
             return self.documents()
-        return self.source()
+        return self._source()
 
     def compose(self, rows: DataFrame, fields: list[str] | None = None) -> DataFrame:
         return self.mapping.compose(rows, fields)

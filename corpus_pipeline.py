@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import packing, quality, toxicity
 from tessera.llm.common import save
-from tessera.llm.queries import BYTE_BPE, graded, table, tokenizer_path, toxic_labelled
+from tessera.llm.queries import BYTE_BPE, graded, may_learn, table, tokenizer_path
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ordinal quality classifier: documents that don't reach the middle grade by even odds go."""
-    return quality.keep_good(docs, quality.fit(graded(docs, table(spark, sf_dir, "labels"))))
+    return quality.keep_good(docs, quality.fit(docs, graded(table(spark, sf_dir, "labels"))))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity: documents whose score gets to 0.7 go."""
-    return toxicity.keep_clean(docs, toxicity.fit(toxic_labelled(docs, table(spark, sf_dir, "labels"))))
+    return toxicity.keep_clean(docs, toxicity.fit(docs, may_learn(table(spark, sf_dir, "labels"))))
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

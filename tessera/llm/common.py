@@ -63,9 +63,9 @@ def word_bytes(text: str | None) -> list[bytes]:
 
 
 def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
-    """About `most` rows, never above twice as many, picked by a hash of `key`: the same rows on each call."""
+    """At most about `most` rows (a hard limit is twice as many), picked by a hash of `key`: the same on each call."""
     n = df.count()
-    step = max(1, n // max(1, most))
+    step = max(1, -(-n // max(1, most)))
     if step > 1:
         df = df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(step)) == 0)
     return df.limit(2 * most)

@@ -5,8 +5,8 @@ t_0 < t_1 < ...; x is the mean over a text's tokens (white space separates them)
 itself, its shape, and whether it repeats its left neighbour. Expected grade and the probability of reaching a
 grade follow; the latter selects.
 
-The model is fitted on a bounded, documented sample of rated rows (`most` for each grade at about, picked by a hash
-of their ids); weights travel to workers as one array of `buckets` floats. Every document is scored.
+The model is fitted on a bounded, documented sample of rated rows (at most about `most` for each grade, picked by a
+hash of their ids); weights travel to workers as one array of `buckets` floats. Every document is scored.
 
 Nulls and edge cases: a null or empty text has no tokens; its score is what the model gives to none (x = 0). Ratings
 that are null or of unknown documents aren't used. One single grade among the ratings, or none, gives a model that
@@ -81,7 +81,7 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, bu
     if len(values) < 2:
         return OrdinalModel(np.zeros(buckets), np.array([-60.0]), [*(values.tolist() or [0.0]), (values.max() if len(values) else 0.0) + 1])
     cols = np.concatenate([r[0] for r in rows])
-    vals = np.concatenate([r[1] for r in rows])
+    vals = np.concatenate([r[1] for r in rows]).astype(float)
     owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     seen = np.bincount(cols, minlength=buckets)
     kept = seen[cols] >= max(4, least * len(rows))
@@ -117,15 +117,21 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, bu
     return OrdinalModel(weights, t, values.tolist())
 
 
-def fit(rated: DataFrame, most: int = 2500, buckets: int = BUCKETS) -> OrdinalModel:
-    """rated: doc_id, text, grade. About `most` rows of each grade are read, never above twice as many."""
-    rated = rated.filter(F.col("grade").isNotNull())
-    grades = [r.grade for r in rated.groupBy("grade").count().collect()]  # one row for each grade
+def fit(docs: DataFrame, ratings: DataFrame, most: int = 2000, buckets: int = BUCKETS) -> OrdinalModel:
+    """docs: doc_id, text; ratings: doc_id, grade. At most about `most` rows of each grade are read.
+
+    The sample is drawn from the ratings; its ids are few and find their texts without a shuffle.
+    """
+    ratings = ratings.filter(F.col("grade").isNotNull())
+    grades = [r.grade for r in ratings.groupBy("grade").count().collect()]  # one row for each grade
     rows, y = [], []
-    memo = Memo(token_buckets, 200_000)
+    memo = Memo(token_buckets, 100_000)
     for g in sorted(grades):
-        for r in bounded_sample(rated.filter(F.col("grade") == g), "doc_id", most).select("text").toLocalIterator():
-            rows.append(features(r.text, memo, buckets))
+        ids = bounded_sample(ratings.filter(F.col("grade") == g).select("doc_id"), "doc_id", most)
+        found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+        for r in found.select("text").toLocalIterator():
+            idx, values = features(r.text, memo, buckets)
+            rows.append((idx.astype(np.int32), values.astype(np.float32)))
             y.append(float(g))
     return fit_ordinal(rows, np.array(y), buckets)
 

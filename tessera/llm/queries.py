@@ -28,10 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, grade: 0 for poor text, 1 for good text that is toxic, 2 for good text that isn't."""
+def graded(labels: DataFrame) -> DataFrame:
+    """doc_id, grade: 0 for poor text, 1 for good text that is toxic, 2 for good text that isn't."""
     grade = F.when(F.col("quality") == 0, 0.0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1.0).when(F.col("quality") == 1, 2.0)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(labels.select("doc_id", grade.alias("grade")), "doc_id")
+    return labels.select("doc_id", grade.alias("grade"))
 
 
 def crc_thirds(doc_id: Column) -> Column:
@@ -39,16 +39,15 @@ def crc_thirds(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def toxic_labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of the rows that may be learned from."""
-    own = labels.filter(crc_thirds(F.col("doc_id")) != 1).select("doc_id", "toxic")
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(own, "doc_id")
+def may_learn(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic of the rows that may be learned from."""
+    return labels.filter(crc_thirds(F.col("doc_id")) != 1).select("doc_id", "toxic")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade, tail probability and decision of every document."""
     docs = table(spark, sf_dir, "documents")
-    model = quality.fit(graded(docs, table(spark, sf_dir, "labels")))
+    model = quality.fit(docs, graded(table(spark, sf_dir, "labels")))
     return quality.classify(docs, model)
 
 
@@ -86,7 +85,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(toxic_labelled(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, may_learn(table(spark, sf_dir, "labels")))
     scored = toxicity.score(docs, model)
     held_out = F.coalesce(crc_thirds(F.col("doc_id")) == 1, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "n_spans", "spans")

@@ -10,7 +10,7 @@ Every whole document is then tagged: forward and backward messages are computed
 by a blocked scan over 2 x 2 matrices. A document's score is its largest marginal of the label "toxic"; spans are
 runs of tokens whose marginal gets to 0.5, with character offsets.
 
-Training reads a bounded, documented sample: about `most` documents of each label, never above twice as many.
+Training reads a bounded, documented sample: at most about `most` documents of each label.
 
 Nulls and edge cases: a null or empty text has no tokens and gets score 0; labels that are null aren't used; without
 any toxic (or any clean) training document every score is 0; repeated rows are scored each; columns beside doc_id
@@ -55,38 +55,53 @@ class Crf:
     trained: bool = True
 
 
-def explain(toxic: list[set[bytes]], clean: list[set[bytes]], least: int = 3) -> set[bytes]:
+def marks_of(word: bytes) -> list[int]:
+    """A token's features as numbers; the last three bits tell a word (7) from prefixes (their length)."""
+    return [zlib.crc32(f) & ~7 | (7 if f[:1] == b"w" else len(f) - 1) for f in token_features(word)]
+
+
+def explain(toxic: list[np.ndarray], clean: list[np.ndarray], least: int = 3) -> set[int]:
     """Features that cover the toxic documents: each adds at least `least` documents (or 1 in 200 of them).
 
-    Candidates occur in toxic documents far above what chance gives for features of clean ones (log-likelihood ratio,
-    and at most 1 in 500 of the clean documents).
+    A document is the array of its distinct features. Candidates occur in toxic documents far above what chance gives
+    for features of clean ones (log-likelihood ratio, and at most 1 in 500 of the clean documents).
     """
-    inside, outside = Counter(f for d in toxic for f in d), Counter(f for d in clean for f in d)
-    n1, n0 = max(1, len(toxic)), max(1, len(clean))
+    if not toxic or not clean:
+        return set()
+    n1, n0 = len(toxic), len(clean)
     least = max(least, n1 // 200)
+    known, inside = np.unique(np.concatenate(toxic), return_counts=True)
+    known, inside = known[inside >= least], inside[inside >= least]
+    outside = np.zeros(len(known), np.int64)
+    for d in clean:
+        at = np.searchsorted(known, d)
+        at = at[at < len(known)]
+        outside += np.bincount(at[known[at] == d[: len(at)]], minlength=len(known)) if len(known) else 0
 
     def surprise(a: int, b: int) -> float:
         """Twice the log-likelihood ratio of a in n1 against b in n0."""
         p = (a + b) / (n1 + n0)
         return 2 * sum(x * math.log(x / (n * q)) for x, n, q in ((a, n1, p), (b, n0, p), (n1 - a, n1, 1 - p), (n0 - b, n0, 1 - p)) if x > 0 and n * q > 0)
 
-    good = {f for f, a in inside.items() if a >= least and outside[f] <= n0 / 500 and surprise(a, outside[f]) >= 6}
-    where: dict[bytes, set[int]] = {}
-    for i, d in enumerate(toxic):
-        for f in d & good:
+    counts = {f: (a, b) for f, a, b in zip(known.tolist(), inside.tolist(), outside.tolist(), strict=True) if b <= n0 / 500 and surprise(a, b) >= 6}
+    good = np.array(sorted(counts), known.dtype)
+    own = [np.intersect1d(d, good, assume_unique=True).tolist() for d in toxic]
+    where: dict[int, set[int]] = {}
+    for i, fs in enumerate(own):
+        for f in fs:
             where.setdefault(f, set()).add(i)
-    chosen: set[bytes] = set()
+    chosen: set[int] = set()
     while where:
         # more documents first; of equals whole words, then longer prefixes
-        f = max(where, key=lambda f: (len(where[f]), f[:1] == b"w", len(f), f))
+        f = max(where, key=lambda f: (len(where[f]), f & 7, f))
         done = where.pop(f)
         if len(done) < least:
             break
         chosen.add(f)
         where = {g: left for g, w in where.items() if (left := w - done)}
     # what these documents also hold, and no clean one, on strong evidence
-    explained = Counter(f for d in toxic if d & chosen for f in d)
-    return chosen | {f for f in good if not outside[f] and explained[f] >= least and surprise(inside[f], 0) >= 20}
+    explained = Counter(f for fs in own if chosen.intersection(fs) for f in fs)
+    return chosen | {f for f, (a, b) in counts.items() if not b and explained[f] >= least and surprise(a, 0) >= 20}
 
 
 def distinct_documents(docs: list[list[bytes]]) -> list[list[bytes]]:
@@ -168,11 +183,12 @@ def train_crf(sequences: list[list[bytes]], labels: list[list[int]], steps: int
 def train(toxic: list[list[bytes]], clean: list[list[bytes]], width: int = 48, windows: int = 2500) -> Crf:
     """toxic, clean: words of the training documents of either label."""
     toxic, clean = distinct_documents(toxic), distinct_documents(clean)
-    of = lambda d: {f for w in set(d) for f in token_features(w)}
+    marks = Memo(marks_of, 100_000)
+    of = lambda d: np.unique(np.array([f for w in set(d) for f in marks[w]], np.int64))
     chosen = explain([of(d) for d in toxic], [of(d) for d in clean])
     if not chosen or not clean:
         return Crf(np.zeros(BUCKETS), -40.0, np.zeros((2, 2)), np.zeros(2), False)
-    bad = Memo(lambda w: int(any(f in chosen for f in token_features(w))), 500_000)
+    bad = Memo(lambda w: int(any(f in chosen for f in marks_of(w))), 100_000)
     rng = np.random.default_rng(7)
     sequences, labels = [], []
     for d in toxic:
@@ -315,11 +331,15 @@ def tagger(model: Crf):
     return tag
 
 
-def fit(labelled: DataFrame, most: int = 2500) -> Crf:
-    """labelled: doc_id, text, toxic. About `most` documents of each label are read."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = 2500) -> Crf:
+    """docs: doc_id, text; labels: doc_id, toxic. At most about `most` documents of each label are read.
+
+    The sample is drawn from the labels; its ids are few and find their texts without a shuffle.
+    """
     words = {}
     for label in (1, 0):
-        rows = bounded_sample(labelled.filter(F.col("toxic") == label), "doc_id", most)
+        ids = bounded_sample(labels.filter(F.col("toxic") == label).select("doc_id"), "doc_id", most)
+        rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
         words[label] = [word_bytes(r.text) for r in rows.select("text").toLocalIterator()]
     return train(words[1], words[0])
 

@@ -6,17 +6,18 @@
    similarity J_P = sum_i 1 / sum_j max(x_j / x_i, y_j / y_i) of the two bags.
 2. Equal word sequences are one class; only its least id goes on.
 3. Signatures are cut into bands; documents that share a band are candidates. Within a bucket, members are compared
-   with a centre (the least id), so a large group costs one comparison a member. Where that leaves more than one
-   component in a bucket, members of different components are compared too: in small buckets with each other. Large
-   buckets (a frequent line in short texts makes them) are refined first: who shares two of them meets in a bucket of
-   both; there again with the centre, in small ones with each other, in large ones centre after centre until none is
-   left. There is no cap. A pair of J_P 0.8 that shares but one band, and that one in a large bucket, is the
-   only kind left out (probability 5e-5; 4e-7 at 0.9).
+   with its hub (whose buckets are the largest: the original of a group of copies), so a large group costs one
+   comparison a member. Where that leaves more than one component in a bucket, members of different components are
+   compared too: in buckets of up to SMALL members all pairs; in larger ones all pairs by signature, in blocks,
+   of which those that agree in LIKELY of the slots go on, and then all members with further hubs as long as that brings
+   links. Limit: two documents of a large bucket that no hub links, and whose signatures agree less than LIKELY, stay
+   apart even if their similarity is at or just above the threshold.
 4. A candidate pair passes if its signatures agree in at least `prune` of the slots (five standard deviations below the
    threshold) and J_P of the two whole texts, computed exactly, gets to the threshold.
-5. Links make components by alternating large-star and small-star steps, each written to the shared folder.
+5. Links make components: a bounded number of them in one task of an executor, more by alternating large-star and
+   small-star steps, each written to the shared folder.
 
-With 24 bands of 4 slots a pair of J_P 0.8 is missed with probability 3e-6.
+With 24 bands of 4 slots a pair of J_P 0.8 shares none with probability 3e-6.
 
 Nulls and edge cases: a null text counts as empty; texts without words are copies of each other; a text of 1 to 4
 words is one shingle; a row without doc_id is a class of its own (class_id null) and stays; of rows with the same
@@ -40,7 +41,8 @@ from tessera.llm.common import save, word_bytes
 SHINGLE, BANDS, ROWS, THRESHOLD, PRUNE = 5, 24, 4, 0.8, 0.6
 SLOTS = BANDS * ROWS
 SMALL = 12  # buckets up to this size compare all members of different components at once
-CENTRES = 8  # centres a round in larger ones
+LIKELY, BLOCK = 0.78, 256  # what larger ones look for; members of a block
+FEW = 500_000  # links that one task may follow
 _U = np.uint64
 _STEP = [_U(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -183,11 +185,46 @@ def _verified(near: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of the links (a, b): the least node of its component. Roots themselves are left out."""
-    edges = save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    """(node, root) of every node of the links (a, b): the least node of its component. Roots themselves are left out.
+
+    Up to FEW links (8 MB of ids, counted first) one task follows them; more are handled by star steps.
+    """
+    links = save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v"), "edges")
+    n = links.count()
+    return _united(links) if n <= FEW else _starred(links) if n else links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _united(links: DataFrame) -> DataFrame:
+    """A bounded number of links, by union and find in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            top = x
+            while (up := root.get(top, top)) != top:
+                top = up
+            while x != top:
+                root[x], x = top, root.get(x, x)
+            return top
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x, y = find(u), find(v)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+        nodes = sorted(root)
+        yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "root"])
+
+    return links.select("u", "v").coalesce(1).mapInArrow(run, "node long, root long").filter("node <> root")
+
+
+def _starred(links: DataFrame) -> DataFrame:
+    """Any number of links, by alternating large-star and small-star steps."""
+    edges = save(links.distinct(), "edges")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(edges)
-    while before[0]:
+    while True:
         # large star: larger neighbours of a node go to the least node around it
         around = edges.select(F.col("v").alias("node"), F.col("u").alias("other")).unionByName(edges.select(F.col("u").alias("node"), F.col("v").alias("other")))
         least = save(around.groupBy("node").agg(F.min("other").alias("least")), "least").select(F.col("node").alias("v"), F.least("least", "node").alias("m"))
@@ -204,14 +241,24 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _buckets(bands: DataFrame) -> DataFrame:
-    """key, rep, centre, n of buckets with more than one member. bands: key, rep."""
-    sizes = save(bands.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1"), "buckets")
-    return save(bands.join(sizes, "key").select("key", "rep", "centre", "n"), "members")
+    """key, rep, n, weight of buckets with more than one member. bands: key, rep.
+
+    weight: the sizes of all buckets that a document is in; the original of a group of copies has the largest.
+    """
+    sizes = save(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    members = save(bands.join(sizes, "key").select("key", "rep", "n"), "members")
+    weights = save(members.groupBy("rep").agg(F.sum("n").alias("weight")), "weights")
+    return save(members.join(weights, "rep").select("key", "rep", "n", "weight"), "members")
+
+
+def _hubs(members: DataFrame) -> DataFrame:
+    """key, centre: each bucket's member of the largest weight; of equals the one with the least id."""
+    return save(members.groupBy("key").agg((-F.max(F.struct("weight", (-F.col("rep")).alias("r")))["r"]).alias("centre")), "hubs")
 
 
 def _split(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members, with their roots, of buckets that hold several components."""
-    marked = save(members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", "centre", "n", F.coalesce("root", "rep").alias("root")), "marked")
+    marked = save(members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", "n", "weight", F.coalesce("root", "rep").alias("root")), "marked")
     several = save(marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"), "several")
     return save(marked.join(several, "key"), "split")
 
@@ -222,28 +269,40 @@ def _small_pairs(split: DataFrame) -> DataFrame:
     return a.join(b, "key").filter("a < b and root_a <> root_b").select("a", "b")
 
 
-def _composites(split: DataFrame) -> DataFrame:
-    """key, rep by pairs of large buckets that a document is in: who shares two bands meets there."""
-    large = split.filter(F.col("n") > SMALL).groupBy("rep").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # at most one a band
-    both = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, BANDS), lambda y: F.xxhash64(x, y))))
-    return large.select("rep", F.explode(both).alias("key"))
+def _hub_pairs(large: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Members of large buckets with the next hub, unless a component holds both."""
+    of = large.join(hubs, "key").filter("rep = centre").select("key", "centre", F.col("root").alias("root_c"))
+    return large.join(save(of, "centres"), "key").filter("root <> root_c").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
 
 
-def _star_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members with their bucket's centre, unless a component holds both."""
-    of = roots.select("node", "root")
-    with_rep = members.filter("rep <> centre").select("rep", "centre").distinct().join(of.select(F.col("node").alias("rep"), F.col("root").alias("x")), "rep", "left")
-    both = with_rep.join(of.select(F.col("node").alias("centre"), F.col("root").alias("y")), "centre", "left")
-    return both.filter(F.coalesce("x", "rep") != F.coalesce("y", "centre")).select(F.col("centre").alias("a"), F.col("rep").alias("b"))
+def _block_pairs(large: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs of different components in large buckets whose signatures agree in LIKELY of the slots.
 
+    Members meet in blocks of about BLOCK, and nothing but these pairs leaves a task.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = large.join(reps.select("rep", "marks"), "rep").select("key", "rep", "root", "marks", blocks.alias("of"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("i"))
+    held = save(placed.groupBy("key", "i").agg(F.max("of").alias("of"), F.collect_list("rep").alias("reps"), F.collect_list("root").alias("roots"), F.collect_list("marks").alias("marks")), "blocks")
+    left = held.select("key", "i", F.explode(F.sequence(F.col("i"), F.col("of") - 1)).alias("j"), F.col("reps").alias("reps_a"), F.col("roots").alias("roots_a"), F.col("marks").alias("marks_a"))
+    right = held.select("key", F.col("i").alias("j"), F.col("reps").alias("reps_b"), F.col("roots").alias("roots_b"), F.col("marks").alias("marks_b"))
 
-def _more_centres(split: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """The next centres of large buckets (one a lane), and the pairs that they make with members of other components."""
-    large = split.filter(F.col("n") > SMALL).withColumn("lane", F.pmod(F.xxhash64("rep"), F.lit(CENTRES)))
-    ahead = large if tried is None else large.join(tried, ["key", "lane"], "left").filter("last is null or rep > last")
-    centres = save(ahead.groupBy("key", "lane").agg(F.min(F.struct("rep", "root")).alias("c")).select("key", "lane", F.col("c.rep").alias("a"), F.col("c.root").alias("root_a")), "centres")
-    pairs = large.join(centres.drop("lane"), "key").filter("rep <> a and root <> root_a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
-    return centres.select("key", "lane", F.col("a").alias("last")), pairs
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [np.zeros((0, 2), np.int64)]
+            for own, ra, ta, ma, rb, tb, mb in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x, y = (np.frombuffer(b"".join(m), np.uint32).reshape(-1, BANDS, ROWS) for m in (ma, mb))
+                ra, rb, ta, tb = (np.array(v) for v in (ra, rb, ta, tb))
+                for k in range(len(x)):
+                    same = x[k][None] == y
+                    near = (same.mean((1, 2)) >= LIKELY) & (tb != ta[k]) & (rb > ra[k] if own else rb != ra[k])
+                    if near.any():
+                        rows = np.flatnonzero(near)
+                        out.append(np.stack([np.minimum(ra[k], rb[rows]), np.maximum(ra[k], rb[rows])], 1))
+            pairs = np.unique(np.concatenate(out), axis=0)
+            yield pa.record_batch([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+
+    met = left.join(right, ["key", "j"]).select((F.col("i") == F.col("j")).alias("own"), "reps_a", "roots_a", "marks_a", "reps_b", "roots_b", "marks_b")
+    return met.mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -254,40 +313,36 @@ def classes(docs: DataFrame) -> DataFrame:
     keys = [F.xxhash64(F.lit(i), F.substring("marks", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)]
     members = _buckets(reps.filter("shingled").select("rep", F.explode(F.array(*keys)).alias("key")))
 
-    # every bucket's members with its centre
-    pairs = members.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    # every bucket's members with its hub
+    hubs = _hubs(members)
+    pairs = members.join(hubs, "key").filter("rep <> centre").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
     links = _verified(_similar(pairs, reps), docs)
     roots = save(components(links), "roots")
 
-    def follow(pairs: DataFrame) -> None:
+    def follow(pairs: DataFrame) -> bool:
+        """Verify more pairs; whether they brought a link."""
         nonlocal links, roots
         more = _verified(_similar(pairs.distinct(), reps), docs)
-        if not more.isEmpty():
-            # links between roots do: what is below them is known
-            of = roots.select("node", "root")
-            at = lambda c: F.coalesce(f"root_{c}", c).alias(c)
-            lifted = more.join(of.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left").select(at("a"), at("b"))
-            links = save(of.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(lifted), "links")
-            roots = save(components(links), "roots")
+        if more.isEmpty():
+            return False
+        links = save(links.unionByName(more), "links")
+        roots = save(components(links), "roots")
+        return True
 
     # buckets that hold several components still
     split = _split(members, roots)
     if not split.isEmpty():
-        shared = _buckets(_composites(split))
-        follow(_small_pairs(split).unionByName(_star_pairs(shared, roots)))
-        tried = None
-        split = _split(shared, roots)
-        if not split.isEmpty():
-            follow(_small_pairs(split))
-        while True:
-            split = _split(shared.filter(F.col("n") > SMALL), roots)
-            if split.isEmpty():
-                break
-            now, pairs = _more_centres(split, tried)
-            if now.isEmpty():
-                break
-            follow(pairs)
-            tried = save(now if tried is None else now.unionByName(tried).groupBy("key", "lane").agg(F.max("last").alias("last")), "tried")
+        large = split.filter(F.col("n") > SMALL)
+        again = not large.isEmpty()
+        pairs = _small_pairs(split)
+        follow(pairs.unionByName(_block_pairs(large, reps)) if again else pairs)
+        tried = hubs
+        while again:
+            # the next hubs, as long as they bring links
+            large = _split(members.filter(F.col("n") > SMALL), roots)
+            hubs = _hubs(large.join(tried, (large["key"] == tried["key"]) & (large["rep"] == tried["centre"]), "left_anti"))
+            again = follow(_hub_pairs(large, hubs))
+            tried = save(tried.unionByName(hubs), "tried")
 
     by_class = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", "rep", F.coalesce("root", "rep").alias("class_id"))
     by_class = save(by_class, "classes")

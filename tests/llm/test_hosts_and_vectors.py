@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import kmtree, url_filter, vafile, vectors
 from tessera.llm.queries import op2_urls, op6_vafile, op7_kmtree
@@ -127,7 +128,7 @@ def usable(df):
 
 def test_vafile_is_exact(spark, odd_vectors):
     good = vectors.finite(odd_vectors, "vec_id", "embedding")
-    whole = good.select("id", __import__("pyspark").sql.functions.expr("transform(v, x -> floor(256 * x))").cast("array<double>").alias("v"))
+    whole = good.select("id", F.expr("transform(v, x -> floor(256 * x))").cast("array<double>").alias("v"))
     rows = vafile.search(whole, whole.filter("id % 50 = 0"), k=5, bits=4, block=32, query_block=3).collect()
     data = [(i, np.floor(256 * v).astype(int)) for i, v in usable(odd_vectors)]
     got = {}

@@ -2,10 +2,12 @@
 
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import licenses, near_dup, quality, toxicity
@@ -103,14 +105,12 @@ def test_crf_learns_planted_words():
     m = toxicity.train(toxic, clean)
     of = lambda d: toxicity.marginals(np.array([m.weights[toxicity.buckets_of(w)].sum() + m.bias for w in d]), np.array([0]), m).max()
     assert np.mean([of(d) >= 0.7 for d in toxic]) > 0.97 and np.mean([of(d) >= 0.7 for d in clean]) < 0.01
-    assert of([b"w1", b"vilexnew", b"w2"]) >= 0.7  # an unseen word with the prefix
+    assert of([b"w1", b"vilexnew", b"w2"]) >= 0.5 > of([b"w1", b"vileness", b"w2"])  # an unseen word with the prefix is a span
 
 
 def test_op9_on_held_out_rows(spark):
     rows = {r.doc_id: r for r in op9_toxicity(spark, SF).collect()}
-    labels = spark.read.parquet(f"{SF}/labels.parquet").withColumn("third", crc_thirds(__import__("pyspark").sql.functions.col("doc_id"))).collect()
-    import zlib
-
+    labels = spark.read.parquet(f"{SF}/labels.parquet").withColumn("third", crc_thirds(F.col("doc_id"))).collect()
     assert all(rows[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in labels)
     held = [(rows[r.doc_id].predicted, r.toxic) for r in labels if r.third == 1]
     assert sum(p for p, t in held if not t) == 0  # 30 toxic rows to learn from: some words aren't among them
@@ -289,7 +289,7 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_dedup", "packing"]
     held, sizes = docs, [docs.count()]
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        held = stage(spark, held, sf).localCheckpoint() if False else spark.createDataFrame(stage(spark, held, sf).collect(), docs.schema)
+        held = spark.createDataFrame(stage(spark, held, sf).collect(), docs.schema)
         assert held.columns == docs.columns
         sizes.append(held.count())
     assert sizes[0] > sizes[1] >= sizes[2] > sizes[3] > 0.5 * sizes[0]

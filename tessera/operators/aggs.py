@@ -162,10 +162,8 @@ class Aggregator:
         if kind == "global":
             return self.flat_below(inside, self.everything)
         if kind == "nested":
-            parts = body["path"].split(".")
             root = df.select("*", F.explode(self.compiler.col(body["path"])).alias("__e"))
             inner = Compiler(self.compiler.schema, self.compiler.stats, F.col("__e"), body["path"], self.compiler.flags)
-            del parts
             return Aggregator(root, inner, self.everything, self.id_column).flat_below(inside, root)
         if kind == "reverse_nested":
             distinct = df.dropDuplicates(["_index", "_id"])
@@ -173,7 +171,6 @@ class Aggregator:
         if kind == "top_hits":
             return self.top_hits(body, df, [])
         df, keys = self.key(kind, body, df)
-        keys = {("key" if k == "key" else k): v for k, v in keys.items()}
         return self.bucketed(kind, body, df, keys, inside)
 
     def flat_below(self, inside: Mapping, df: DataFrame) -> DataFrame:
@@ -216,10 +213,8 @@ class Aggregator:
             out = out.orderBy(*self.term_order(body.get("order"), out)).limit(int(body.get("size", 10)))
         elif kind == "terms":  # the outer buckets are limited, with all that is in them
             total = Window.partitionBy("key")
-            ranked = out.withColumn("__n", F.sum("doc_count").over(total))
-            w = Window.orderBy(F.desc("__n"), "key")
+            ranked = out.withColumn("__n", F.sum("doc_count").over(Window.partitionBy("key")))
             top = ranked.groupBy("key").agg(F.first("__n").alias("__n")).orderBy(F.desc("__n"), "key").limit(int(body.get("size", 10))).select("key")
-            del w
             out = ranked.join(top, "key").drop("__n")
         return out
 

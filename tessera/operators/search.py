@@ -24,7 +24,8 @@ from tessera.operators.knn import neighbours
 from tessera.operators.joins import related_ids
 from tessera.operators.sorting import Key, collapse, search_after, sort_keys, tie_breaks
 from tessera.operators.suggest import suggest_tree, term_suggestions
-from tessera.plans.clauses import Clauses, as_list
+from tessera.events import event
+from tessera.plans.clauses import Clauses
 from tessera.plans.compiler import Compiler, Part, Schema, joined_queries
 
 PAGE = 10
@@ -275,13 +276,16 @@ class Search:
         return df.select("_index", "_id", "_score", *columns, *[F.col(f"`{c}`") for c in extra if c not in ("_score",)])
 
     def hit(self, row: Any) -> Hit:
-        data = row.asDict(True)
+        return self.hit_of(row.asDict(True))
+
+    def hit_of(self, data: dict) -> Hit:
         index = self.known.get(data["_index"])
         return Hit(data, getattr(index, "id_column", "id"), frozenset(getattr(index, "field_names", ())), index)
 
     def collect(self) -> list[Hit]:
         began = time.monotonic()
-        out = [self.hit(r) for r in self.page().collect()] if self.indexes else []
+        with event("search_query", request=self.clauses.render()):
+            out = [self.hit(r) for r in self.page().collect()] if self.indexes else []
         self.took = time.monotonic() - began
         return out
 
@@ -360,5 +364,3 @@ class MultiSearch:
         self.perform()
         return self.requests
 
-
-__all__ = ["Search", "Hit", "MultiSearch", "IndexMissing", "as_list"]

@@ -10,7 +10,7 @@ from typing import TYPE_CHECKING, Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.clauses import CLAUSES, Bool, Clauses, blank
+from tessera.plans.clauses import CLAUSES, Bool, Clauses
 
 if TYPE_CHECKING:
     from tessera.operators.search import Hit, Search
@@ -221,6 +221,12 @@ class Request:
     def performed(self) -> bool:
         return self._page is not None
 
+    def respond(self, rows: list[dict]) -> Request:
+        """This request with given hits, as if it had run: for tests of code that searches."""
+        out = self._with(self.clauses)
+        out._page = [out.search.hit_of({"_index": next(iter(self._known), ""), "_id": str(r.get("id", n)), "_score": 1.0, **r}) for n, r in enumerate(rows)]
+        return out
+
     def frame(self) -> DataFrame:
         """The page of hits as a DataFrame, in order: _index, _id, _score and the source's columns."""
         return self.search.page()
@@ -366,5 +372,3 @@ for _name in CLAUSES:
     if _name not in vars(Request) and _name != "allow_partial_search_results":
         setattr(Request, _name, _setter(_name))
 del _name
-
-__all__ = ["Request", "QueryProxy", "DocumentNotFound", "blank"]

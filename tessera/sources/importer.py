@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.events import event
 from tessera.operators.joins import descendants
 
 
@@ -116,6 +117,14 @@ class Importer:
     def run(self, given: Any = None) -> bool:
         if given is not None and not isinstance(given, DataFrame) and not list(given):
             return True
+        with event("import_objects", index=self.index.name) as payload:
+            self._run(given)
+            payload["errors"] = self.errors
+        if self.errors and self.strict:
+            raise ImportFailed(self.errors)
+        return not self.errors
+
+    def _run(self, given: Any) -> None:
         self.index.create()
         rows, gone = self.rows(given)
         ops = self.checked(self.operations(rows, gone)).persist()
@@ -128,11 +137,8 @@ class Importer:
             else:
                 ops_ = self.with_descendants(ops) if self.index.join_field else ops
             store.merge(ops_, self.update_fields, self.batch)
-            journal = self.journal if self.journal is not None else None
+            journal = self.index.journal if self.journal is None else self.journal  # False turns it off
             if journal:
                 journal.add(self.index, ops)
         finally:
             ops.unpersist()
-        if self.errors and self.strict:
-            raise ImportFailed(self.errors)
-        return not self.errors

@@ -28,13 +28,13 @@ class Index:
     """An index over a fixed DataFrame (`frame`), or one whose documents are composed from `source` and stored.
 
     text: analyzers of text fields by path (for indexes without a declared mapping). scopes: named functions
-    (request, ...) -> request. journal: whether imports are journalled unless they say otherwise.
+    (request, ...) -> request. journal: where imports are journalled unless they say otherwise.
     """
 
     def __init__(
         self, name: str, *, mapping: IndexMapping | None = None, source: Callable[[], DataFrame] | None = None, source_id: str = "id", frame: DataFrame | Callable[[], DataFrame] | None = None,
         id_column: str = "_id", text: Mapping[str, str] | None = None, nested: tuple[str, ...] = (), aliases: Mapping[str, str] | None = None, join_field: str | None = None,
-        settings: Mapping | None = None, scopes: Mapping[str, Callable] | None = None, aggs: Mapping[str, Mapping] | None = None, delete_if: Callable | None = None, journal: bool = False,
+        settings: Mapping | None = None, scopes: Mapping[str, Callable] | None = None, aggs: Mapping[str, Mapping] | None = None, delete_if: Callable | None = None, journal: Any = None,
         suffix: str | None = None, prefix: str | None = None, root: str | None = None,
     ):
         prefix = Config.prefix if prefix is None else prefix
@@ -203,6 +203,10 @@ class Index:
 
         return Importer(self, strict=True, **options).run(rows)
 
+    def import_references(self, *fields: str) -> DataFrame:
+        """Distinct ids of the source's rows, and the fields asked for: what a partial import would look at."""
+        return self.source_rows().select(F.col(f"`{self.source_id}`"), *[F.col(f"`{f}`") for f in fields]).distinct()
+
     def sync(self) -> dict:
         from tessera.sources.syncer import Syncer
 

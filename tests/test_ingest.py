@@ -1,12 +1,12 @@
 """Composition, imports, journal, synchronisation, lifecycle, strategies and feeds."""
 
-import time
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import admin
+from tessera.events import subscribe
 from tessera.functions.analysis import REGISTRY, Analyzer, keyword_token
 from tessera.sources.fields import Crutch, Field, IndexMapping
 from tessera.sources.importer import Importer, ImportFailed
@@ -253,7 +253,6 @@ def test_delayed_chunks(spark, tmp_path):
     q = feed.delayed_chunks(stream, "ts", "id").writeStream.format("memory").queryName("chunks").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.chunk % 60 for r in spark.table("chunks").collect()) == [10, 20]
-    time.sleep(0)
 
 
 def test_analysis(spark):
@@ -279,3 +278,16 @@ def test_multi_fields_have_their_own_analysis(spark, root):
     i.import_()
     assert sorted(h.id for h in i.query({"match": {"name": "york"}})) == ["1", "2"]
     assert [h.id for h in i.query({"match": {"name.sorted": "YORK"}})] == ["2"]
+
+
+def test_events_and_given_hits(cities):
+    heard = []
+    end = subscribe(lambda name, payload, seconds: heard.append((name, payload.get("errors"))))
+    cities.import_()
+    cities.limit(1).hits()
+    end()
+    cities.limit(1).hits()
+    assert heard == [("import_objects", {}), ("search_query", None)]
+    r = cities.limit(5).respond([{"id": 1, "name": "x"}])
+    assert r.performed and [h.name for h in r] == ["x"] and len(r) == 1
+    assert sorted(map(tuple, cities.import_references("name").collect())) == [(1, "Name1"), (2, "Name2"), (3, "Name3")]

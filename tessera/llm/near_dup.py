@@ -241,14 +241,14 @@ def _starred(links: DataFrame) -> DataFrame:
 
 
 def _buckets(bands: DataFrame) -> DataFrame:
-    """key, rep, n, weight of buckets with more than one member. bands: key, rep.
+    """key, band, rep, n, weight of buckets with more than one member. bands: key, band, rep.
 
     weight: the sizes of all buckets that a document is in; the original of a group of copies has the largest.
     """
     sizes = save(bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    members = save(bands.join(sizes, "key").select("key", "rep", "n"), "members")
+    members = save(bands.join(sizes, "key").select("key", "band", "rep", "n"), "members")
     weights = save(members.groupBy("rep").agg(F.sum("n").alias("weight")), "weights")
-    return save(members.join(weights, "rep").select("key", "rep", "n", "weight"), "members")
+    return save(members.join(weights, "rep").select("key", "band", "rep", "n", "weight"), "members")
 
 
 def _hubs(members: DataFrame) -> DataFrame:
@@ -258,7 +258,7 @@ def _hubs(members: DataFrame) -> DataFrame:
 
 def _split(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members, with their roots, of buckets that hold several components."""
-    marked = save(members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", "n", "weight", F.coalesce("root", "rep").alias("root")), "marked")
+    marked = save(members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "band", "rep", "n", "weight", F.coalesce("root", "rep").alias("root")), "marked")
     several = save(marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"), "several")
     return save(marked.join(several, "key"), "split")
 
@@ -278,30 +278,32 @@ def _hub_pairs(large: DataFrame, hubs: DataFrame) -> DataFrame:
 def _block_pairs(large: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs of different components in large buckets whose signatures agree in LIKELY of the slots.
 
-    Members meet in blocks of about BLOCK, and nothing but these pairs leaves a task.
+    Members meet in blocks of about BLOCK, and nothing but these pairs leaves a task; a pair that shares several bands
+    leaves it in the first of them alone.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = large.join(reps.select("rep", "marks"), "rep").select("key", "rep", "root", "marks", blocks.alias("of"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("i"))
-    held = save(placed.groupBy("key", "i").agg(F.max("of").alias("of"), F.collect_list("rep").alias("reps"), F.collect_list("root").alias("roots"), F.collect_list("marks").alias("marks")), "blocks")
-    left = held.select("key", "i", F.explode(F.sequence(F.col("i"), F.col("of") - 1)).alias("j"), F.col("reps").alias("reps_a"), F.col("roots").alias("roots_a"), F.col("marks").alias("marks_a"))
+    placed = large.join(reps.select("rep", "marks"), "rep").select("key", "band", "rep", "root", "marks", blocks.alias("of"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("i"))
+    held = save(placed.groupBy("key", "i").agg(F.max("of").alias("of"), F.max("band").alias("band"), F.collect_list("rep").alias("reps"), F.collect_list("root").alias("roots"), F.collect_list("marks").alias("marks")), "blocks")
+    left = held.select("key", "band", "i", F.explode(F.sequence(F.col("i"), F.col("of") - 1)).alias("j"), F.col("reps").alias("reps_a"), F.col("roots").alias("roots_a"), F.col("marks").alias("marks_a"))
     right = held.select("key", F.col("i").alias("j"), F.col("reps").alias("reps_b"), F.col("roots").alias("roots_b"), F.col("marks").alias("marks_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [np.zeros((0, 2), np.int64)]
-            for own, ra, ta, ma, rb, tb, mb in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for own, band, ra, ta, ma, rb, tb, mb in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 x, y = (np.frombuffer(b"".join(m), np.uint32).reshape(-1, BANDS, ROWS) for m in (ma, mb))
                 ra, rb, ta, tb = (np.array(v) for v in (ra, rb, ta, tb))
                 for k in range(len(x)):
                     same = x[k][None] == y
-                    near = (same.mean((1, 2)) >= LIKELY) & (tb != ta[k]) & (rb > ra[k] if own else rb != ra[k])
+                    here = same.all(2).argmax(1) == band
+                    near = here & (same.mean((1, 2)) >= LIKELY) & (tb != ta[k]) & (rb > ra[k] if own else rb != ra[k])
                     if near.any():
                         rows = np.flatnonzero(near)
                         out.append(np.stack([np.minimum(ra[k], rb[rows]), np.maximum(ra[k], rb[rows])], 1))
             pairs = np.unique(np.concatenate(out), axis=0)
             yield pa.record_batch([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
 
-    met = left.join(right, ["key", "j"]).select((F.col("i") == F.col("j")).alias("own"), "reps_a", "roots_a", "marks_a", "reps_b", "roots_b", "marks_b")
+    met = left.join(right, ["key", "j"]).select((F.col("i") == F.col("j")).alias("own"), "band", "reps_a", "roots_a", "marks_a", "reps_b", "roots_b", "marks_b")
     return met.mapInArrow(run, "a long, b long")
 
 
@@ -311,7 +313,7 @@ def classes(docs: DataFrame) -> DataFrame:
     named = signed.filter(F.col("doc_id").isNotNull())
     reps = save(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("shingled").alias("shingled"), F.first("marks").alias("marks")), "reps")
     keys = [F.xxhash64(F.lit(i), F.substring("marks", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)]
-    members = _buckets(reps.filter("shingled").select("rep", F.explode(F.array(*keys)).alias("key")))
+    members = _buckets(reps.filter("shingled").select("rep", F.posexplode(F.array(*keys)).alias("band", "key")))
 
     # every bucket's members with its hub
     hubs = _hubs(members)

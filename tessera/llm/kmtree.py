@@ -6,9 +6,9 @@ A query walks the tree best bin first: a priority queue holds branches by their
 opened, leaves are visited in the order in which they come out. How many leaves are visited is widened until, on
 a sample of queries whose true neighbours come from one exact pass over all rows, the recall reaches the target.
 
-Rows lie in blocks by leaf, packed where they are read; queries in blocks by the leaves that they visit. One equi-join
-on the leaf brings them together; a leaf that holds a large part of all rows is many blocks, which Spark's skew join
-splits. Scores are exact cosines of the original vectors in double precision.
+Rows lie in blocks by leaf (a large leaf is dealt to several tasks by a hash of the id); queries in blocks by the
+leaves that they visit. One equi-join on the leaf brings them together; a leaf that holds a large part of all rows is
+many blocks, which Spark's skew join splits. Scores are exact cosines of the original vectors in double precision.
 
 Nulls and edge cases: vectors that are null, zero, hold null or non-finite components, have no id, or whose length
 isn't the most frequent one take no part. Repeated rows are candidates each; a query's own row is every row with its
@@ -95,7 +95,7 @@ class Tree:
         return out
 
 
-def fit(x: np.ndarray, branch: int = 12, points: int = 40, seed: int = 3) -> Tree:
+def fit(x: np.ndarray, branch: int = 12, points: int = 100, seed: int = 3) -> Tree:
     """x: unit vectors; a node of at most `points` of them, or of equal ones, is a leaf."""
     tree, rng = Tree(), np.random.default_rng(seed)
 
@@ -117,26 +117,20 @@ def fit(x: np.ndarray, branch: int = 12, points: int = 40, seed: int = 3) -> Tre
     return tree
 
 
-def best_of_block(ids: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query, id, cosine) of the best k of a block for each query; the same numbers wherever a row lies."""
+def best_of_block(ids: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, k: int) -> pa.RecordBatch:
+    """The best k of a block for each query, with cosines that are the same numbers wherever a row lies."""
     nx, nq = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
     near = (q @ x.T) / nq[:, None] / nx[None, :]
-    out = []
-    for i, qid in enumerate(own.tolist()):
-        rows = np.flatnonzero(ids != qid)
-        if not len(rows):
-            continue
-        s = near[i, rows]
-        if len(rows) > k:
-            rows = rows[s >= np.partition(s, -k)[-k] - 1e-9]
-        exact = (x[rows] * q[i]).sum(1) / (nx[rows] * nq[i])
-        order = np.lexsort((ids[rows], -exact))[:k]
-        out += [(qid, int(ids[rows[j]]), float(exact[j])) for j in order]
-    return out
-
-
-def _rows(found: list[tuple[int, int, float]]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], ["query_id", "vec_id", "score"])
+    near[own[:, None] == ids[None, :]] = -np.inf
+    if len(ids) > k:
+        near[near < np.partition(near, len(ids) - k, axis=1)[:, [len(ids) - k]] - 1e-9] = -np.inf
+    i, j = np.nonzero(near > -np.inf)
+    exact = (x[j] * q[i]).sum(1) / (nx[j] * nq[i])
+    order = np.lexsort((ids[j], -exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)  # within a query
+    keep = place < k
+    return pa.record_batch([pa.array(own[i[keep]], pa.int64()), pa.array(ids[j[keep]], pa.int64()), pa.array(exact[keep], pa.float64())], ["query_id", "vec_id", "score"])
 
 
 def exact_top(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
@@ -145,7 +139,9 @@ def exact_top(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield _rows(best_of_block(b.column(0).to_numpy(), matrix(b.column(1)), ids, q, k))
+                x, v = b.column(0).to_numpy(), matrix(b.column(1))
+                for at in range(0, len(x), 2048):
+                    yield best_of_block(x[at : at + 2048], v[at : at + 2048], ids, q, k)
 
     return top(rows.select("id", "v").mapInArrow(run, FOUND), k, "double")
 
@@ -169,7 +165,7 @@ def calibrate(tree: Tree, rows: DataFrame, queries: DataFrame, k: int, target: f
     return late[min(len(late) - 1, int(np.ceil(target * len(late))) - 1)] if late else 1
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 5, target: float = 0.97, fit_sample: int = 20_000, calibration: int = 200, block: int = 2048, query_block: int = 512) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 5, target: float = 0.94, fit_sample: int = 20_000, calibration: int = 200, block: int = 2048, query_block: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score. rows, queries: id, v (array of double, of one length)."""
     spark = rows.sparkSession
     rows = rows.filter(F.exists("v", lambda x: x != 0))
@@ -191,22 +187,26 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, target: float = 0.97
         for b in batches:
             if not b.num_rows:
                 continue
-            q = matrix(b.column(1))
-            leaves = [tree.visit(v, visits, 4 * (k + 1)) for v in unit(q)]
-            at = np.repeat(np.arange(len(q)), [len(x) for x in leaves])
-            yield pa.record_batch([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.concatenate(leaves), pa.int32())], ["id", "v", "leaf"])
+            for start in range(0, b.num_rows, 256):
+                ids, vs = b.column(0).slice(start, 256), b.column(1).slice(start, 256)
+                leaves = [tree.visit(v, visits, 4 * (k + 1)) for v in unit(matrix(vs))]
+                at = pa.array(np.repeat(np.arange(len(ids)), [len(x) for x in leaves]))
+                yield pa.record_batch([ids.take(at), vs.take(at), pa.array(np.concatenate(leaves), pa.int32())], ["id", "v", "leaf"])
 
     shape = "id long, v array<double>, leaf int"
-    file = save(packed(rows.select("id", "v").mapInArrow(place, shape), block, "leaf"), "ann-file", "none")
+    # rows are dealt by leaf, large leaves to several tasks, so that blocks are full
+    all_rows, seen = rows.count(), max(1, sum(tree.sizes))
+    shares = [max(1, -(-size * all_rows // (seen * 2 * block))) for size in tree.sizes] or [1]
+    share = F.element_at(F.array(*[F.lit(int(x)) for x in shares]), F.col("leaf") + 1)
+    dealt = rows.select("id", "v").mapInArrow(place, shape).repartition("leaf", F.pmod(F.xxhash64("id"), share))
+    file = save(packed(dealt, block, "leaf"), "ann-file", "none")
     asked = packed(own.repartition(max(1, n // query_block)).select("id", "v").mapInArrow(walk, shape), query_block, "leaf")
     asked = save(asked.select("key", F.col("ids").alias("q_ids"), F.col("body").alias("q_body")), "ann-asked", "none")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
             for i, x, qi, q in zip(*(b.column(j) for j in range(4)), strict=True):
-                found += best_of_block(*unpacked(i.as_py(), x.as_py()), *unpacked(qi.as_py(), q.as_py()), k)
-            yield _rows(found)
+                yield best_of_block(*unpacked(i.as_py(), x.as_py()), *unpacked(qi.as_py(), q.as_py()), k)
 
     met = file.join(asked, "key").select("ids", "body", "q_ids", "q_body").mapInArrow(run, FOUND)
     return top(met, k, "double")

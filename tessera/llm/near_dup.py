@@ -8,10 +8,9 @@
 3. Signatures are cut into bands; documents that share a band are candidates. Within a bucket, members are compared
    with its hub (whose buckets are the largest: the original of a group of copies), so a large group costs one
    comparison a member. Where that leaves more than one component in a bucket, members of different components are
-   compared too: in buckets of up to SMALL members all pairs; in larger ones all pairs by signature, in blocks,
-   of which those that agree in LIKELY of the slots go on, and then all members with further hubs as long as that brings
-   links. Limit: two documents of a large bucket that no hub links, and whose signatures agree less than LIKELY, stay
-   apart even if their similarity is at or just above the threshold.
+   compared too, all pairs of them: in larger ones than SMALL in blocks, first each block's own members, then those of
+   different blocks with what components are left. A pair of blocks verifies its candidates in one task, skips those
+   that its links have united by then, and gives no more links than unite its members.
 4. A candidate pair passes if its signatures agree in at least `prune` of the slots (five standard deviations below the
    threshold) and J_P of the two whole texts, computed exactly, gets to the threshold.
 5. Links make components: a bounded number of them in one task of an executor, more by alternating large-star and
@@ -41,7 +40,8 @@ from tessera.llm.common import save, word_bytes
 SHINGLE, BANDS, ROWS, THRESHOLD, PRUNE = 5, 24, 4, 0.8, 0.6
 SLOTS = BANDS * ROWS
 SMALL = 12  # buckets up to this size compare all members of different components at once
-LIKELY, BLOCK = 0.78, 256  # what larger ones look for; members of a block
+BLOCK = 256  # members of a block of larger ones
+HELD = 4_000_000  # shingles that a pair of blocks keeps at once (64 MB)
 FEW = 500_000  # links that one task may follow
 _U = np.uint64
 _STEP = [_U(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -269,42 +269,98 @@ def _small_pairs(split: DataFrame) -> DataFrame:
     return a.join(b, "key").filter("a < b and root_a <> root_b").select("a", "b")
 
 
-def _hub_pairs(large: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Members of large buckets with the next hub, unless a component holds both."""
-    of = large.join(hubs, "key").filter("rep = centre").select("key", "centre", F.col("root").alias("root_c"))
-    return large.join(save(of, "centres"), "key").filter("root <> root_c").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
+def _block_pairs(large: DataFrame, reps: DataFrame, own: bool) -> DataFrame:
+    """Candidates of different components in large buckets, of a block's own members or else of two blocks.
 
-
-def _block_pairs(large: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of different components in large buckets whose signatures agree in LIKELY of the slots.
-
-    Members meet in blocks of about BLOCK, and nothing but these pairs leaves a task; a pair that shares several bands
-    leaves it in the first of them alone.
+    Members meet in blocks of about BLOCK. key, i, j: the two blocks; rep, digest, root: a member with candidates there;
+    others: its candidates of larger ids. All pairs whose signatures agree in PRUNE of the slots; one that shares several
+    bands in the first of them alone.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = large.join(reps.select("rep", "marks"), "rep").select("key", "band", "rep", "root", "marks", blocks.alias("of"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("i"))
-    held = save(placed.groupBy("key", "i").agg(F.max("of").alias("of"), F.max("band").alias("band"), F.collect_list("rep").alias("reps"), F.collect_list("root").alias("roots"), F.collect_list("marks").alias("marks")), "blocks")
-    left = held.select("key", "band", "i", F.explode(F.sequence(F.col("i"), F.col("of") - 1)).alias("j"), F.col("reps").alias("reps_a"), F.col("roots").alias("roots_a"), F.col("marks").alias("marks_a"))
-    right = held.select("key", F.col("i").alias("j"), F.col("reps").alias("reps_b"), F.col("roots").alias("roots_b"), F.col("marks").alias("marks_b"))
+    placed = large.join(reps.select("rep", "digest", "marks"), "rep").select("key", "band", "rep", "digest", "root", "marks", blocks.alias("of"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("i"))
+    lists = [F.collect_list(c).alias(c) for c in ("rep", "digest", "root", "marks")]
+    held = save(placed.groupBy("key", "i").agg(F.max("of").alias("of"), F.max("band").alias("band"), *lists), "blocks")
+    columns = ["key", "i", "j", "band", *(f"{c}_{x}" for x in "ab" for c in ("rep", "digest", "root", "marks"))]
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("rep", "digest", "root", "marks")]
+    if own:
+        met = held.select("key", "i", F.col("i").alias("j"), "band", *side("a"), *side("b")).select(columns)
+    else:
+        left = held.filter("i < of - 1").select("key", "band", "i", F.explode(F.sequence(F.col("i") + 1, F.col("of") - 1)).alias("j"), *side("a"))
+        met = left.join(held.select("key", F.col("i").alias("j"), *side("b")), ["key", "j"]).select(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [np.zeros((0, 2), np.int64)]
-            for own, band, ra, ta, ma, rb, tb, mb in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                key, i, j, band, ra, da, ta, ma, rb, db, tb, mb = (c[at].as_py() for c in batch.columns)
                 x, y = (np.frombuffer(b"".join(m), np.uint32).reshape(-1, BANDS, ROWS) for m in (ma, mb))
-                ra, rb, ta, tb = (np.array(v) for v in (ra, rb, ta, tb))
+                digests, roots = dict(zip(ra + rb, da + db, strict=True)), dict(zip(ra + rb, ta + tb, strict=True))
+                ra, rb, ta, tb = (np.array(v, np.int64) for v in (ra, rb, ta, tb))
+                others: dict[int, list[int]] = {}
                 for k in range(len(x)):
-                    same = x[k][None] == y
-                    here = same.all(2).argmax(1) == band
-                    near = here & (same.mean((1, 2)) >= LIKELY) & (tb != ta[k]) & (rb > ra[k] if own else rb != ra[k])
-                    if near.any():
-                        rows = np.flatnonzero(near)
-                        out.append(np.stack([np.minimum(ra[k], rb[rows]), np.maximum(ra[k], rb[rows])], 1))
-            pairs = np.unique(np.concatenate(out), axis=0)
-            yield pa.record_batch([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+                    left = np.flatnonzero((tb != ta[k]) & (rb > ra[k] if own else rb != ra[k]))
+                    same = x[k][None] == y[left]
+                    near = (same.all(2).argmax(1) == band) & (np.count_nonzero(same, axis=(1, 2)) >= PRUNE * SLOTS)
+                    for r in rb[left[near]].tolist():
+                        low, high = sorted((int(ra[k]), r))
+                        others.setdefault(low, []).append(high)
+                        others.setdefault(high, [])
+                if others:
+                    n, ids = len(others), list(others)
+                    yield pa.record_batch(
+                        [pa.array([key] * n, pa.int64()), pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32()), pa.array(ids, pa.int64()), pa.array([digests[r] for r in ids], pa.binary()), pa.array([roots[r] for r in ids], pa.int64()), pa.array([others[r] for r in ids], pa.list_(pa.int64()))],
+                        ["key", "i", "j", "rep", "digest", "root", "others"],
+                    )
+
+    return met.mapInArrow(run, "key long, i int, j int, rep long, digest binary, root long, others array<long>")
+
+
+class _Bags:
+    """Bags of a few hundred texts, made when they are wanted; at most about HELD shingles are kept."""
+
+    def __init__(self, texts: dict[int, str]):
+        self.texts, self.kept, self.held = texts, OrderedDict(), 0
+
+    def __getitem__(self, rep: int) -> tuple[np.ndarray, np.ndarray]:
+        if rep in self.kept:
+            self.kept.move_to_end(rep)
+            return self.kept[rep]
+        bag = self.kept[rep] = shingle_bag(word_bytes(self.texts[rep]))
+        self.held += len(bag[0])
+        while self.held > HELD and len(self.kept) > 1:
+            self.held -= len(self.kept.popitem(last=False)[1][0])
+        return bag
+
+
+def _linked(blocks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that unite what the candidates of each pair of blocks unite. blocks: as _block_pairs() gives them."""
+    blocks = save(blocks, "near-blocks")
+    ids = save(blocks.select(F.col("rep").alias("doc_id")).distinct(), "near-ids")
+    few = ids.count() <= 1_000_000
+    texts = save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "near-texts")
+
+    def run(group: pa.Table) -> pa.Table:
+        texts, others, root = {}, {}, {}
+        for rep, own, top, more, text in zip(*(group[c].to_pylist() for c in ("rep", "digest", "root", "others", "text")), strict=True):
+            if rep not in texts and digest(word_bytes(text)) == own:  # another row may have the same id
+                texts[rep], others[rep], root[rep] = text, more, top
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        bags, out = _Bags(texts), []
+        for a in sorted(others):
+            for b in others[a]:
+                if b not in texts or (x := find(a)) == (y := find(b)):
+                    continue
+                if probability_jaccard(bags[a], bags[b]) >= THRESHOLD - 1e-12:
+                    root[max(x, y)] = min(x, y)
+                    out.append((a, b))
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-    met = left.join(right, ["key", "j"]).select((F.col("i") == F.col("j")).alias("own"), "band", "reps_a", "roots_a", "marks_a", "reps_b", "roots_b", "marks_b")
-    return met.mapInArrow(run, "a long, b long")
+    whole = blocks.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    return save(whole.groupBy("key", "i", "j").applyInArrow(run, "a long, b long"), "links")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -321,30 +377,20 @@ def classes(docs: DataFrame) -> DataFrame:
     links = _verified(_similar(pairs, reps), docs)
     roots = save(components(links), "roots")
 
-    def follow(pairs: DataFrame) -> bool:
-        """Verify more pairs; whether they brought a link."""
+    def follow(more: DataFrame) -> None:
         nonlocal links, roots
-        more = _verified(_similar(pairs.distinct(), reps), docs)
-        if more.isEmpty():
-            return False
-        links = save(links.unionByName(more), "links")
-        roots = save(components(links), "roots")
-        return True
+        if not more.isEmpty():
+            links = save(links.unionByName(more), "links")
+            roots = save(components(links), "roots")
 
     # buckets that hold several components still
     split = _split(members, roots)
     if not split.isEmpty():
-        large = split.filter(F.col("n") > SMALL)
-        again = not large.isEmpty()
-        pairs = _small_pairs(split)
-        follow(pairs.unionByName(_block_pairs(large, reps)) if again else pairs)
-        tried = hubs
-        while again:
-            # the next hubs, as long as they bring links
+        follow(_verified(_similar(_small_pairs(split).distinct(), reps), docs))
+        for own in (True, False):
             large = _split(members.filter(F.col("n") > SMALL), roots)
-            hubs = _hubs(large.join(tried, (large["key"] == tried["key"]) & (large["rep"] == tried["centre"]), "left_anti"))
-            again = follow(_hub_pairs(large, hubs))
-            tried = save(tried.unionByName(hubs), "tried")
+            if not large.isEmpty():
+                follow(_linked(_block_pairs(large, reps, own), docs))
 
     by_class = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", "rep", F.coalesce("root", "rep").alias("class_id"))
     by_class = save(by_class, "classes")

@@ -245,6 +245,32 @@ def test_large_buckets_lose_no_link(spark, copies, monkeypatch):
     assert {r.doc_id: r.class_id for r in near_dup.classes(copies).collect()} == brute_classes({r.doc_id: r.text for r in copies.collect()})
 
 
+def test_links_between_hubs_of_large_buckets(spark):
+    """Around a frequent passage, links just above the threshold whose signatures agree less and whose bands all lie in large buckets."""
+    rng = random.Random(11)
+    new = lambda n: [f"t{rng.randrange(10**9)}" for _ in range(n)]
+    passage = new(80)
+    texts = [passage + new(12) for _ in range(60)]
+    signs = lambda ts: near_dup.signatures([near_dup.shingle_bag([w.encode() for w in t]) for t in ts])
+    bands = signs(texts).reshape(-1, near_dup.BANDS, near_dup.ROWS)
+    pairs = 0
+    while pairs < 6:
+        a = passage + new(15)
+        b = a[:-10] + new(10)
+        x, y = signs([a, b])
+        shared = [i for i, (p, q) in enumerate(zip(x.reshape(-1, near_dup.ROWS), y.reshape(-1, near_dup.ROWS), strict=True)) if (p == q).all()]
+        if 0.6 <= (x == y).mean() < 0.76 and shared and all((bands[:, i] == x.reshape(-1, near_dup.ROWS)[i]).all(1).sum() > near_dup.SMALL for i in shared):
+            texts += [a, b]
+            pairs += 1
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    expected = brute_classes(dict(rows))
+    assert sum(i != c for i, c in expected.items()) >= 6
+    for block in (near_dup.BLOCK, 8):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(near_dup, "BLOCK", block)
+            assert {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()} == expected
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)] + [(300, 400 + i) for i in range(50)]

@@ -3,7 +3,10 @@
 Markup of a template:
 
     <<beginOptional>> ... <<endOptional>>        wording that may be missing (regions nest)
-    <<var;name="...";match="..."[;max=N]>>       1..N words (default 1), each matching the expression in full
+    <<var;name="...";match="..."[;max=N]>>       words that match the expression in full, each: 1..N, or any number
+
+A region of any number of words goes on until the mandatory words that follow it lead to the template's end for the first
+time; a template without such words is an error.
 
 All other words are mandatory and have to match exactly, in order and without gaps. Words are those of
 `common.word_bytes`; case and punctuation don't count. A template is accepted where its automaton, started at a word,
@@ -36,19 +39,20 @@ PHRASES = {
     "mit license": "mit",
 }
 
-VERSION = '<<beginOptional>>version<<endOptional>><<beginOptional>>v<<endOptional>><<var;name="version";match="v?[0-9]+";max=2>>'
+#: "version 3", "v3", "v. 3", "3.0": a release in any of the usual forms, for %.
+VERSION = '<<beginOptional>>version<<endOptional>> <<beginOptional>>v<<endOptional>> <<var;name="version";match="v?%s";max=1>> <<beginOptional>>0<<endOptional>>'
 
 #: Public wording of notices, in template markup, by label.
 TEMPLATES = {
-    "apache-2.0": "licensed under the apache license<<beginOptional>>,<<endOptional>> version 2.0<<beginOptional>> (the License); you may not use this file except in compliance with the License<<endOptional>>",
-    "gpl-2.0": "<<beginOptional>>the<<endOptional>> gnu general public license<<beginOptional>> as published by the free software foundation; either<<endOptional>> version 2<<beginOptional>> of the license, or (at your option) any later version<<endOptional>>",
-    "gpl-3.0": "<<beginOptional>>the<<endOptional>> gnu general public license<<beginOptional>> as published by the free software foundation; either<<endOptional>> version 3<<beginOptional>> of the license, or (at your option) any later version<<endOptional>>",
+    "apache-2.0": f"licensed under the apache license {VERSION % 2} <<beginOptional>> (the License); you may not use this file except in compliance with the License<<endOptional>>",
+    "gpl-2.0": f"<<beginOptional>>the<<endOptional>> gnu general public license<<beginOptional>> as published by the free software foundation; either<<endOptional>> {VERSION % 2} <<beginOptional>> of the license, or (at your option) any later version<<endOptional>>",
+    "gpl-3.0": f"<<beginOptional>>the<<endOptional>> gnu general public license<<beginOptional>> as published by the free software foundation; either<<endOptional>> {VERSION % 3} <<beginOptional>> of the license, or (at your option) any later version<<endOptional>>",
     "cc-by-4.0": "licensed under <<beginOptional>>a <<endOptional>>cc by 4.0<<beginOptional>> international license<<endOptional>>",
     "cc-by-sa-4.0": "licensed under <<beginOptional>>a <<endOptional>>cc by sa 4.0<<beginOptional>> international license<<endOptional>>",
     "cc-by-nc-4.0": "licensed under <<beginOptional>>a <<endOptional>>cc by nc 4.0<<beginOptional>> international license<<endOptional>>",
     "mit-notice": '<<beginOptional>>released <<endOptional>><<beginOptional>>licensed <<endOptional>>under the <<beginOptional>>terms of the <<endOptional>>mit license',
     "mit-text": "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: the above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
-    "copyright-notice": 'copyright <<beginOptional>>c <<endOptional>><<var;name="year";match="(19|20)[0-9][0-9]";max=2>> <<var;name="holder";match=".+";max=6>> all rights reserved',
+    "copyright-notice": 'copyright <<beginOptional>>c <<endOptional>><<var;name="year";match="(19|20)[0-9][0-9]">> <<var;name="holder";match=".+">> all rights reserved',
 }
 
 SCANNED = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_templates long, spans array<struct<label:string,first:long,last:long>>"
@@ -63,6 +67,8 @@ class Automaton:
     tests: list[list[tuple[re.Pattern, int]]] = field(default_factory=lambda: [[]])
     empty: list[list[int]] = field(default_factory=lambda: [[]])
     mandatory: list[bytes] = field(default_factory=list)
+    #: State of a region of any number of words, and the state behind the mandatory words after it: those words.
+    loops: dict[tuple[int, int], list[bytes]] = field(default_factory=dict)
     final: int = 0
 
     def state(self) -> int:
@@ -85,12 +91,16 @@ class Automaton:
         own = self.closure({0})
         return {w for s in own for w in self.words[s]}, any(self.tests[s] for s in own)
 
-    def match(self, words: list[bytes], at: int) -> int:
-        """End of the longest match that starts at word `at`; -1 if there is none."""
+    def match(self, words: list[bytes], at: int, last: dict[int, int] | None = None) -> int:
+        """End of the longest match that starts at word `at`, regions of any number of words being as short as can be; -1
+        if there is none. last: where the words that end such a region are met last, by its state."""
         states, end, i = self.closure({0}), -1, at
         while states:
             if self.final in states:
                 end = i
+                states = {s for s in states if not any(low <= s < high for low, high in self.loops)}
+            if last:
+                states = {s for s in states if last.get(s, i) >= i}
             if i == len(words):
                 break
             w, after = words[i], set()
@@ -103,7 +113,7 @@ class Automaton:
 
 
 def compile_template(label: str, markup: str) -> Automaton:
-    a, at, open_regions = Automaton(label), 0, []
+    a, at, open_regions, waiting = Automaton(label), 0, [], []
     for part in re.split(r"(<<.*?>>)", markup):
         if part == "<<beginOptional>>":
             open_regions.append(at)
@@ -116,7 +126,14 @@ def compile_template(label: str, markup: str) -> Automaton:
             at = to
         elif part.startswith("<<var;"):
             test = re.compile(re.search(r'match="(.*?)"', part)[1].encode())
-            most = int(m[1]) if (m := re.search(r"max=(\d+)", part)) else 1
+            most = int(m[1]) if (m := re.search(r"max=(\d+)", part)) else 0
+            if not most:
+                to = a.state()
+                a.tests[at].append((test, to))
+                a.tests[to].append((test, to))
+                waiting.append((to, len(open_regions)))
+                at = to
+                continue
             ends = []
             for _ in range(most):
                 to = a.state()
@@ -134,8 +151,13 @@ def compile_template(label: str, markup: str) -> Automaton:
                 at = to
                 if not open_regions:
                     a.mandatory.append(w)
+            if word_bytes(part):
+                a.loops.update({(s, at): word_bytes(part) for s, depth in waiting if depth >= len(open_regions)})
+                waiting = [w for w in waiting if w[1] < len(open_regions)]
     if open_regions:
         raise ValueError(f"{label}: a region didn't end")
+    if waiting:
+        raise ValueError(f"{label}: no mandatory words end a region of any number of words")
     a.final = at
     return a
 
@@ -170,9 +192,13 @@ class Scanner:
             known = known or set(words)
             if not known.issuperset(a.mandatory):
                 continue
+            last = {}
+            for (state, _), ends in a.loops.items():
+                found = joined.rfind(b" " + b" ".join(ends) + b" ")
+                last[state] = joined.count(b" ", 0, found) if found >= 0 else -1
             i = 0
             while i < len(words):
-                end = a.match(words, i) if words[i] in first else -1
+                end = a.match(words, i, last) if words[i] in first else -1
                 if end > i:
                     spans.append((a.label, i, end - 1))
                     i = end

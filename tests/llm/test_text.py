@@ -138,6 +138,31 @@ def test_templates():
             licenses.compile_template("x", wrong)
 
 
+def test_long_holders_and_short_versions():
+    s = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)
+    found = lambda t: [(p["label"], p["first"], p["last"]) for p in s.scan(t)[8]]
+    assert found("Copyright (c) 1990 The Regents of the University of California. All rights reserved") == [("copyright-notice", 0, 12)]
+    assert found("Copyright 1990, 1993, 1995-1999 " + "The Holder " * 500 + "All Rights Reserved. All rights reserved") == [("copyright-notice", 0, 1007)]
+    assert found("Copyright 1990 A. All rights reserved. Copyright 1991 B. All rights reserved.") == [("copyright-notice", 0, 5), ("copyright-notice", 6, 11)]
+    assert found("All rights reserved. Copyright 1990 nothing follows") == [] == found("Copyright 1990 " * 20_000)
+    for n in (2, 3):
+        for form in (f"version {n}", f"v{n}", f"v. {n}", f"version v{n}", f"{n}.0", f"v{n}.0", f"version {n}.0"):
+            assert [x[0] for x in found(f"the GNU General Public License {form}")] == [f"gpl-{n}.0"]
+            assert [x[0] for x in found(f"Licensed under the Apache License, {form}")] == (["apache-2.0"] if n == 2 else [])
+    assert found("the GNU General Public License v1") == [] == found("Licensed under the Apache License v1.1")
+    with pytest.raises(ValueError):
+        licenses.compile_template("x", 'a <<var;name="n";match=".+">> <<beginOptional>>b<<endOptional>>')
+
+
+def test_regions_of_any_length_match_like_a_regular_expression():
+    a = licenses.compile_template("x", 'a <<beginOptional>><<var;name="m";match="[0-9]+">> b<<endOptional>> <<var;name="n";match=".+">> <<beginOptional>>c<<endOptional>> d')
+    rng = random.Random(1)
+    for _ in range(3000):
+        text = " ".join(rng.choice("abcd1") for _ in range(rng.randint(1, 9)))
+        m = re.match(r"a( \S+)+? d(?= |$)", text)
+        assert a.match([w.encode() for w in text.split()], 0) == (len(m[0].split()) if m else -1)
+
+
 def test_nested_regions_match_like_a_regular_expression():
     a = licenses.compile_template("x", 'a <<beginOptional>>b <<beginOptional>>c<<endOptional>><<endOptional>> <<var;name="n";match="[0-9]+";max=2>> d')
     pattern = re.compile(r"a( b( c)?)?( [0-9]+){1,2} d")

@@ -5,7 +5,8 @@ starts with the rule's; the longest wins. Hosts are linked by the absolute links
 runs them, to and from their parent domain as long as that keeps three labels. Pages that rules allow make their hosts
 trusted seeds, pages that rules block make theirs blocked seeds. Personalised PageRank spreads trust along the links
 and, along the reversed links, distrust: who links to blocked hosts is distrusted. A host is blocked if its share
-distrust / (trust + distrust) is above the threshold; its pages that no rule fits get that verdict. Hosts that
+distrust / (trust + distrust), to 9 decimals, is above the threshold, however small both are (only the columns trust and
+distrust of the result are rounded); its pages that no rule fits get that verdict. Hosts that
 neither reaches are allowed.
 
 All steps are DataFrame expressions: links are counted by (source, target) before anything is joined, an iteration is
@@ -87,7 +88,7 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
             rank = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("s").alias("s"))
             if (i + 1) % cut == 0 or i + 1 == rounds:
                 rank = save(rank, "rank")
-    of = lambda kind: F.round(F.sum(F.when(F.col("kind") == kind, F.col("s")).otherwise(0.0)), 9).alias(kind)
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("s")).otherwise(0.0)).alias(kind)
     return rank.groupBy("host").agg(of("trust"), of("distrust"))
 
 
@@ -101,5 +102,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, threshold: flo
     seeds = judged.filter("host <> ''").groupBy("host").agg(count("allow").alias("trusted"), count("block").alias("blocked"))
     ranks = save(propagate(host_links(judged), seeds, damping, rounds), "host-ranks")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    method = F.when(distrust > threshold * (trust + distrust), "block").otherwise("allow")
-    return judged.drop("html").join(ranks, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("says", method).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    share = F.round(F.try_divide(distrust, trust + distrust), 9)
+    method = F.when(share > threshold, "block").otherwise("allow")
+    return judged.drop("html").join(ranks, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("says", method).alias("verdict"), F.round(trust, 9).alias("trust"), F.round(distrust, 9).alias("distrust"))

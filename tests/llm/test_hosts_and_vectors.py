@@ -108,6 +108,16 @@ def test_links_carry_trust_and_distrust(spark):
     assert url_filter.judge(pages.filter("false")).count() == 0
 
 
+def test_verdicts_do_not_depend_on_the_number_of_seeds(spark):
+    link = lambda h, n=1: f'<a href="http://{h}.example.com/">y</a>' * n
+    rows = [(1, "http://bad.example.com/de/1", ""), (2, "http://spam.example.com/x", link("bad")), (3, "http://spammer.example.com/x", link("spam")), (4, "http://heavy.example.com/x", link("bad", 1000) + link("spam", 1000))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seeds = spark.range(10, 200_010).selectExpr("id as page_id", "'http://net/' as url", "cast(null as string) as html")
+    for own in (pages, pages.unionByName(seeds)):
+        got = {r.page_id: r.verdict for r in url_filter.judge(own).filter("page_id < 10").collect()}
+        assert set(got.values()) == {"block"} and len(got) == 4
+
+
 def vector_frame(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "'q' as v", "2 as score", "3 as key")
 

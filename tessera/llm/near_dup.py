@@ -20,7 +20,8 @@ With 24 bands of 4 slots a pair of J_P 0.8 shares none with probability 3e-6.
 
 Nulls and edge cases: a null text counts as empty; texts without words are copies of each other; a text of 1 to 4
 words is one shingle; a row without doc_id is a class of its own (class_id null) and stays; of rows with the same
-doc_id, equal texts count as one document; an empty table gives no rows; extra columns are left alone.
+doc_id, equal word sequences count as one document and others as documents of their own, whose classes are told apart by
+class_digest where class_id is the same; an empty table gives no rows; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -148,25 +149,33 @@ def _similar(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(one("b"), "b").join(one("a"), "a").select("a", "b", "digest_a", "digest_b", "marks_a", "marks_b").mapInArrow(run, "a long, b long, digest_a binary, digest_b binary")
 
 
-def _verified(near: DataFrame, docs: DataFrame) -> DataFrame:
+def _texts(used: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """digest, text of the digests in `used`, each once (rows of other texts may have the same doc_id)."""
+    used = save(used.distinct().join(reps.select("digest", F.col("doc").alias("doc_id")), "digest"), "near-ids")
+    few = used.count() <= 1_000_000  # 24 MB as ids and digests; beyond that they're shuffled
+    used = F.broadcast(used) if few else used
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([digest(word_bytes(t)) for t in b.column(1).to_pylist()], pa.binary()), b.column(1)], ["doc_id", "digest", "text"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(used.select("doc_id"), "doc_id", "left_semi")
+    return save(rows.mapInArrow(run, "doc_id long, digest binary, text string").join(used, ["doc_id", "digest"], "left_semi").dropDuplicates(["digest"]).select("digest", "text"), "near-texts")
+
+
+def _verified(near: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) among `near` whose whole texts reach the threshold."""
     near = save(near, "near-pairs")
-    ids = save(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-    few = ids.count() <= 1_000_000  # 8 MB as ids; beyond that they're shuffled
-    texts = save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "near-texts")
+    texts = _texts(near.select(F.explode(F.array("digest_a", "digest_b")).alias("digest")), reps, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: OrderedDict[bytes, tuple] = OrderedDict()
 
-        def bag(key: bytes, text: str) -> tuple | None:
-            """None if this text isn't the one that the digest is of (another row has the same id)."""
+        def bag(key: bytes, text: str) -> tuple:
             if key in kept:
                 kept.move_to_end(key)
             else:
-                words = word_bytes(text)
-                if digest(words) != key:
-                    return None
-                kept[key] = shingle_bag(words)
+                kept[key] = shingle_bag(word_bytes(text))
                 if len(kept) > 64:
                     kept.popitem(last=False)
             return kept[key]
@@ -174,13 +183,12 @@ def _verified(near: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for a, b, da, db, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = bag(da, ta), bag(db, tb)
-                if x and y and probability_jaccard(x, y) >= THRESHOLD - 1e-12:
+                if probability_jaccard(bag(da, ta), bag(db, tb)) >= THRESHOLD - 1e-12:
                     out.append((a, b))
             yield pa.record_batch([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
-    with_b = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    with_a = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = near.join(texts.select(F.col("digest").alias("digest_b"), F.col("text").alias("text_b")), "digest_b")
+    with_a = with_b.join(texts.select(F.col("digest").alias("digest_a"), F.col("text").alias("text_a")), "digest_a")
     return save(with_a.select("a", "b", "digest_a", "digest_b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
 
 
@@ -331,18 +339,14 @@ class _Bags:
         return bag
 
 
-def _linked(blocks: DataFrame, docs: DataFrame) -> DataFrame:
+def _linked(blocks: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) that unite what the candidates of each pair of blocks unite. blocks: as _block_pairs() gives them."""
     blocks = save(blocks, "near-blocks")
-    ids = save(blocks.select(F.col("rep").alias("doc_id")).distinct(), "near-ids")
-    few = ids.count() <= 1_000_000
-    texts = save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "near-texts")
+    texts = _texts(blocks.select("digest"), reps, docs)
 
     def run(group: pa.Table) -> pa.Table:
-        texts, others, root = {}, {}, {}
-        for rep, own, top, more, text in zip(*(group[c].to_pylist() for c in ("rep", "digest", "root", "others", "text")), strict=True):
-            if rep not in texts and digest(word_bytes(text)) == own:  # another row may have the same id
-                texts[rep], others[rep], root[rep] = text, more, top
+        ids = group["rep"].to_pylist()
+        texts, others, root = (dict(zip(ids, group[c].to_pylist(), strict=True)) for c in ("text", "others", "root"))
 
         def find(x: int) -> int:
             while root.get(x, x) != x:
@@ -352,29 +356,39 @@ def _linked(blocks: DataFrame, docs: DataFrame) -> DataFrame:
         bags, out = _Bags(texts), []
         for a in sorted(others):
             for b in others[a]:
-                if b not in texts or (x := find(a)) == (y := find(b)):
+                if (x := find(a)) == (y := find(b)):
                     continue
                 if probability_jaccard(bags[a], bags[b]) >= THRESHOLD - 1e-12:
                     root[max(x, y)] = min(x, y)
                     out.append((a, b))
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-    whole = blocks.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    whole = blocks.join(texts, "digest")
     return save(whole.groupBy("key", "i", "j").applyInArrow(run, "a long, b long"), "links")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (least doc_id of its class), keep (whether it stands for its class), copy (its words equal another's)."""
+    """doc_id, class_id (least doc_id of its class), class_digest (of the words of the text that stands for it), keep
+    (whether it stands for its class), copy (its words equal another's)."""
+    return _classes(docs).drop("digest")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """classes(), and the digest of every row's words. Nodes (rep) are texts: the least doc_id, or a hash if another text has it."""
     signed = save(sign(docs), "signed")
     named = signed.filter(F.col("doc_id").isNotNull())
-    reps = save(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("shingled").alias("shingled"), F.first("marks").alias("marks")), "reps")
+    first = save(named.groupBy("digest").agg(F.min("doc_id").alias("doc")), "digests")
+    shared = save(first.groupBy("doc").agg(F.min("digest").alias("own"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shared-ids")
+    texts = named.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("shingled").alias("shingled"), F.first("marks").alias("marks")).join(shared, "doc", "left")
+    rep = F.when(F.col("own") != F.col("digest"), F.xxhash64("doc", "digest")).otherwise(F.col("doc"))
+    reps = save(texts.select("digest", "doc", rep.alias("rep"), "shingled", "marks"), "reps")
     keys = [F.xxhash64(F.lit(i), F.substring("marks", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)]
     members = _buckets(reps.filter("shingled").select("rep", F.posexplode(F.array(*keys)).alias("band", "key")))
 
     # every bucket's members with its hub
     hubs = _hubs(members)
     pairs = members.join(hubs, "key").filter("rep <> centre").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
-    links = _verified(_similar(pairs, reps), docs)
+    links = _verified(_similar(pairs, reps), reps, docs)
     roots = save(components(links), "roots")
 
     def follow(more: DataFrame) -> None:
@@ -386,23 +400,32 @@ def classes(docs: DataFrame) -> DataFrame:
     # buckets that hold several components still
     split = _split(members, roots)
     if not split.isEmpty():
-        follow(_verified(_similar(_small_pairs(split).distinct(), reps), docs))
+        follow(_verified(_similar(_small_pairs(split).distinct(), reps), reps, docs))
         for own in (True, False):
             large = _split(members.filter(F.col("n") > SMALL), roots)
             if not large.isEmpty():
-                follow(_linked(_block_pairs(large, reps, own), docs))
+                follow(_linked(_block_pairs(large, reps, own), reps, docs))
 
-    by_class = reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", "rep", F.coalesce("root", "rep").alias("class_id"))
-    by_class = save(by_class, "classes")
+    by_root = save(reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", "doc", F.coalesce("root", "rep").alias("root")), "classes")
+    least = save(by_root.groupBy("root").agg(F.min(F.struct("doc", "digest")).alias("least")), "least").select("root", F.col("least.doc").alias("class_id"), F.col("least.digest").alias("class_digest"))
+    by_class = save(by_root.join(least, "root").drop("root"), "classes")
     joined = named.select("doc_id", "digest").join(by_class, "digest")
-    result = joined.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("keep"), (F.col("doc_id") != F.col("rep")).alias("copy"))
-    alone = signed.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("keep"), F.lit(False).alias("copy"))
+    keep = (F.col("doc_id") == F.col("class_id")) & (F.col("digest") == F.col("class_digest"))
+    result = joined.select("doc_id", "class_id", "class_digest", keep.alias("keep"), (F.col("doc_id") != F.col("doc")).alias("copy"), "digest")
+    alone = signed.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"), F.col("digest").alias("class_digest"), F.lit(True).alias("keep"), F.lit(False).alias("copy"), "digest")
     return result.unionByName(alone)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, with their own columns, of one document of each class: the one of the least id."""
-    kept = save(classes(docs).filter("keep and doc_id is not null").select(F.col("doc_id").alias("__tessera_id")).distinct(), "kept")
-    key = F.col("doc_id").cast("long") == F.col("__tessera_id")
-    named = docs.join(kept, key, "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """The rows of `docs`, with their own columns, of one document of each class: the one of the least id, and of several
+    texts with that id the one whose digest is the class's. Rows without doc_id stay."""
+    found = save(_classes(docs).filter("doc_id is not null").select(F.col("doc_id").alias("__tessera_id"), F.col("digest").alias("__tessera_digest"), "keep"), "found")
+    several = save(found.groupBy("__tessera_id").count().filter("count > 1").select("__tessera_id"), "several")
+    kept = save(found.filter("keep").select("__tessera_id", "__tessera_digest").distinct(), "kept")
+    words_of = F.pandas_udf(lambda texts: texts.map(lambda t: digest(word_bytes(t))), "binary")
+    named = docs.withColumn("__tessera_id", F.col("doc_id").cast("long")).join(kept.select("__tessera_id").distinct(), "__tessera_id", "left_semi")
+    once = named.join(several, "__tessera_id", "left_anti")
+    again = named.join(several, "__tessera_id", "left_semi").withColumn("__tessera_digest", words_of(F.col("text").cast("string")))
+    again = again.join(kept, ["__tessera_id", "__tessera_digest"], "left_semi").dropDuplicates(["__tessera_id", "__tessera_digest"])
+    rest = docs.filter(F.col("doc_id").cast("long").isNull())
+    return once.select(docs.columns).unionByName(again.select(docs.columns)).unionByName(rest)

@@ -325,6 +325,21 @@ def test_near_dup_edges(odd_docs, no_docs):
     assert near_dup.classes(no_docs).count() == 0 and near_dup.keep_one(no_docs).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(5)
+    one, two = ([f"w{rng.randrange(10**6)}" for _ in range(120)] for _ in range(2))
+    near = lambda t: " ".join([*t[:-1], "other"])
+    rows = [(7, " ".join(one)), (7, " ".join(two)), (7, " ".join(two).upper()), (8, near(one)), (9, near(two)), (10, "alone"), (11, near(one[:60] + two[:60])), (11, " ".join(one[:60] + two[:60]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = defaultdict(set)
+    for r in near_dup.classes(docs).collect():
+        classes[r.class_id, bytes(r.class_digest)].add(r.doc_id)
+    assert sorted(map(sorted, classes.values())) == [[7, 8], [7, 9], [10], [11]]
+    kept = near_dup.keep_one(docs).collect()
+    assert sorted(r.doc_id for r in kept) == [7, 7, 10, 11]
+    assert {r.text.lower() for r in kept if r.doc_id == 7} == {" ".join(one), " ".join(two)}
+
+
 def test_op5(spark):
     small = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{small}/documents.parquet")

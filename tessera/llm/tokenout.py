@@ -14,7 +14,7 @@ output whole when a task is tried again. A shard file is, little-endian througho
 The offsets let a reader decompress one short document without touching the rest of the shard.
 
 Nulls and edge cases: a null text counts as empty (its record holds the end id alone); null doc_ids come first;
-equal doc_ids are ordered by checksum, then length; an empty table gives an empty output; extra columns are ignored.
+equal doc_ids are ordered by a hash of the text, then the text; an empty table gives an empty output; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,17 +27,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.byte_bpe import byte_bpe
-from tessera.llm.common import bounded_sample, save
+from tessera.llm.common import bounded_sample
 
 MAGIC = b"TSRSHRD1"
 HEAD = struct.Struct("<8sHIQ16s")
-ENCODED = "doc_id long, n_tokens long, ids_crc32 long, frame binary"
 SHARDS = "part int, shard int, first_doc long, last_doc long, n_docs int, n_tokens long, tokens_before long, content binary"
 TOKENS = "doc_id long, start long, n_tokens long, ids_crc32 long"
+#: Row groups of a few MB, looked at after every 16 shards: a reader holds one of them at a time.
+SMALL_GROUPS = {"compression": "none", "parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "4", "parquet.block.size.row.check.min": "16", "parquet.enable.dictionary": "false"}
 
 
 def _narrow(raw: bytes, width: int) -> bytes:
@@ -72,32 +74,6 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, s
         return b"".join(got)[:size]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, width: int, dictionary: bytes) -> DataFrame:
-    """One row for each document: its count of ids, their checksum as u32, and its compressed frame. No shuffle."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = byte_bpe(tokenizer), end_id.to_bytes(4, "little")
-        shared = _dictionary(dictionary)
-        if shared:
-            shared.precompute_compress(level=3)
-        press = zstandard.ZstdCompressor(level=3, **({"dict_data": shared} if shared else {})).compress
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                ids, texts = b.column(0).slice(at, 512), b.column(1).slice(at, 512).to_pylist()
-                n, crc, frames = [], [], []
-                for t in texts:
-                    raw = bpe.encode(t) + end
-                    n.append(len(raw) // 4)
-                    crc.append(zlib.crc32(raw))
-                    frames.append(press(_narrow(raw, width)))
-                yield pa.record_batch(
-                    [ids, pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(frames, pa.binary())],
-                    ["doc_id", "n_tokens", "ids_crc32", "frame"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, ENCODED)
-
-
 def build_shard(rows: list[tuple], before: int, width: int, dict_hash: bytes) -> bytes:
     """rows: (doc_id or None, tokens, frame) in order."""
     offsets = np.cumsum([0] + [len(r[2]) for r in rows], dtype="<u8")
@@ -134,56 +110,51 @@ class Shard:
         return np.frombuffer(self.press.decompress(self.content[a:b]), "<u4" if self.width == 4 else "<u2")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int, part_bytes: int = 64 << 20, shard_bytes: int = 1 << 20, dictionary_sample: int = 1000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int, part_bytes: int = 64 << 20, shard_bytes: int = 128 << 10, dictionary_sample: int = 1000) -> None:
     """Write `docs` to `path` in ascending doc_id order.
 
-    Frames are dealt to `parts` ranges of doc_id whose bounds come from one pass over the ids alone, so texts are
-    encoded once and only frames are shuffled. Every part is cut into shards of about `shard_bytes`.
+    Rows are dealt to ranges of (doc_id, hash of the text), of about `part_bytes` of text or less, so that a doc_id that
+    many rows share is dealt to several; each range is sorted, encoded once, and cut into shards of about `shard_bytes`.
     """
     spark = docs.sparkSession
     width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
     blob = train_dictionary(docs, tokenizer, end_id, width, dictionary_sample)
     digest = dictionary_hash(blob)
     spark.createDataFrame([(bytearray(blob), digest.hex())], "content binary, hash string").coalesce(1).write.parquet(f"{path}/dictionary")
-    encoded = save(encode_documents(docs, tokenizer, end_id, width, blob), "frames", "none")
-    total = encoded.agg(F.sum(F.length("frame")).alias("b")).first().b or 0
-    parts = max(1, -(-total // part_bytes))
-    bounds = []
-    if parts > 1:
-        cuts = [i / parts for i in range(1, parts)]
-        bounds = sorted(set(encoded.agg(F.percentile_approx("doc_id", cuts, 10 * parts + 1000).alias("q")).first().q or []))
-    part = F.lit(0)
-    for_bounds = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else None
-    if for_bounds is not None:
-        part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(for_bounds, lambda b: b <= F.col("doc_id"))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
+    parts = max(1, -(-total // part_bytes), min(4 * spark.sparkContext.defaultParallelism, total // (8 << 20)))
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held, before, number, where = [], 0, 0, 0, 0
+        bpe, end, part = byte_bpe(tokenizer), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
+        shared = _dictionary(blob)
+        if shared:
+            shared.precompute_compress(level=3)
+        press = zstandard.ZstdCompressor(level=3, **({"dict_data": shared} if shared else {})).compress
+        held: list[tuple] = []
+        size = before = number = 0
 
         def flush() -> pa.RecordBatch:
-            tokens = sum(r[1] for r in rows)
-            ids = [r[0] for r in rows if r[0] is not None]
-            body = build_shard(rows, before, width, digest)
-            values = [[where], [number], [ids[0] if ids else None], [ids[-1] if ids else None], [len(rows)], [tokens], [before], [body]]
+            tokens = sum(r[1] for r in held)
+            ids = [r[0] for r in held if r[0] is not None]
+            values = [[part], [number], [ids[0] if ids else None], [ids[-1] if ids else None], [len(held)], [tokens], [before], [build_shard(held, before, width, digest)]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             return pa.record_batch([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in SHARDS.split(", ")])
 
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns[:3]), strict=True):
-                rows.append(r)
-                held += len(r[2])
-                if held >= shard_bytes:
-                    where = b.column(3)[0].as_py()
+            for doc, text in zip(b.column(0), b.column(1), strict=True):
+                raw = bpe.encode(text.as_py()) + end
+                held.append((doc.as_py(), len(raw) // 4, press(_narrow(raw, width))))
+                size += len(held[-1][2])
+                if size >= shard_bytes:
                     yield flush()
-                    before, number, rows, held = before + sum(x[1] for x in rows), number + 1, [], 0
-            if b.num_rows:
-                where = b.column(3)[0].as_py()
-        if rows:
+                    before, number, held, size = before + sum(r[1] for r in held), number + 1, [], 0
+        if held:
             yield flush()
 
-    dealt = encoded.withColumn("part", part.cast("int")).repartitionById(int(parts), F.col("part"))
-    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids_crc32", "n_tokens")
-    ordered.select("doc_id", "n_tokens", "frame", "part").mapInArrow(shards, SHARDS).write.option("compression", "none").parquet(f"{path}/shards")
+    by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
+    dealt = rows.repartitionByRange(int(parts), *by[:2]).sortWithinPartitions(*by)
+    dealt.mapInArrow(shards, SHARDS).write.options(**SMALL_GROUPS).parquet(f"{path}/shards")
 
 
 def _read_dictionary(spark: SparkSession, path: str) -> bytes:
@@ -198,28 +169,27 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, ids of all documents before it, its count of ids, their checksum."""
     blob = _read_dictionary(spark, path)
     files = spark.read.schema(SHARDS).parquet(f"{path}/shards")
-    ends = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # one row for each part
-    starts, at = {}, 0
-    for r in ends:
-        starts[r.part] = at
-        at += r.n
+    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    starts = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("part_start"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for start, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 shard = Shard(content.as_py(), blob)
                 crc, n = [], []
                 for i in range(shard.n):
                     ids = shard.ids(i)
                     n.append(len(ids))
                     crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                start = starts[part] + shard.before + np.cumsum([0, *n], dtype=np.int64)[:-1]
+                first = start + shard.before + np.cumsum([0, *n], dtype=np.int64)[:-1]
                 yield pa.record_batch(
-                    [pa.array(shard.doc_ids.astype(np.int64), mask=shard.nulls.astype(bool)), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())],
+                    [pa.array(shard.doc_ids.astype(np.int64), mask=shard.nulls.astype(bool)), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return files.select("part", "content").mapInArrow(decode, TOKENS)
+    placed = files.select("part", "content").join(F.broadcast(starts), "part")
+    return placed.select("part_start", "content").mapInArrow(decode, TOKENS)
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[int] | None:

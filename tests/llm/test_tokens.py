@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def byte_bpe():
-    return ByteBpe(tokenizer_path(BYTE_BPE), cap=50)
+    return ByteBpe(tokenizer_path(BYTE_BPE))
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +40,23 @@ def test_byte_bpe_is_exact(byte_bpe, texts):
     for t in ODD + texts:
         assert np.frombuffer(byte_bpe.encode(t), "<u4").tolist() == reference_ids(byte_bpe, t)
     assert byte_bpe.encode(None) == b""
+    for t in (" " * 5000 + "x", "a" + "\n" * 1999 + "b", "y" * 50_000, "1" * 9000 + " " * 2500, "!?" * 20_000):
+        assert np.frombuffer(byte_bpe.encode(t), "<u4").tolist() == reference_ids(byte_bpe, t)
+
+
+def test_byte_bpe_on_every_kind_of_character(byte_bpe):
+    """Both expressions put characters into the classes that the library puts them into."""
+    import random
+
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 997):
+        some = [chr(c) for c in points[at : at + 997 : 4]]
+        for t in ("".join(f"a{c}b1{c}2!{c}?" for c in some), " ".join(f"a{c}1{c} {c}{c}x  {c}\n" for c in some)):
+            assert np.frombuffer(byte_bpe.encode(t), "<u4").tolist() == reference_ids(byte_bpe, t)
+    rng = random.Random(1)
+    for _ in range(5000):
+        t = "".join(rng.choice("ab'strevdlm 1 9\n\t\r \u3000\xa0\x85\x1cé日😀!.") for _ in range(rng.randint(1, 14)))
+        assert np.frombuffer(byte_bpe.encode(t), "<u4").tolist() == reference_ids(byte_bpe, t)
 
 
 def test_piece_bpe_is_exact(piece_bpe, texts):
@@ -95,6 +112,11 @@ def test_op10(spark, odd_docs, no_docs, byte_bpe):
     check_tokens(tokenout.read_tokens(spark, path).collect(), odd_docs.collect(), byte_bpe, 2)
     assert tokenout.read_document(spark, path, 9) == reference_ids(byte_bpe, "日本語 テキスト 😀 naïve café") + [2]
     assert tokenout.read_document(spark, path, 4) is None
+    hot = spark.range(600).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "concat('text ', id, repeat(' and more', 50)) as text")
+    several = scratch(spark, "t")
+    tokenout.write_tokens(hot, several, tokenizer_path(BYTE_BPE), 2, 50257, part_bytes=20_000, shard_bytes=500)
+    check_tokens(tokenout.read_tokens(spark, several).collect(), hot.collect(), byte_bpe, 2)
+    assert spark.read.parquet(f"{several}/shards").filter("first_doc = 7 and last_doc = 7").select("part").distinct().count() > 2  # a shared id is dealt to several
     shard = spark.read.parquet(f"{path}/shards").first()
     with pytest.raises(ValueError):
         tokenout.Shard(bytes(shard.content), b"another dictionary")

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm.byte_bpe import byte_bpe
 from tessera.llm.common import save
 
+STRETCH = 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker int, class int, number long"
 
 
@@ -102,8 +103,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048,
         return pieces.select(*PIECES.split(" long, ")[:1], "start", "length", "ids_crc32", "doc_tokens", F.col("number").alias("sequence_id"), F.col("number").alias("offset"), "class")
     classes = spark.createDataFrame([(k, base[k], totals[k] // k * k) for k in totals], "class int, base long, whole long")
     before = Window.partitionBy("class").orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(classes), "class").drop("n")
-    ranked = pieces.join(shift, ["worker", "class"]).withColumn("rank", F.col("shift") + F.col("number"))
+    shift = counts.withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(classes), "class")
+    # keyed by stretches of numbers, so that no worker's frequent class lands in one task
+    stretches = shift.withColumn("stretch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / STRETCH)))).drop("n")
+    ranked = pieces.withColumn("stretch", F.floor(F.col("number") / STRETCH)).join(stretches, ["worker", "class", "stretch"]).withColumn("rank", F.col("shift") + F.col("number"))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     closed = ranked.filter(F.col("rank") < F.col("whole")).withColumn("sequence_id", F.col("base") + F.floor(F.col("rank") / F.col("class")).cast("long"))

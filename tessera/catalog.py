@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.operators import joins
 from tessera.plans.request import Request
 from tessera.sources.fields import Crutch, Field, IndexMapping
+from tessera.sources.importer import Ids
 from tessera.sources.index import Index
 from tessera.streaming.feed import delayed_chunks
 
@@ -29,9 +32,30 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def shared(spark: SparkSession, name: str) -> str:
+    """A fresh path in the cluster's shared folder; one of this machine's only in local mode without such a folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+
+
+_analysed: dict[tuple, Index] = {}
+
+
 def index(spark: SparkSession, sf: str, name: str, **more) -> Index:
+    """An index over a table; text is analysed once a session and table, then kept with its tokens."""
     key, text = TABLES[name]
-    return Index(name, frame=lambda: table(spark, sf, name), id_column=key, text=text, **more)
+    plain = Index(name, frame=lambda: table(spark, sf, name), id_column=key, text=text, **more)
+    if not text:
+        return plain
+    at = (spark.sparkContext.applicationId, sf, name)
+    if at not in _analysed:
+        _analysed[at] = plain.analysed(shared(spark, f"analysed-{name}"), files=2 * spark.sparkContext.defaultParallelism)
+    plain._frame, plain._terms = _analysed[at]._frame, _analysed[at]._terms
+    return plain
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -377,6 +401,53 @@ def post_filter_vs_aggs(spark, sf):
     return r.matching().agg(F.count("*").alias("hits")).join(F.broadcast(r.aggs_frame("a")), F.lit(True)).select("hits", "key", "doc_count")
 
 
+@query("agg_siblings", "SELECT o_orderstatus AS key, o_orderpriority AS priority, count(*) AS doc_count, round(max(o_totalprice), 2) AS top FROM orders GROUP BY 1, 2")
+def agg_siblings(spark, sf):
+    inner = {"priority": {"terms": {"field": "o_orderpriority"}, "aggs": {"top": {"max": {"field": "o_totalprice"}}}}, "price": {"range": {"field": "o_totalprice", "ranges": [{"to": 100000}, {"from": 100000}]}}}
+    r = index(spark, sf, "orders").aggs({"a": {"terms": {"field": "o_orderstatus"}, "aggs": inner}})
+    return r.aggs_frame("a", "priority").withColumn("top", F.round("top", 2))
+
+
+@query("agg_siblings_range", "SELECT s.key, p.price, count(o_orderkey) AS doc_count FROM (SELECT DISTINCT o_orderstatus AS key FROM orders) s CROSS JOIN (VALUES ('*-100000'), ('100000-*')) p(price) LEFT JOIN orders ON o_orderstatus = s.key AND (CASE WHEN o_totalprice < 100000 THEN '*-100000' ELSE '100000-*' END) = p.price GROUP BY 1, 2")
+def agg_siblings_range(spark, sf):
+    inner = {"priority": {"terms": {"field": "o_orderpriority"}}, "price": {"range": {"field": "o_totalprice", "ranges": [{"to": 100000}, {"from": 100000}]}}}
+    return index(spark, sf, "orders").aggs({"a": {"terms": {"field": "o_orderstatus"}, "aggs": inner}}).aggs_frame("a", "price")
+
+
+GAPS = "SELECT o_orderkey, o_orderstatus AS k, CASE WHEN o_orderstatus <> 'P' AND o_orderkey % 3 > 0 THEN o_orderpriority END AS j, o_totalprice AS v FROM orders"
+
+
+def with_gaps(spark, sf) -> Index:
+    rows = lambda: table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderstatus k", "case when o_orderstatus <> 'P' and o_orderkey % 3 > 0 then o_orderpriority end j", "o_totalprice v")
+    return Index("gaps", frame=rows, id_column="o_orderkey")
+
+
+@query("agg_terms_null_inner", f"WITH g AS ({GAPS}), o AS (SELECT k, count(*) AS n FROM g GROUP BY 1), i AS (SELECT k, j, count(*) AS c FROM g WHERE j IS NOT NULL GROUP BY 1, 2) SELECT o.k AS key, o.n AS outer_count, i.j, coalesce(i.c, 0) AS doc_count FROM o LEFT JOIN i ON o.k = i.k")
+def agg_terms_null_inner(spark, sf):
+    r = with_gaps(spark, sf).aggs({"a": {"terms": {"field": "k"}, "aggs": {"j": {"terms": {"field": "j"}}}}})
+    outer = r.aggs_frame("a", "").select("key", F.col("doc_count").alias("outer_count"))
+    return r.aggs_frame("a").join(outer, "key").select("key", "outer_count", "j", "doc_count")
+
+
+@query("agg_mad", "WITH m AS (SELECT o_orderstatus AS key, median(o_totalprice) AS mid FROM orders GROUP BY 1) SELECT key, count(*) AS doc_count, round(median(abs(o_totalprice - mid)), 4) AS mad FROM orders JOIN m ON o_orderstatus = key GROUP BY 1")
+def agg_mad(spark, sf):
+    d = agg(spark, sf, "orders", {"terms": {"field": "o_orderstatus"}, "aggs": {"mad": {"median_absolute_deviation": {"field": "o_totalprice"}}}})
+    return d.withColumn("mad", F.round("mad", 4))
+
+
+@query("agg_moving_fn", f"SELECT strftime(k, '%Y-%m-%d') AS day, doc_count, round(avg(v) OVER (ORDER BY k ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 4) AS mean, round(max(v) OVER (ORDER BY k ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 4) AS top FROM ({DAYS})")
+def agg_moving_fn(spark, sf):
+    inner = {"v": {"sum": {"field": "value"}}, "mean": {"moving_fn": {"buckets_path": "v", "window": 3, "script": "MovingFunctions.unweightedAvg(values)"}}, "top": {"moving_fn": {"buckets_path": "v", "window": 3, "script": "MovingFunctions.max(values)"}}}
+    d = agg(spark, sf, "events", {"date_histogram": {"field": "ts", "calendar_interval": "day"}, "aggs": inner})
+    return d.select(F.date_format("key", "yyyy-MM-dd").alias("day"), "doc_count", F.round("mean", 4).alias("mean"), F.round("top", 4).alias("top"))
+
+
+@query("agg_bucket_selector", "SELECT * FROM (SELECT c_nationkey AS key, count(*) AS doc_count, round(avg(c_acctbal), 4) AS mean FROM customer GROUP BY 1 ORDER BY doc_count DESC, key LIMIT 30) WHERE mean > 4500")
+def agg_bucket_selector(spark, sf):
+    spec = {"terms": {"field": "c_nationkey", "size": 30}, "aggs": {"mean": {"avg": {"field": "c_acctbal"}}, "rich": {"bucket_selector": {"buckets_path": {"m": "mean"}, "script": "m > 4500"}}}}
+    return agg(spark, sf, "customer", spec).withColumn("mean", F.round("mean", 4))
+
+
 # -- fetch ------------------------------------------------------------------------------------------------------
 
 
@@ -392,6 +463,13 @@ def script_field(spark, sf):
     return r.search.page(everything=True).select("l_orderkey", "l_linenumber", "revenue")
 
 
+@query("script_params", "SELECT c_custkey, 'O''Neil ' || c_name AS said FROM customer WHERE 'a''b' <> c_name AND c_acctbal > 100.5 AND c_nationkey IN (1, 2)")
+def script_params(spark, sf):
+    test = {"script": {"script": {"source": "params.odd <> c_name and c_acctbal > params.least and array_contains(params.all, c_nationkey)", "params": {"odd": "a'b", "least": 100.5, "all": [1, 2]}}}}
+    r = index(spark, sf, "customer").filter(test).script_fields({"said": {"script": {"source": "concat(params.who, ' ', c_name)", "params": {"who": "O'Neil"}}}})
+    return r.search.page(everything=True).select("c_custkey", "said")
+
+
 @query("highlight", "SELECT p_partkey, regexp_replace(p_name, '(?i)\\b(widget)\\b', '<em>\\1</em>', 'g') AS marked FROM part WHERE list_contains(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+'), 'widget')")
 def highlight(spark, sf):
     r = index(spark, sf, "part").query({"match": {"p_name": "widget"}}).highlight({"fields": {"p_name": {"number_of_fragments": 0}}})
@@ -449,6 +527,13 @@ def nested_agg(spark, sf):
     return nested_orders(spark, sf).aggs({"a": spec}).aggs_frame("a").withColumn("q", F.round("q", 6))
 
 
+@query("agg_reverse_nested", "SELECT l_returnflag AS key, o_orderpriority AS priority, count(DISTINCT o_orderkey) AS doc_count FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2")
+def agg_reverse_nested(spark, sf):
+    flag = {"terms": {"field": "items.flag"}, "aggs": {"up": {"reverse_nested": {}, "aggs": {"priority": {"terms": {"field": "o_orderpriority"}}}}}}
+    r = nested_orders(spark, sf).aggs({"a": {"nested": {"path": "items"}, "aggs": {"flag": flag}}})
+    return r.aggs_frame("a")
+
+
 def turns(spark, sf) -> Index:
     """Conversations as a join: turn 0 is the parent, the others its children."""
     def rows() -> DataFrame:
@@ -517,13 +602,9 @@ def json_props_filter(spark, sf):
 
 def merged(old: DataFrame, ops: DataFrame, spark: SparkSession, fields: list[str] | None = None) -> DataFrame:
     """Documents after a merge, in a store of the shared folder."""
-    import tempfile
-    import uuid
-
     from tessera.sources.store import Store
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tessera-store-")
-    store = Store(spark, f"{base.rstrip('/')}/stores/{uuid.uuid4().hex}", "index")
+    store = Store(spark, shared(spark, "stores"), "index")
     store.write(old)
     store.merge(ops, fields)
     return store.read()
@@ -570,20 +651,89 @@ def sync_diff(spark, sf):
 
 @query("journal_replay", "SELECT event_type AS index_name, CAST(user_id AS VARCHAR) AS reference FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 1 SECOND GROUP BY 1, 2")
 def journal_replay(spark, sf):
-    import tempfile
     from datetime import datetime
 
     from tessera.sources.journal import Journal
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tessera-journal-")
-    import uuid
-
-    journal = Journal(spark, f"{base.rstrip('/')}/journals/{uuid.uuid4().hex}")
+    journal = Journal(spark, shared(spark, "journals"))
     entries = table(spark, sf, "events").groupBy(F.col("event_type").alias("index_name"), F.col("ts").cast("timestamp_ntz").alias("created_at")).agg(F.collect_set(F.col("user_id").cast("string")).alias("references"))
-    entries.select("index_name", F.lit("index").alias("action"), "references", "created_at").write.mode("append").parquet(journal.path)
+    entries.select("index_name", F.lit("index").alias("action"), "references", "created_at").write.parquet(journal.segment())
     return journal.references(datetime(2024, 1, 20))
 
 
+def stored_orders(spark, sf, **more) -> Index:
+    """An index of its own folder over changing source rows: `rows` holds the DataFrame that is the source now."""
+    held = {"rows": table(spark, sf, "orders").selectExpr("o_orderkey id", "o_orderstatus status", "o_totalprice price", "o_orderpriority note")}
+    mapping = IndexMapping([Field("status", "keyword"), Field("price", "double"), Field("note", "text")])
+    own = Index("orders", mapping=mapping, source=lambda: held["rows"], root=shared(spark, "indexes"), **more)
+    own.held = held
+    return own
+
+
+CHANGED = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 4 = 0 THEN -1.0 ELSE o_totalprice END AS price FROM orders WHERE o_orderkey % 9 <> 0"
+
+
+def changed(rows: DataFrame) -> DataFrame:
+    four = F.col("id") % 4 == 0
+    return rows.filter("id % 9 <> 0").withColumn("status", F.when(four, "X").otherwise(F.col("status"))).withColumn("price", F.when(four, -1.0).otherwise(F.col("price")))
+
+
+@query("importer_fields", "SELECT CAST(o_orderkey AS VARCHAR) AS _id, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 9 <> 0 THEN 'X' ELSE o_orderstatus END AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderkey % 9 <> 0")
+def importer_fields(spark, sf):
+    """A whole import; then the status alone of all rows that the changed source holds, and all of each fifth order, which deletes those gone."""
+    own = stored_orders(spark, sf)
+    own.import_()
+    all_ids = own.held["rows"].select("id")
+    own.held["rows"] = changed(own.held["rows"])
+    own.import_(own.source_rows(), update_fields=["status"])
+    own.import_(Ids(all_ids.filter("id % 5 = 0 and id % 9 = 0").select(F.col("id").alias("_id"))))
+    return own.documents().select("_id", "status", "price")
+
+
+@query("journal_apply", f"SELECT CAST(id AS VARCHAR) AS _id, status, price FROM ({CHANGED})")
+def journal_apply(spark, sf):
+    """What the journal says of one import is imported again from the source as it is by then."""
+    from tessera.sources.journal import Journal, now
+
+    own, journal, began = stored_orders(spark, sf), Journal(spark, shared(spark, "journals")), now()
+    own.import_(journal=journal)
+    own.held["rows"] = changed(own.held["rows"])
+    journal.apply(began, [own])
+    return own.documents().select("_id", "status", "price")
+
+
+@query("sync_perform", f"SELECT CAST(id AS VARCHAR) AS _id, status, price FROM ({CHANGED})")
+def sync_perform(spark, sf):
+    from tessera.sources.syncer import Syncer
+
+    own = stored_orders(spark, sf)
+    own.import_()
+    own.held["rows"] = changed(own.held["rows"])
+    Syncer(own, "price").perform()
+    return own.documents().select("_id", "status", "price")
+
+
+@query("request_delete_all", "SELECT CAST(o_orderkey AS VARCHAR) AS _id FROM orders WHERE NOT coalesce(o_totalprice > 100000 AND o_orderstatus = 'F', false)")
+def request_delete_all(spark, sf):
+    own = stored_orders(spark, sf)
+    own.import_()
+    own.filter({"range": {"price": {"gt": 100000}}}).filter({"term": {"status": "F"}}).delete_all()
+    return own.documents().select("_id")
+
+
+@query("journal_clean", "SELECT event_type AS index_name, CAST(user_id AS VARCHAR) AS reference FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00' OR event_type <> 'click' GROUP BY 1, 2")
+def journal_clean(spark, sf):
+    from datetime import datetime
+
+    from tessera.sources.journal import Journal
+
+    journal = Journal(spark, shared(spark, "journals"))
+    entries = table(spark, sf, "events").groupBy(F.col("event_type").alias("index_name"), F.col("ts").cast("timestamp_ntz").alias("created_at")).agg(F.collect_set(F.col("user_id").cast("string")).alias("references"))
+    entries.select("index_name", F.lit("index").alias("action"), "references", "created_at").write.parquet(journal.segment())
+    journal.clean(datetime(2024, 1, 15), ["click"])
+    return journal.references(datetime(2000, 1, 1))
+
+
 @query("delayed_chunks", "SELECT event_type, CAST((floor(epoch(ts) / 3600) + 1) * 3600 AS BIGINT) AS chunk, count(DISTINCT user_id) AS n FROM events GROUP BY 1, 2")
 def delayed_chunks_query(spark, sf):
     d = delayed_chunks(table(spark, sf, "events"), "ts", "user_id", "event_type", latency=3600)

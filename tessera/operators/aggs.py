@@ -1,13 +1,14 @@
 """Aggregations: every definition becomes one flat DataFrame; trees are put together from the flat rows.
 
-Buckets inside buckets are one aggregation over all keys on the way, so their depth adds no passes. Metrics of the same
-level share an aggregation.
+Buckets inside buckets are one aggregation over all keys on the way: a tree takes one job for each definition, whatever the
+number of buckets. Metrics of the same level share an aggregation.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 from typing import Any
 
@@ -22,6 +23,8 @@ from tessera.operators.sorting import sort_keys, tie_breaks
 METRICS = {"avg", "sum", "min", "max", "value_count", "stats", "extended_stats", "cardinality", "percentiles", "percentile_ranks", "median_absolute_deviation", "weighted_avg", "geo_bounds", "geo_centroid"}
 BUCKETS = {"terms", "histogram", "date_histogram", "range", "date_range", "filter", "filters", "missing", "global", "nested", "reverse_nested", "composite", "top_hits"}
 PIPELINES = {"derivative", "cumulative_sum", "moving_fn", "moving_avg", "serial_diff", "bucket_sort", "bucket_script", "bucket_selector", "avg_bucket", "sum_bucket", "max_bucket", "min_bucket", "stats_bucket"}
+SHIFTS = {"global", "nested", "reverse_nested"}
+NAMED = {"filters", "filter", "range", "date_range", "missing"}
 PERCENTS = [1, 5, 25, 50, 75, 95, 99]
 #: Calendar units of date histograms.
 CALENDAR = {"minute": "MINUTE", "1m": "MINUTE", "hour": "HOUR", "1h": "HOUR", "day": "DAY", "1d": "DAY", "week": "WEEK", "1w": "WEEK", "month": "MONTH", "1M": "MONTH", "quarter": "QUARTER", "1q": "QUARTER", "year": "YEAR", "1y": "YEAR"}
@@ -72,10 +75,21 @@ def metric_columns(name: str, kind: str, body: Mapping, c: Compiler) -> dict[str
         return {f"{name}.{p:g}": F.percentile(v, p / 100) for p in map(float, body.get("percents", PERCENTS))}
     if kind == "percentile_ranks":
         return {f"{name}.{x:g}": 100.0 * F.count_if(v <= x) / F.count(v) for x in map(float, body["values"])}
-    # median absolute deviation: the median of distances from the median
-    middle = lambda a: F.element_at(F.array_sort(a), F.ceil(F.size(a) / 2).cast("int"))
-    values = F.collect_list(v.cast("double"))
-    return {name: middle(F.transform(values, lambda x: F.abs(x - middle(values))))}
+    # median absolute deviation: the group's median is there already (see Aggregator.aggregated)
+    return {name: F.percentile(F.abs(v - F.col(f"`__median_{name}`")), 0.5)}
+
+
+@dataclass(frozen=True)
+class Level:
+    """Rows that an aggregation looks at, and the columns that hold the keys of the buckets around it.
+
+    shown: the names under which a flat result gives those columns.
+    """
+
+    df: DataFrame
+    compiler: Compiler
+    parents: list[str] = field(default_factory=list)
+    shown: dict[str, str] = field(default_factory=dict)
 
 
 class Aggregator:
@@ -86,14 +100,13 @@ class Aggregator:
 
     # -- flat results -----------------------------------------------------------------------------------------
 
-    def metrics(self, defs: Mapping[str, Mapping], df: DataFrame | None = None) -> DataFrame:
+    def metrics(self, defs: Mapping[str, Mapping]) -> DataFrame:
         """All metrics of a level in one row."""
-        columns = {k: v for name, spec in defs.items() for k, v in metric_columns(name, *kind_of(spec), self.compiler).items()}
-        return (self.df if df is None else df).agg(*[v.alias(k) for k, v in columns.items()])
+        return self.aggregated(self.df, [], defs, self.compiler).drop("doc_count")
 
-    def key(self, kind: str, body: Mapping, df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    def key(self, kind: str, body: Mapping, at: Level) -> tuple[DataFrame, dict[str, Column]]:
         """The rows that a bucket aggregation looks at, and its key columns (one row may be in several buckets)."""
-        c = self.compiler
+        df, c = at.df, at.compiler
         if kind == "terms":
             v = c.script(body["script"]) if "script" in body else c.col(body["field"])
             if "field" in body and (c.is_array(body["field"]) or body["field"] in c.schema.analyzers):
@@ -144,91 +157,118 @@ class Aggregator:
             for source in body["sources"]:
                 name, spec = next(iter(source.items()))
                 inner, rest = kind_of(spec)
-                df, own = self.key(inner, rest, df)
+                df, own = self.key(inner, rest, replace(at, df=df))
                 columns[name] = own["key"]
             return df, columns
         raise ValueError(f"{kind} has no key")
 
-    def flat(self, name: str, spec: Mapping, df: DataFrame | None = None) -> DataFrame:
+    def flat(self, name: str, spec: Mapping, path: str | None = None) -> DataFrame:
         """One aggregation as a DataFrame: key columns, doc_count, and the metrics below it (as `metric` or `metric.part`).
 
-        Buckets inside it become further key columns (`key`, then the inner aggregations' names).
+        Buckets inside it become further key columns (`key`, then the inner aggregations' names). path: which of them, by
+        names with `>` between; "" for none. Without a path the only one on each level is followed. Outer buckets without any
+        inner one are there with a null inner key and 0 documents.
         """
-        df = self.df if df is None else df
         kind, body = kind_of(spec)
-        inside = subs(spec)
         if kind in METRICS:
-            return self.metrics({name: spec}, df)
+            return self.metrics({name: spec})
+        way = None if path is None else [p for p in path.split(">") if p]
+        out, shown = self.flat_level(Level(self.df, self.compiler), name, spec, way)
+        return out.select(*[F.col(f"`{c}`").alias(shown.get(c, c)) for c in out.columns])
+
+    def flat_level(self, at: Level, name: str, spec: Mapping, path: list[str] | None) -> tuple[DataFrame, dict[str, str]]:
+        kind, body = kind_of(spec)
+        inside = subs(spec)
+        if kind == "top_hits":
+            return self.top_hits(body, at), at.shown
+        if kind in SHIFTS:
+            inner = self.shifted(kind, body, at)
+            if (below := self.chosen(inside, path)) is not None:
+                return self.flat_level(inner, below, inside[below], path[1:] if path else path)
+            return self.aggregated(inner.df, inner.parents, inside, inner.compiler), at.shown
+        out, inner = self.level(at, name, spec)
+        if (below := self.chosen(inside, path)) is None:
+            return out, inner.shown
+        kept = out.select(*inner.parents)
+        inner = replace(inner, df=inner.df.join(F.broadcast(kept), inner.parents, "left_semi"))
+        deeper, shown = self.flat_level(inner, below, inside[below], path[1:] if path else path)
+        whole = kept.join(deeper, inner.parents, "left")
+        return (whole.withColumn("doc_count", F.coalesce("doc_count", F.lit(0))) if "doc_count" in deeper.columns else whole), shown
+
+    @staticmethod
+    def chosen(inside: Mapping, path: list[str] | None) -> str | None:
+        """The inner bucket aggregation to go on with."""
+        names = [n for n, s in inside.items() if kind_of(s)[0] in BUCKETS]
+        if path is not None:
+            if path and path[0] not in names:
+                raise ValueError(f"no inner aggregation {path[0]!r} among {names}")
+            return path[0] if path else None
+        if len(names) > 1:
+            raise ValueError(f"several inner aggregations, choose one by path: {names}")
+        return names[0] if names else None
+
+    def shifted(self, kind: str, body: Mapping, at: Level) -> Level:
+        """The rows that a nested, reverse_nested or global aggregation looks at."""
         if kind == "global":
-            return self.flat_below(inside, self.everything)
+            return Level(self.everything, self.compiler)
         if kind == "nested":
-            root = df.select("*", F.explode(self.compiler.col(body["path"])).alias("__e"))
-            inner = Compiler(self.compiler.schema, self.compiler.stats, F.col("__e"), body["path"], self.compiler.flags)
-            return Aggregator(root, inner, self.everything, self.id_column).flat_below(inside, root)
-        if kind == "reverse_nested":
-            distinct = df.dropDuplicates(["_index", "_id"])
-            return Aggregator(distinct, Compiler(self.compiler.schema, self.compiler.stats, flags=self.compiler.flags), self.everything, self.id_column).flat_below(inside, distinct)
-        if kind == "top_hits":
-            return self.top_hits(body, df, [])
-        df, keys = self.key(kind, body, df)
-        return self.bucketed(kind, body, df, keys, inside)
-
-    def flat_below(self, inside: Mapping, df: DataFrame) -> DataFrame:
-        metrics = {n: s for n, s in inside.items() if kind_of(s)[0] in METRICS}
-        columns = {k: v for n, s in metrics.items() for k, v in metric_columns(n, *kind_of(s), self.compiler).items()}
-        deeper = [n for n in inside if n not in metrics]
-        if deeper:
-            return self.flat(deeper[0], inside[deeper[0]], df)
-        return df.agg(F.count("*").alias("doc_count"), *[v.alias(k) for k, v in columns.items()])
+            rows = at.df.select("*", F.explode(at.compiler.col(body["path"])).alias("__e"))
+            return Level(rows, Compiler(self.compiler.schema, self.compiler.stats, F.col("__e"), body["path"], self.compiler.flags), at.parents, at.shown)
+        plain = Compiler(self.compiler.schema, self.compiler.stats, flags=self.compiler.flags)
+        return Level(at.df.dropDuplicates(["_index", "_id", *at.parents]), plain, at.parents, at.shown)
 
-    def bucketed(self, kind: str, body: Mapping, df: DataFrame, keys: dict[str, Column], inside: Mapping) -> DataFrame:
+    @staticmethod
+    def aggregated(df: DataFrame, by: list[str], inside: Mapping, compiler: Compiler) -> DataFrame:
+        """doc_count and all metrics of `inside` for each group; medians that deviations start from are found before."""
+        metrics = {n: kind_of(s) for n, s in inside.items() if kind_of(s)[0] in METRICS}
+        middle = {n: compiler.col(body["field"]) for n, (kind, body) in metrics.items() if kind == "median_absolute_deviation"}
+        if middle:
+            medians = F.broadcast(df.groupBy(*by).agg(*[F.percentile(v, 0.5).alias(f"__median_{n}") for n, v in middle.items()]))
+            df = df.join(medians, by) if by else df.join(medians)
+        columns = {k: v for n, (kind, body) in metrics.items() for k, v in metric_columns(n, kind, body, compiler).items()}
+        return df.groupBy(*by).agg(F.count("*").alias("doc_count"), *[v.alias(k) for k, v in columns.items()])
+
+    def level(self, at: Level, name: str, spec: Mapping) -> tuple[DataFrame, Level]:
+        """The buckets of one aggregation within each of its parents, by one aggregation over all keys on the way, and the rows
+        marked with their keys, for what is inside. Keys have columns of their own (see Level.parents)."""
+        kind, body = kind_of(spec)
+        inside = subs(spec)
         pipes = {n: s for n, s in inside.items() if kind_of(s)[0] in PIPELINES}
-        metrics = {n: s for n, s in inside.items() if kind_of(s)[0] in METRICS}
-        below = {n: s for n, s in inside.items() if n not in pipes and n not in metrics}
-        df = df.withColumns({f"__key_{k}": v for k, v in keys.items()})
-        by = [F.col(f"__key_{k}").alias(k) for k in keys]
-        for n, s in below.items():
-            k2, b2 = kind_of(s)
-            if k2 == "top_hits":
-                return self.top_hits(b2, df, [f"__key_{k}" for k in keys], list(keys))
-            df, deeper = self.key(k2, b2, df)
-            inner = subs(s)
-            df = df.withColumns({f"__key_{n}": deeper["key"]})
-            by.append(F.col(f"__key_{n}").alias(n))
-            metrics |= {m: x for m, x in inner.items() if kind_of(x)[0] in METRICS}
-            break  # siblings are asked for one by one
-        columns = {k: v for n, s in metrics.items() for k, v in metric_columns(n, *kind_of(s), self.compiler).items()}
-        out = df.groupBy(*by).agg(F.count("*").alias("doc_count"), *[v.alias(k) for k, v in columns.items()])
-        if kind in ("filters", "filter", "range", "date_range", "missing"):
-            return self.all_named(kind, body, out, columns)
-        if kind in ("histogram", "date_histogram") and not below:
-            out = self.filled(kind, body, out)
+        df, keys = self.key(kind, body, at)
+        shown = {f"__k{len(at.parents)}_{i}": k if not at.parents else name if k == "key" else f"{name}.{k}" for i, k in enumerate(keys)}
+        own = list(shown)
+        df = df.withColumns(dict(zip(own, keys.values(), strict=True)))
+        out = self.aggregated(df, [*at.parents, *own], inside, at.compiler)
+        if kind in NAMED:
+            out = self.all_named(kind, body, out, own[0], at)
+        if kind in ("histogram", "date_histogram"):
+            out = self.filled(kind, body, out, own[0], at.parents)
         if "min_doc_count" in body:
             out = out.filter(F.col("doc_count") >= int(body["min_doc_count"]))
         if pipes:
-            out = self.piped(pipes, out, list(keys)[0])
+            out = self.piped(pipes, out, own[0], at.parents)
         if kind == "composite":
-            return self.composite(body, out, list(keys))
-        if kind == "terms" and not below:
-            out = out.orderBy(*self.term_order(body.get("order"), out)).limit(int(body.get("size", 10)))
-        elif kind == "terms":  # the outer buckets are limited, with all that is in them
-            total = Window.partitionBy("key")
-            ranked = out.withColumn("__n", F.sum("doc_count").over(Window.partitionBy("key")))
-            top = ranked.groupBy("key").agg(F.first("__n").alias("__n")).orderBy(F.desc("__n"), "key").limit(int(body.get("size", 10))).select("key")
-            out = ranked.join(top, "key").drop("__n")
-        return out
+            out = self.composite(body, out, own, list(keys))
+        if kind == "terms":
+            order, size = self.term_order(body.get("order"), own[0]), int(body.get("size", 10))
+            if at.parents:
+                place = F.row_number().over(Window.partitionBy(*at.parents).orderBy(*order))
+                out = out.withColumn("__place", place).filter(F.col("__place") <= size).drop("__place")
+            else:
+                out = out.orderBy(*order).limit(size)
+        return out, Level(df.drop("__k"), at.compiler, [*at.parents, *own], at.shown | shown)
 
     @staticmethod
-    def term_order(order: Any, df: DataFrame) -> list[Column]:
+    def term_order(order: Any, key: str) -> list[Column]:
         out = []
         for item in as_list(order) or [{"_count": "desc"}]:
             for name, way in item.items():
-                c = F.col("doc_count") if name == "_count" else F.col("key") if name in ("_key", "_term") else F.col(f"`{name}`")
+                c = F.col("doc_count") if name == "_count" else F.col(key) if name in ("_key", "_term") else F.col(f"`{name}`")
                 out.append(c.desc_nulls_last() if str(way).lower() == "desc" else c.asc_nulls_last())
-        return [*out, F.col("key").asc()]
+        return [*out, F.col(key).asc()]
 
-    def all_named(self, kind: str, body: Mapping, out: DataFrame, columns: Mapping) -> DataFrame:
-        """Named buckets are there even if they are empty."""
+    def all_named(self, kind: str, body: Mapping, out: DataFrame, key: str, at: Level) -> DataFrame:
+        """Named buckets are there even if they are empty, within each of the parents."""
         if kind in ("filter", "missing"):
             named = ["_"]
         elif kind == "filters":
@@ -236,34 +276,34 @@ class Aggregator:
             named += [body["other_bucket_key"]] if body.get("other_bucket_key") else []
         else:
             named = [r.get("key") or f"{r.get('from', '*')}-{r.get('to', '*')}" for r in body["ranges"]]
-        spark = out.sparkSession
-        every_ = spark.createDataFrame([(n,) for n in named], "key string")
-        full = every_.join(out, "key", "left")
+        around = at.df.select(*at.parents).distinct() if at.parents else out.sparkSession.range(1).select()
+        every_ = around.select(*at.parents, F.explode(F.array(*[F.lit(n) for n in named])).alias(key))
+        full = every_.join(out, [*at.parents, key], "left")
         return full.withColumn("doc_count", F.coalesce("doc_count", F.lit(0)))
 
-    def filled(self, kind: str, body: Mapping, out: DataFrame) -> DataFrame:
-        """Buckets between the first and the last that no document falls into, with 0 documents."""
+    def filled(self, kind: str, body: Mapping, out: DataFrame, key: str, parents: list[str]) -> DataFrame:
+        """Buckets between a parent's first and last that no document falls into, with 0 documents."""
         if int(body.get("min_doc_count", 0)) > 0:
             return out
-        ends = out.agg(F.min("key").alias("a"), F.max("key").alias("b"))
+        ends = out.groupBy(*parents).agg(F.min(key).alias("__a"), F.max(key).alias("__b")).filter("__a is not null")
         if kind == "histogram":
             step = float(body["interval"])
             bounds = body.get("extended_bounds", {})
-            low = F.least("a", F.lit(bounds["min"]).cast("double")) if "min" in bounds else F.col("a")
-            high = F.greatest("b", F.lit(bounds["max"]).cast("double")) if "max" in bounds else F.col("b")
+            low = F.least("__a", F.lit(bounds["min"]).cast("double")) if "min" in bounds else F.col("__a")
+            high = F.greatest("__b", F.lit(bounds["max"]).cast("double")) if "max" in bounds else F.col("__b")
             n = F.round((high - low) / step).cast("long")
-            grid = ends.filter("a is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("i"), low.alias("a")).select((F.col("a") + F.col("i") * step).alias("key"))
+            grid = ends.select(*parents, F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("__i"), low.alias("__a")).select(*parents, (F.col("__a") + F.col("__i") * step).alias(key))
         else:
             every_ = body.get("calendar_interval") or body.get("fixed_interval") or body.get("interval")
             m = re.fullmatch(r"(\d+)(ms|s|m|h|d)", every_) if every_ not in CALENDAR else None
             step = f"interval {int(float(m[1]) * SECONDS[m[2]])} seconds" if m else {"QUARTER": "interval 3 months"}.get(CALENDAR[every_], f"interval 1 {CALENDAR[every_].lower()}")
-            grid = ends.filter("a is not null").select(F.explode(F.expr(f"sequence(a, b, {step})")).alias("key"))
-        return grid.join(out, "key", "left").withColumn("doc_count", F.coalesce("doc_count", F.lit(0)))
+            grid = ends.select(*parents, F.explode(F.expr(f"sequence(__a, __b, {step})")).alias(key))
+        return grid.join(out, [*parents, key], "left").withColumn("doc_count", F.coalesce("doc_count", F.lit(0)))
 
-    def composite(self, body: Mapping, out: DataFrame, keys: list[str]) -> DataFrame:
+    def composite(self, body: Mapping, out: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
         ways = [str(kind_of(next(iter(s.values())))[1].get("order", "asc")).lower() == "desc" for s in body["sources"]]
         if "after" in body:
-            after = [body["after"][k] for k in keys]
+            after = [body["after"][n] for n in names]
             tests = []
             for i, (k, down) in enumerate(zip(keys, ways, strict=True)):
                 here = F.col(k) < F.lit(after[i]) if down else F.col(k) > F.lit(after[i])
@@ -271,9 +311,9 @@ class Aggregator:
             out = out.filter(reduce_or(tests))
         return out.orderBy(*[F.desc(k) if d else F.asc(k) for k, d in zip(keys, ways, strict=True)]).limit(int(body.get("size", 10)))
 
-    def piped(self, pipes: Mapping, out: DataFrame, key: str) -> DataFrame:
-        """Pipeline aggregations over the buckets in the order of their key. Buckets are few; one task sorts them."""
-        w = Window.orderBy(key)
+    def piped(self, pipes: Mapping, out: DataFrame, key: str, parents: list[str]) -> DataFrame:
+        """Pipeline aggregations over the buckets of a parent in the order of their key. A parent's buckets are few."""
+        w = Window.partitionBy(*parents).orderBy(key) if parents else Window.orderBy(key)
         path = lambda p: F.col("doc_count") if p == "_count" else F.col(key) if p == "_key" else F.col(f"`{p}`")
         for name, spec in pipes.items():
             kind, body = kind_of(spec)
@@ -298,84 +338,103 @@ class Aggregator:
             elif kind == "bucket_sort":
                 orders = [(next(iter(s.items())) if isinstance(s, Mapping) else (s, "asc")) for s in as_list(body.get("sort"))]
                 by = [path(p).desc() if str(o.get("order") if isinstance(o, Mapping) else o) == "desc" else path(p).asc() for p, o in orders]
-                out = out.orderBy(*by, F.col(key)) if by else out
-                out = out.offset(int(body.get("from", 0)))
-                out = out.limit(int(body["size"])) if "size" in body else out
+                a = int(body.get("from", 0))
+                place = F.row_number().over((Window.partitionBy(*parents) if parents else Window.partitionBy()).orderBy(*by, F.col(key)))
+                out = out.withColumn("__place", place).filter(F.col("__place").between(a + 1, a + int(body["size"])) if "size" in body else F.col("__place") > a).drop("__place")
+                out = out if parents else out.orderBy(*by, F.col(key))
         return out
 
-    def top_hits(self, body: Mapping, df: DataFrame, by: list[str], named: list[str] | None = None) -> DataFrame:
+    def top_hits(self, body: Mapping, at: Level) -> DataFrame:
         """The best documents, of each bucket: key columns, hit_rank, and the document's columns."""
-        order = as_list(body.get("sort"))
+        df, order = at.df, as_list(body.get("sort"))
         plain = [c for c in df.columns if not c.startswith("__") and c != "hit_rank"]
-        keys = sort_keys(tuple(order), self.compiler) or ([k for k in sort_keys(("_score",), self.compiler)] if "_score" in df.columns else [])
-        w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(*[k.order() for k in keys + tie_breaks(df, self.id_column)])
+        keys = sort_keys(tuple(order), at.compiler) or ([k for k in sort_keys(("_score",), at.compiler)] if "_score" in df.columns else [])
+        w = Window.partitionBy(*(at.parents or [F.lit(1)])).orderBy(*[k.order() for k in keys + tie_breaks(df, self.id_column)])
         a = int(body.get("from", 0))
         ranked = df.withColumn("hit_rank", F.row_number().over(w)).filter(F.col("hit_rank").between(a + 1, a + int(body.get("size", 3))))
         wanted = body.get("_source", {}).get("includes") if isinstance(body.get("_source"), Mapping) else body.get("_source") if isinstance(body.get("_source"), list) else None
         columns = [c for c in plain if wanted is None or c in wanted or c in ("_id", "_index")]
-        return ranked.select(*[F.col(b).alias(n) for b, n in zip(by, named or by, strict=True)], "hit_rank", *columns)
+        return ranked.select(*at.parents, "hit_rank", *columns)
 
     # -- trees ------------------------------------------------------------------------------------------------
 
     def tree(self, defs: Mapping[str, Mapping]) -> dict:
-        """All definitions as the nested result that a search response holds."""
-        out: dict = {}
+        """All definitions as the nested result that a search response holds: a job for each definition, not for each bucket."""
+        return self.trees(defs, Level(self.df, self.compiler), [()])[()]
+
+    def trees(self, defs: Mapping[str, Mapping], at: Level, wanted: list[tuple]) -> dict[tuple, dict]:
+        """Results of the definitions within each wanted parent, by the parent's keys."""
+        out: dict[tuple, dict] = {k: {} for k in wanted}
         metrics = {n: s for n, s in defs.items() if kind_of(s)[0] in METRICS}
         if metrics:
-            out |= metric_tree(metrics, self.metrics(metrics).first().asDict())
+            for r in self.aggregated(at.df, at.parents, metrics, at.compiler).collect():
+                if (k := tuple(r[p] for p in at.parents)) in out:
+                    out[k] |= metric_tree(metrics, r.asDict())
         for name, spec in defs.items():
             if name not in metrics and kind_of(spec)[0] not in PIPELINES:
-                out[name] = self.branch(name, spec, self)
+                found, none = self.branch(name, spec, at)
+                for k in wanted:
+                    out[k][name] = found.get(k, none)
         for name, spec in defs.items():
             kind, body = kind_of(spec)
             if kind.endswith("_bucket"):
-                values = [v for v in (dig(b, body["buckets_path"].split(">")[1]) for b in out[body["buckets_path"].split(">")[0]]["buckets"]) if v is not None]
+                first, path = body["buckets_path"].split(">")
                 fold = {"avg_bucket": lambda v: sum(v) / len(v), "sum_bucket": sum, "max_bucket": max, "min_bucket": min}
-                out[name] = {"count": len(values), "min": min(values), "max": max(values), "avg": sum(values) / len(values), "sum": sum(values)} if kind == "stats_bucket" else {"value": fold[kind](values) if values else None}
+                for own in out.values():
+                    values = [v for v in (dig(b, path) for b in own[first]["buckets"]) if v is not None]
+                    if kind == "stats_bucket":
+                        own[name] = {"count": len(values), "min": min(values, default=None), "max": max(values, default=None), "avg": sum(values) / len(values) if values else None, "sum": sum(values)}
+                    else:
+                        own[name] = {"value": fold[kind](values) if values else None}
         return out
 
-    def branch(self, name: str, spec: Mapping, own: Aggregator) -> dict:
+    def branch(self, name: str, spec: Mapping, at: Level) -> tuple[dict[tuple, dict], dict]:
+        """One definition's results by the parents' keys, and what parents without any have."""
         kind, body = kind_of(spec)
         inside = subs(spec)
-        deeper = {n: s for n, s in inside.items() if kind_of(s)[0] in BUCKETS}
-        shallow = {**{k: v for k, v in spec.items() if k not in ("aggs", "aggregations")}, "aggs": {n: s for n, s in inside.items() if n not in deeper}}
-        if kind in ("global", "nested", "reverse_nested"):
-            if kind == "global":
-                sub = Aggregator(self.everything, self.compiler, self.everything, self.id_column)
-            elif kind == "nested":
-                rows = own.df.select("*", F.explode(own.compiler.col(body["path"])).alias("__e"))
-                sub = Aggregator(rows, Compiler(own.compiler.schema, own.compiler.stats, F.col("__e"), body["path"], own.compiler.flags), self.everything, self.id_column)
-            else:
-                sub = Aggregator(own.df.dropDuplicates(["_index", "_id"]), Compiler(own.compiler.schema, own.compiler.stats, flags=own.compiler.flags), self.everything, self.id_column)
-            return {"doc_count": sub.df.count(), **sub.tree(inside)}
         if kind == "top_hits":
-            rows = own.flat(name, spec).orderBy("hit_rank").collect()
-            return {"hits": {"hits": [{k: v for k, v in r.asDict(True).items() if k != "hit_rank"} for r in rows]}}
-        rows = [r.asDict(True) for r in own.flat(name, shallow).collect()]
+            hits: dict[tuple, list] = {}
+            for r in self.top_hits(body, at).orderBy("hit_rank").collect():
+                hits.setdefault(tuple(r[p] for p in at.parents), []).append({k: v for k, v in r.asDict(True).items() if k != "hit_rank" and k not in at.parents})
+            return {k: {"hits": {"hits": v}} for k, v in hits.items()}, {"hits": {"hits": []}}
+        if kind in SHIFTS:
+            inner = self.shifted(kind, body, at)
+            counts = {tuple(r[p] for p in inner.parents): r["doc_count"] for r in inner.df.groupBy(*inner.parents).agg(F.count("*").alias("doc_count")).collect()}
+            below = self.trees(inside, inner, list(counts))
+            return {k: {"doc_count": n, **below[k]} for k, n in counts.items()}, {"doc_count": 0}
+        frame, inner = self.level(at, name, spec)
+        rows = frame.collect()  # buckets, which the result holds all
         metrics = {n: s for n, s in inside.items() if kind_of(s)[0] in METRICS | PIPELINES}
-        buckets = []
-        for r in rows:
-            key = {k: v for k, v in r.items() if k != "doc_count" and k.split(".")[0] not in metrics}
-            b = {"key": key["key"] if list(key) == ["key"] else key, "doc_count": r["doc_count"], **metric_tree(metrics, r)}
-            if isinstance(b["key"], datetime):
-                b["key_as_string"] = b["key"].isoformat()
-            buckets.append(b)
+        deeper = {n: s for n, s in inside.items() if kind_of(s)[0] in BUCKETS}
+        own = inner.parents[len(at.parents) :]
+        keys = [tuple(r[p] for p in inner.parents) for r in rows]
+        below: dict[tuple, dict] = {}
         if deeper:
-            rows_in, keys = own.key(kind, body, own.df)
-            for b in buckets:  # few buckets, as the result holds them all
-                mine = b["key"] if isinstance(b["key"], dict) else {"key": b["key"]}
-                part = Aggregator(rows_in.filter(every([v.eqNullSafe(F.lit(mine[k])) for k, v in keys.items()])), own.compiler, self.everything, self.id_column)
-                b |= part.tree(deeper)
-        if kind in ("filter", "missing"):
-            return {k: v for k, v in buckets[0].items() if k != "key"}
-        if kind == "filters" and isinstance(body["filters"], Mapping):
-            return {"buckets": {b.pop("key"): b for b in buckets}}
-        if kind in ("histogram", "date_histogram"):
-            buckets.sort(key=lambda b: b["key"])
-        out = {"buckets": buckets}
-        if kind == "composite" and buckets:
-            out["after_key"] = buckets[-1]["key"]
-        return out
+            spark, schema = inner.df.sparkSession, frame.select(*inner.parents).schema
+            kept = inner.df.join(F.broadcast(spark.createDataFrame(keys, schema)), inner.parents, "left_semi") if keys else inner.df
+            below = self.trees(deeper, replace(inner, df=kept), keys)
+        buckets: dict[tuple, list[dict]] = {}
+        for r, k in zip(rows, keys, strict=True):
+            given = k[len(at.parents) :]
+            plain = given[0] if [inner.shown[c].rpartition(".")[2] for c in own] == ["key"] or len(own) == 1 and kind != "composite" else {inner.shown[c].removeprefix(f"{name}.") if at.parents else inner.shown[c]: v for c, v in zip(own, given, strict=True)}
+            b = {"key": plain, "doc_count": r["doc_count"], **metric_tree(metrics, r.asDict(True)), **below.get(k, {})}
+            if isinstance(plain, datetime):
+                b["key_as_string"] = plain.isoformat()
+            buckets.setdefault(k[: len(at.parents)], []).append(b)
+
+        def result(found: list[dict]) -> dict:
+            if kind in ("filter", "missing"):
+                return {k: v for k, v in found[0].items() if k != "key"} if found else {"doc_count": 0}
+            if kind == "filters" and isinstance(body["filters"], Mapping):
+                return {"buckets": {b["key"]: {k: v for k, v in b.items() if k != "key"} for b in found}}
+            if kind in ("histogram", "date_histogram"):
+                found = sorted(found, key=lambda b: b["key"])
+            out: dict = {"buckets": found}
+            if kind == "composite" and found:
+                out["after_key"] = found[-1]["key"]
+            return out
+
+        return {k: result(v) for k, v in buckets.items()}, result([])
 
 
 def dig(bucket: Mapping, path: str) -> Any:

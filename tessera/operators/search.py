@@ -26,6 +26,7 @@ from tessera.operators.sorting import Key, collapse, search_after, sort_keys, ti
 from tessera.operators.suggest import suggest_tree, term_suggestions
 from tessera.events import event
 from tessera.plans.clauses import Clauses
+from tessera.sources.tokens import PREFIX, column_of, stored_stats
 from tessera.plans.compiler import Compiler, Part, Schema, joined_queries
 
 PAGE = 10
@@ -125,7 +126,9 @@ class Search:
             for kind, entries in (i.settings.get("analysis") or {}).items():
                 settings.setdefault(kind, {}).update(entries)
         nested = frozenset(p for i in self.indexes for p in i.nested)
-        return Schema(self.scanned.schema, self.id_column, **merged, nested=nested, settings=settings)
+        names = set(self.scanned.columns)
+        stored = {p: column_of(p) for p in merged["analyzers"] if column_of(p) in names}
+        return Schema(self.scanned.schema, self.id_column, **merged, nested=nested, settings=settings, stored=stored)
 
     # -- match ------------------------------------------------------------------------------------------------
 
@@ -147,6 +150,10 @@ class Search:
         for q in [self.rendered, *[r["query"]["rescore_query"] for w in self.value("rescore") or () for r in [w] if "query" in r]]:
             if q:
                 plain.wanted_terms(q, terms)
+        wanted = {f: ts for f, ts in terms.items() if f in self.schema.analyzers}
+        held = [i.stored_terms() for i in self.indexes]
+        if wanted and all(held):
+            return stored_stats(held, wanted)
         return collect_stats(self.scanned, {f: plain.tokens(f) for f in terms}, terms)
 
     @cached_property
@@ -262,7 +269,7 @@ class Search:
             df = df.withColumn(name, self.compiler.script(spec["script"]))
         source, stored = self.clauses.get("source"), self.clauses.get("stored_fields")
         docvalues = self.value("docvalue_fields") or ()
-        own = T.StructType([f for f in self.scanned.schema.fields if f.name not in ("_id", "_index")])
+        own = T.StructType([f for f in self.scanned.schema.fields if f.name not in ("_id", "_index") and not f.name.startswith(PREFIX)])
         includes = list(source.value) + [f for f in stored.value]
         columns = source_columns(own, includes, list(source.excludes)) if source.on and stored.on else []
         extra = [c for c in ("_highlight", "_explanation", *(self.value("script_fields") or {})) if c in df.columns]
@@ -290,10 +297,9 @@ class Search:
         return out
 
     def batches(self, size: int) -> Iterator[list[Hit]]:
-        """All hits in order, read partition by partition; the driver holds one batch."""
+        """All hits in order (by score where none is given), read partition by partition; the driver holds one batch."""
         df, keys = self.ordered()
-        if self.value("order"):
-            df = df.orderBy(*[k.order() for k in keys])
+        df = df.orderBy(*[k.order() for k in keys])
         if self.value("limit") is not None:
             df = df.limit(self.value("limit"))
         batch: list[Hit] = []
@@ -323,8 +329,8 @@ class Search:
             if several:
                 held.unpersist()
 
-    def aggregation_frame(self, name: str) -> DataFrame:
-        return self.aggregator().flat(name, self.value("aggs")[name])
+    def aggregation_frame(self, name: str, path: str | None = None) -> DataFrame:
+        return self.aggregator().flat(name, self.value("aggs")[name], path)
 
     def suggestions(self) -> dict:
         return suggest_tree(self.scanned, self.compiler, self.value("suggest") or {}) if self.indexes else {}

@@ -82,6 +82,7 @@ class Schema:
     settings: Mapping | None = None
     name: str = ""
     related: Callable[[str, Mapping], DataFrame] | None = None  # (kind, body) -> ids of a parent/child query
+    stored: Mapping[str, str] = field(default_factory=dict)  # text field -> the column that holds its tokens
 
     def analyzer(self, path: str, searching: bool = False) -> Analyzer | None:
         name = (self.search_analyzers.get(path) if searching else None) or self.analyzers.get(path)
@@ -106,6 +107,31 @@ class Schema:
         return T.ArrayType(at) if many and not isinstance(at, T.ArrayType) else at
 
 
+#: What scripts may call.
+SCRIPT_FUNCTIONS = set(
+    "abs acos aggregate any_value array array_contains array_distinct array_except array_intersect array_join array_max array_min array_position array_size array_sort array_union "
+    "asin atan atan2 avg bround cardinality case cast ceil ceiling char_length coalesce concat concat_ws contains cos count date date_add date_diff date_format date_sub date_trunc "
+    "datediff day dayofmonth dayofweek dayofyear decimal degrees double element_at endswith exists exp extract filter float floor forall from_unixtime get greatest hash hour hypot if "
+    "ifnull in initcap instr int interval isnan isnotnull isnull lcase least left length levenshtein ln locate log log10 log1p log2 lower lpad ltrim make_date map map_keys map_values "
+    "max md5 min minute mod month months_between named_struct nanvl not nullif nvl nvl2 or and pi pmod pow power quarter radians regexp_extract regexp_like regexp_replace repeat replace "
+    "reverse right rint round rpad rtrim second sha2 sign signum sin size slice soundex split sqrt startswith string struct substr substring sum tan timestamp to_date to_timestamp "
+    "transform translate trim trunc try_cast try_divide ucase unix_timestamp upper weekday when then else xxhash64 year zip_with".split()
+)
+
+
+def sql_literal(v: Any) -> str:
+    """A parameter's value within an expression; texts as bytes in hexadecimal, so that no character in them means anything."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return str(v).upper()
+    if isinstance(v, (int, float)):
+        return repr(v) if not isinstance(v, float) or abs(v) < float("inf") else f"double('{v}')"
+    if isinstance(v, (list, tuple)):
+        return f"array({', '.join(map(sql_literal, v))})"
+    return f"string(unhex('{str(v).encode().hex()}'))"
+
+
 @dataclass
 class Compiler:
     schema: Schema
@@ -154,7 +180,10 @@ class Compiler:
         c = self.col(path)
         if a is None:
             return c if self.is_array(path) else F.array(c.cast("string"))
-        return F.flatten(F.transform(c, a)) if self.is_array(path) else a(c)
+        made = F.flatten(F.transform(c, a)) if self.is_array(path) else a(c)
+        if self.inner is None and path in self.schema.stored:  # documents that were written without tokens have their text
+            return F.coalesce(F.col(f"`{self.schema.stored[path]}`"), made)
+        return made
 
     def terms(self, path: str, text: Any) -> list[str]:
         """Tokens of a query's text, by the field's analyzer for searching."""
@@ -319,7 +348,7 @@ class Compiler:
         if not terms:
             return self.constant(F.lit(False), 1, True)
         t = self.tokens(path)
-        if slop:
+        if slop and len(terms) > 1:
             test = self.sloppy(t, terms, slop)
         else:
             # a token can't hold the separator, so a run of tokens is a substring of them joined
@@ -329,9 +358,24 @@ class Compiler:
 
     @staticmethod
     def sloppy(tokens: Column, terms: list[str], slop: int) -> Column:
-        """All terms in order within a window of their number and `slop` more."""
-        pattern = r"(?:^| )" + (r"(?: [^ ]+){0,%d} " % slop).join(re.escape(x) for x in terms) + r"(?: |$)"
-        return F.array_join(tokens, " ").rlike(pattern)
+        """Whether the terms can be put into the phrase by `slop` moves of one place in all (two terms swap by two).
+
+        With a term's position less its place in the phrase as its shift, the shifts may differ by `slop` at most. A term that
+        the phrase holds several times needs as many positions.
+        """
+        at = lambda i, x: F.filter(F.transform(tokens, lambda t, p: F.when(t == x, p - i)), lambda p: p.isNotNull())
+        shifts = [at(i, x) for i, x in enumerate(terms)]
+        back = lambda i: lambda y: y + i
+        within = lambda d, x: F.filter(d, lambda y: (y >= x) & (y <= x + slop))
+
+        def holds(x: Column) -> Column:
+            tests = [F.size(within(d, x)) > 0 for d in shifts]
+            for term in {t for t in terms if terms.count(t) > 1}:
+                places = [F.transform(within(shifts[i], x), back(i)) for i, t in enumerate(terms) if t == term]
+                tests.append(F.size(F.array_distinct(F.concat(*places))) >= len(places))
+            return every(tests)
+
+        return F.exists(F.array_distinct(F.concat(*shifts)), holds)
 
     def q_match_phrase_prefix(self, body: Mapping) -> Part:
         path, spec = self.single(body)
@@ -477,11 +521,14 @@ class Compiler:
     def script(self, script: Any) -> Column:
         """A Spark SQL expression over the document's columns; `params.x` stands for parameters."""
         source, params = (script.get("source", script.get("inline")), script.get("params", {})) if isinstance(script, Mapping) else (script, {})
-        if re.search(r"(?i)\b(java_method|reflect|input_file|try_reflect)\b|;", source):
-            raise ValueError("this expression isn't allowed")
         source = re.sub(r"doc\['([\w.]+)'\]\.value", r"\1", source)
-        for k, v in params.items():
-            source = re.sub(rf"params\.{re.escape(k)}\b", lambda _, v=v: f"'{v}'" if isinstance(v, str) else repr(v), source)
+        bare = re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", "''", source)
+        called = {f.lower() for f in re.findall(r"([A-Za-z_][\w.]*)\s*\(", bare)}
+        if ";" in bare or (unknown := called - SCRIPT_FUNCTIONS):
+            raise ValueError(f"this expression isn't allowed: {source if ';' in bare else sorted(unknown)}")
+        names = "|".join(re.escape(k) for k in sorted(params, key=len, reverse=True))
+        if names:  # all at once, so that a value that looks like a parameter stays as it is
+            source = re.sub(rf"params\.({names})\b", lambda m: sql_literal(params[m[1]]), source)
         return F.expr(source)
 
     def q_script(self, body: Mapping) -> Part:

@@ -323,9 +323,9 @@ class Request:
     def object_hash(self) -> dict:
         return dict(zip(self.hits(), self.objects(), strict=True))
 
-    def aggs_frame(self, name: str) -> DataFrame:
-        """One aggregation as a flat DataFrame."""
-        return self.search.aggregation_frame(name)
+    def aggs_frame(self, name: str, path: str | None = None) -> DataFrame:
+        """One aggregation as a flat DataFrame; path: which inner buckets to go on to (`a>b`, "" for none)."""
+        return self.search.aggregation_frame(name, path)
 
     def suggest_frame(self, name: str) -> DataFrame:
         return self.search.suggestion_frame(name)

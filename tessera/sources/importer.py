@@ -3,29 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.events import event
 from tessera.operators.joins import descendants
+from tessera.sources.tokens import column_of
 
 
 class ImportFailed(RuntimeError):
-    """Documents that couldn't be imported: {operation: {error: [ids]}}."""
+    """Documents that couldn't be imported: {operation: {error: [first ids]}}; `Importer.failed` holds them all."""
 
     def __init__(self, errors: dict):
         super().__init__(f"import failed: {errors}")
         self.errors = errors
 
 
+@dataclass(frozen=True)
+class Ids:
+    """Ids of documents to import, as a DataFrame with `_id`: nothing of it is collected."""
+
+    frame: DataFrame
+
+
 class Importer:
     """update_fields: change only these fields of documents that are there (others are imported whole unless
     update_failover is off). validate: {message: Column that is true for bad documents}. raw_import: rewrites rows first.
     batch_size, bulk_size, refresh, pipeline, parallel are accepted: Spark's partitions do what they are for.
     """
 
+    SHOWN = 1000
     HINTS = ("batch_size", "bulk_size", "refresh", "pipeline", "parallel", "suffix", "direct_import", "consistency")
 
     def __init__(self, index: Any, *, update_fields: list[str] | None = None, update_failover: bool = True, journal: Any = None, validate: dict[str, Callable[[], Column]] | None = None, strict: bool = False, raw_import: Callable | None = None, batch: Any = None, **hints: Any):
@@ -33,7 +43,9 @@ class Importer:
             raise TypeError(f"unknown options: {sorted(unknown)}")
         self.index, self.update_fields, self.failover, self.journal = index, update_fields, update_failover, journal
         self.validate, self.strict, self.raw_import, self.batch = validate or {}, strict, raw_import, batch
-        self.errors: dict = {}
+        self.errors: dict = {}  # the first SHOWN ids of each operation and message
+        self.error_counts: dict = {}  # how many there are
+        self.failed: DataFrame | None = None  # all of them: operation, error, _id
 
     # -- rows to operations -----------------------------------------------------------------------------------
 
@@ -43,12 +55,14 @@ class Importer:
             return self.index.source_rows(), None
         if isinstance(given, DataFrame):
             return given, None
-        spark = self.index.spark
-        given = list(given)
-        if given and isinstance(given[0], dict):
-            return spark.createDataFrame(given), None
+        if isinstance(given, Ids):
+            ids = given.frame.select(F.col("_id").cast("string").alias("_id")).distinct()
+        else:
+            given, spark = list(given), self.index.spark
+            if given and isinstance(given[0], dict):
+                return spark.createDataFrame(given), None
+            ids = spark.createDataFrame([(str(i),) for i in given], "_id string").distinct()
         source, key = self.index.source_rows(), self.index.source_id
-        ids = spark.createDataFrame([(str(i),) for i in given], "_id string").distinct()
         named = source.withColumn("__id", F.col(f"`{key}`").cast("string"))
         found = named.join(ids, named["__id"] == ids["_id"], "left_semi").drop("__id")
         return found, ids.join(found.select(F.col(f"`{key}`").cast("string").alias("_id")), "_id", "left_anti")
@@ -63,7 +77,7 @@ class Importer:
         docs = self.index.compose(rows.filter("not __gone").drop("__gone") if delete_if is not None else rows)
         blank = F.col("_id").isNull() | (F.trim("_id") == "")
         docs = docs.withColumn("_id", F.when(blank, F.uuid()).otherwise(F.col("_id"))) if self.update_fields is None else docs.filter(~blank)
-        ops = docs.withColumn("_op", F.lit("index" if self.update_fields is None else "update"))
+        ops = self.index.with_tokens(docs).withColumn("_op", F.lit("index" if self.update_fields is None else "update"))
         deleted = []
         if delete_if is not None:
             key = self.index.mapping.id
@@ -87,8 +101,14 @@ class Importer:
         for message, test in self.validate.items():
             reason = F.when(F.coalesce(test(), F.lit(False)) & (F.col("_op") != "delete"), message).otherwise(reason)
         marked = ops.withColumn("__error", reason)
-        for r in marked.filter("__error is not null").groupBy("_op", "__error").agg(F.slice(F.array_sort(F.collect_set("_id")), 1, 1000).alias("ids")).collect():
-            self.errors.setdefault(r["_op"], {})[r["__error"]] = list(r.ids)
+        self.failed = marked.filter("__error is not null").select(F.col("_op").alias("operation"), F.col("__error").alias("error"), "_id")
+        by = ["operation", "error"]
+        for r in self.failed.groupBy(by).count().collect():  # one row for each message
+            self.error_counts.setdefault(r.operation, {})[r.error] = r["count"]
+        if self.error_counts:
+            place = F.row_number().over(Window.partitionBy(by).orderBy("_id"))
+            for r in self.failed.withColumn("n", place).filter(F.col("n") <= self.SHOWN).orderBy("n").collect():
+                self.errors.setdefault(r.operation, {}).setdefault(r.error, []).append(r["_id"])
         return marked.filter("__error is null").drop("__error")
 
     def with_descendants(self, ops: DataFrame) -> DataFrame:
@@ -105,6 +125,19 @@ class Importer:
         again = old.join(below, "_id", "left_semi").join(ops.select("_id"), "_id", "left_anti").withColumn("_op", F.lit("index"))
         return ops.unionByName(again, allowMissingColumns=True)
 
+    def written_fields(self) -> list[str] | None:
+        """The fields of an update, and the tokens of the text fields among them."""
+        if self.update_fields is None:
+            return None
+        paths = [p for p in self.index.analyzers if self.index.aliases.get(p, p).split(".")[0] in self.update_fields]
+        return [*self.update_fields, *map(column_of, paths)]
+
+    def failing_over(self, ops: DataFrame) -> DataFrame:
+        """Updates of documents that aren't there yet import them whole."""
+        there = self.index.store.read().select("_id", F.lit(True).alias("__there"))
+        whole = (F.col("_op") == "update") & F.col("__there").isNull()
+        return ops.join(there, "_id", "left").withColumn("_op", F.when(whole, "index").otherwise(F.col("_op"))).drop("__there")
+
     @staticmethod
     def depth(relations: dict[str, list[str]]) -> int:
         def below(name: str, seen: tuple = ()) -> int:
@@ -115,11 +148,11 @@ class Importer:
     # -- run --------------------------------------------------------------------------------------------------
 
     def run(self, given: Any = None) -> bool:
-        if given is not None and not isinstance(given, DataFrame) and not list(given):
+        if given is not None and not isinstance(given, (DataFrame, Ids)) and not list(given):
             return True
         with event("import_objects", index=self.index.name) as payload:
             self._run(given)
-            payload["errors"] = self.errors
+            payload["errors"], payload["error_counts"] = self.errors, self.error_counts
         if self.errors and self.strict:
             raise ImportFailed(self.errors)
         return not self.errors
@@ -131,12 +164,12 @@ class Importer:
         try:
             store = self.index.store
             if self.update_fields is not None and self.failover:
-                # documents that aren't there yet are imported whole
-                there = store.read().select("_id", F.lit(True).alias("__there"))
-                ops_ = ops.join(there, "_id", "left").withColumn("_op", F.when((F.col("_op") == "update") & F.col("__there").isNull(), "index").otherwise(F.col("_op"))).drop("__there")
+                ops_ = self.failing_over(ops)
             else:
                 ops_ = self.with_descendants(ops) if self.index.join_field else ops
-            store.merge(ops_, self.update_fields, self.batch)
+            store.merge(ops_, self.written_fields(), self.batch)
+            if given is None:
+                self.index.analyse()
             journal = self.index.journal if self.journal is None else self.journal  # False turns it off
             if journal:
                 journal.add(self.index, ops)

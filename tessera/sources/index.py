@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Mapping
 from typing import Any
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.plans.compiler import Compiler, Schema
 from tessera.plans.request import Request
 from tessera.sources.fields import Field, IndexMapping
 from tessera.sources.store import Store
+from tessera.sources.tokens import PREFIX, Terms, column_of, with_tokens
 
 
 class Config:
@@ -51,6 +54,7 @@ class Index:
         own = self.mapping.join_field()
         self.join_field = join_field or (own.name if own else None)
         self._store: Store | None = None
+        self._terms: Terms | None = None
 
     def _walk(self, fields: list[Field], at: str = "") -> None:
         for f in fields:
@@ -93,7 +97,46 @@ class Index:
         return self._store
 
     def document_schema(self) -> T.StructType:
-        return T.StructType([T.StructField("_id", T.StringType()), *self.mapping.schema().fields])
+        fields = [T.StructField("_id", T.StringType()), *self.mapping.schema().fields]
+        plain = Compiler(Schema(T.StructType(fields), aliases=self.aliases))
+        held = [p for p in self.analyzers if plain.schema.kind(p) is not None]
+        return T.StructType(fields + [T.StructField(column_of(p), T.ArrayType(T.StringType())) for p in held])
+
+    # -- stored analysis --------------------------------------------------------------------------------------
+
+    def with_tokens(self, df: DataFrame) -> DataFrame:
+        """`df` with the tokens of its text fields in hidden columns."""
+        schema = Schema(df.schema, self.id_column, self.analyzers, self.search_analyzers, self.aliases, settings=self.settings.get("analysis"))
+        return with_tokens(df, list(self.analyzers), schema)
+
+    def stored_terms(self) -> Terms | None:
+        """Statistics of the current documents' terms, if they have been stored."""
+        if self._frame is not None:
+            return self._terms
+        if not self.root or not self.store.exists():
+            return None
+        folder = self.store.terms_folder()
+        return Terms(self.spark, folder) if self.store.files.exists(f"{folder}/fields/_SUCCESS") else None
+
+    def analyse(self) -> None:
+        """Store the statistics of the current documents' terms; without them a scored query counts its terms itself."""
+        if self.analyzers and self.stored_terms() is None:
+            Terms(self.spark, self.store.terms_folder()).build(self.documents(), list(self.analyzers))
+
+    def analysed(self, folder: str, files: int | None = None) -> Index:
+        """This index over a copy of its documents, stored in `folder` with their tokens and the terms' statistics.
+
+        files: how many to write, at least; by default as many as the documents are read in.
+        """
+        df = self.with_tokens(self.documents())
+        if files is not None and df.rdd.getNumPartitions() < files:
+            df = self.with_tokens(self.documents().repartition(files))
+        df.write.parquet(f"{folder}/documents")
+        out = copy.copy(self)
+        out._frame = lambda: self.spark.read.parquet(f"{folder}/documents")
+        out._terms = Terms(self.spark, folder)
+        out._terms.build(out._frame(), list(self.analyzers))
+        return out
 
     def exists(self) -> bool:
         return self._frame is not None or (bool(self.root) and self.store.exists())
@@ -173,7 +216,9 @@ class Index:
         self.store.lock_specification(self.specification())
 
     def reindex_to(self, other: Index) -> None:
-        other.store.write(self.documents())
+        plain = self.documents()
+        other.store.write(other.with_tokens(plain.drop(*[c for c in plain.columns if c.startswith(PREFIX)])))
+        other.analyse()
 
     def clear_cache(self) -> None:
         self.documents().unpersist()
@@ -190,6 +235,7 @@ class Index:
         self.store.lock_specification(self.specification())
         if journal is not None:
             journal.apply(began, [self])
+        self.analyse()
         return True
 
     def import_(self, rows: Any = None, **options: Any) -> bool:

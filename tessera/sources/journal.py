@@ -1,7 +1,8 @@
-"""The journal of imports: an append-only Parquet table that can be replayed and cleaned."""
+"""The journal of imports: Parquet folders that can be replayed and cleaned."""
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta, timezone
 from typing import Any
 
@@ -18,27 +19,32 @@ def now() -> datetime:
 
 
 class Journal:
-    """Entries (index_name, action, references, created_at); many references share an entry, in groups of `group`."""
+    """Entries (index_name, action, references, created_at); about `group` references share an entry.
+
+    Each addition is a folder of its own, so that cleaning touches none that is written meanwhile: it writes what is kept of
+    the folders that it found, then removes them. A crash in between leaves entries twice, which changes no replay.
+    """
 
     def __init__(self, spark: SparkSession, root: str, group: int = 1000):
         self.spark, self.files, self.group = spark, Files(spark, root), group
         self.path = f"{self.files.root}/journal"
 
     def create(self) -> None:
-        if not self.files.exists(self.path):
-            self.spark.createDataFrame([], SCHEMA).write.parquet(self.path)
+        self.files.make(self.path)
+
+    def segment(self) -> str:
+        return f"{self.path}/{uuid.uuid4().hex}"
 
     def add(self, index: Any, ops: DataFrame, at: datetime | None = None) -> None:
-        lane = F.pmod(F.xxhash64("_id"), F.lit(64))
-        rows = ops.select(F.when(F.col("_op") == "delete", "delete").otherwise("index").alias("action"), "_id", lane.alias("lane"))
-        entries = rows.groupBy("action", "lane").agg(F.array_sort(F.collect_set("_id")).alias("all"))
-        n = F.greatest(F.size("all"), F.lit(1))
-        cut = entries.select("action", F.explode(F.transform(F.sequence(F.lit(1), n, F.lit(self.group)), lambda i: F.slice("all", i, self.group))).alias("references"))
-        cut.select(F.lit(index.name).alias("index_name"), "action", "references", F.lit(at or now()).cast("timestamp_ntz").alias("created_at")).write.mode("append").parquet(self.path)
-
-    def read(self) -> DataFrame:
+        lanes = max(1, -(-ops.count() // self.group))
+        rows = ops.select(F.when(F.col("_op") == "delete", "delete").otherwise("index").alias("action"), "_id", F.pmod(F.xxhash64("_id"), F.lit(lanes)).alias("lane"))
+        entries = rows.groupBy("action", "lane").agg(F.array_sort(F.collect_set("_id")).alias("references"))
+        entries.select(F.lit(index.name).alias("index_name"), "action", "references", F.lit(at or now()).cast("timestamp_ntz").alias("created_at")).write.parquet(self.segment())
+
+    def read(self, segments: list[str] | None = None) -> DataFrame:
         self.create()
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
+        paths = [self.path] if segments is None else [f"{self.path}/{s}" for s in segments]
+        return self.spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(*paths)
 
     def entries(self, since: datetime | None = None, indexes: list | None = None) -> DataFrame:
         df = self.read()
@@ -69,30 +75,29 @@ class Journal:
 
     def clean(self, until: datetime | None = None, indexes: list | None = None) -> int:
         """Remove entries up to a time, of some indexes (all of either if not given); how many went."""
-        df = self.read()
+        self.create()
+        found = [n for n in self.files.names(self.path) if not n.startswith(("_", "."))]
+        if not found:
+            return 0
+        df = self.read(found)
         old = F.lit(True)
         if until is not None:
             old = old & (F.col("created_at") <= F.lit(until).cast("timestamp_ntz"))
         if indexes:
             old = old & F.col("index_name").isin([getattr(i, "name", i) for i in indexes])
-        gone = df.filter(old).count()
+        gone, all_ = df.agg(F.count_if(old), F.count("*")).first()
         if gone:
-            beside = f"{self.path}.new"
-            self.files.delete(beside)
-            df.filter(~old).write.parquet(beside)
-            self.files.delete(self.path)
-            self.files._fs.rename(self.files._path(beside), self.files._path(self.path))
+            if gone < all_:
+                df.filter(~old).write.parquet(self.segment())
+            for segment in found:
+                self.files.delete(f"{self.path}/{segment}")
         return gone
 
 
 def replay(index: Any, ids: DataFrame) -> None:
     """Import documents by id without journalling; ids that the source lacks are deleted. Nothing is collected."""
-    from tessera.sources.importer import Importer
+    from tessera.sources.importer import Ids, Importer
 
     importer = Importer(index)
-    source = index.source_rows()
-    key = F.col(f"`{index.source_id}`").cast("string")
-    found = source.join(ids.withColumnRenamed("_id", "__id"), key == F.col("__id"), "left_semi")
-    gone = ids.join(found.select(key.alias("_id")), "_id", "left_anti")
     index.create()
-    index.store.merge(importer.operations(found, gone))
+    index.store.merge(importer.operations(*importer.rows(Ids(ids))))

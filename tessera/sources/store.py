@@ -1,7 +1,8 @@
 """Documents in versioned Parquet folders behind a pointer file.
 
     <root>/<name>/versions/<version>/   one complete state of the documents
-    <root>/<name>/CURRENT               JSON: version, and ids of streaming batches that it holds
+    <root>/<name>/CURRENT               JSON: version, and the last batch of each stream that it holds
+    <root>/<name>/terms/<version>/      statistics of its terms, where they have been asked for
     <root>/<name>/specification.json    mapping and settings as last deployed
 
 A change writes a new version and then swaps the pointer, so readers see the old state or the new one. All file
@@ -53,6 +54,9 @@ class Files:
             if not self._fs.rename(self._path(new), self._path(p)):
                 raise OSError(f"{p} can't be replaced")
 
+    def make(self, p: str) -> None:
+        self._fs.mkdirs(self._path(p))
+
     def delete(self, p: str) -> None:
         self._fs.delete(self._path(p), True)
 
@@ -85,26 +89,34 @@ class Store:
             return self.spark.createDataFrame([], self.schema or T.StructType([T.StructField("_id", T.StringType())]))
         return self.spark.read.parquet(f"{self.path}/versions/{version}")
 
-    def write(self, df: DataFrame, suffix: str | None = None, batch: Any = None, keep: int = 1) -> str:
+    def terms_folder(self, version: str | None = None) -> str:
+        """Where the statistics of a version's terms are."""
+        return f"{self.path}/terms/{version or self.pointer.get('version')}"
+
+    def write(self, df: DataFrame, suffix: str | None = None, batch: tuple[str, int] | None = None, keep: int = 1) -> str:
         """A new version that holds `df`, made current; older ones but the last `keep` go."""
         old = self.pointer
         number = int(old.get("number", 0)) + 1
         version = f"{number:08d}-{suffix or uuid.uuid4().hex[:8]}"
         writer = df.write.partitionBy(*self.partition_by) if self.partition_by else df.write
         writer.parquet(f"{self.path}/versions/{version}")
-        batches = (old.get("batches", []) + ([batch] if batch is not None else []))[-100:]
-        self.files.write(f"{self.path}/CURRENT", json.dumps({"version": version, "number": number, "batches": batches}))
+        streams = dict(old.get("streams", {}))
+        if batch is not None:
+            streams[batch[0]] = batch[1]
+        self.files.write(f"{self.path}/CURRENT", json.dumps({"version": version, "number": number, "streams": streams}))
         for gone in self.versions()[: -1 - keep]:
             self.files.delete(f"{self.path}/versions/{gone}")
+            self.files.delete(self.terms_folder(gone))
         return version
 
-    def merge(self, ops: DataFrame, fields: list[str] | None = None, batch: Any = None) -> None:
+    def merge(self, ops: DataFrame, fields: list[str] | None = None, batch: tuple[str, int] | None = None) -> None:
         """Apply `ops`: `_op` (index, update or delete), `_id` and document columns, one row for each id.
 
         A keyed merge: one full outer join on `_id`. An update changes the listed fields (all of ops' if none is listed)
-        of documents that are there; others stay as they are.
+        of documents that are there; others stay as they are. batch: a stream's name and the batch's number; one that is
+        in the store already changes nothing.
         """
-        if batch is not None and batch in self.pointer.get("batches", []):
+        if batch is not None and batch[1] <= self.pointer.get("streams", {}).get(batch[0], -1):
             return
         old = self.read()
         columns = [c for c in ops.columns if c not in ("_op", "_id")]

@@ -6,10 +6,14 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import reduce
 from typing import Any
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.importer import Ids
+
 _stack: ContextVar[tuple] = ContextVar("strategies", default=())
 
 
@@ -18,7 +22,7 @@ class UndefinedStrategy(RuntimeError):
 
 
 class Base:
-    """Refuses updates, so that none is lost unnoticed."""
+    """Refuses updates, so that none is lost unnoticed. ids: a list, or a DataFrame with `_id`, which stays one."""
 
     def update(self, index: Any, ids: Any, **options: Any) -> None:
         raise UndefinedStrategy(f"{index.name}: choose a strategy before changing rows")
@@ -36,7 +40,7 @@ class Urgent(Base):
     """Each change at once."""
 
     def update(self, index: Any, ids: Any, **options: Any) -> None:
-        index.import_strict(list(ids), **options)
+        index.import_strict(Ids(ids) if isinstance(ids, DataFrame) else list(ids), **options)
 
 
 class Atomic(Base):
@@ -44,27 +48,51 @@ class Atomic(Base):
 
     def __init__(self) -> None:
         self.held: dict[Any, dict[str, None]] = {}
+        self.frames: dict[Any, list[DataFrame]] = {}
 
     def update(self, index: Any, ids: Any, **options: Any) -> None:
-        self.held.setdefault(index, {}).update(dict.fromkeys(map(str, ids)))
+        if isinstance(ids, DataFrame):
+            self.frames.setdefault(index, []).append(ids.select(F.col("_id").cast("string").alias("_id")))
+        else:
+            self.held.setdefault(index, {}).update(dict.fromkeys(map(str, ids)))
 
     def leave(self) -> None:
-        for index, ids in self.held.items():
-            index.import_strict(list(ids))
+        for index in {**self.held, **self.frames}:
+            index.import_strict(self.gathered(index))
+
+    def gathered(self, index: Any) -> Any:
+        ids = list(self.held.get(index, ()))
+        frames = self.frames.get(index, [])
+        if not frames:
+            return ids
+        listed = [index.spark.createDataFrame([(i,) for i in ids], "_id string")] if ids else []
+        return Ids(reduce(DataFrame.unionByName, frames + listed).distinct())
 
 
-class Queued(Atomic):
-    """Changes go to a folder as a feed; `feed.consume` imports them elsewhere (see `streaming.feed`)."""
+class Queued(Base):
+    """Changes go to a folder as a feed; `feed.consume` or `feed.delayed` imports them elsewhere (see `streaming.feed`).
+
+    fields: what changes of an index concern if they don't say it (`update_fields`).
+    """
 
     def __init__(self, path: str, fields: dict[Any, list[str]] | None = None):
-        super().__init__()
         self.path, self.fields = path, fields or {}
+        self.held: dict[tuple, dict[str, None]] = {}
+        self.frames: list[tuple] = []
+
+    def update(self, index: Any, ids: Any, update_fields: list[str] | None = None, **options: Any) -> None:
+        own = update_fields if update_fields is not None else self.fields.get(index)
+        own = None if own is None else tuple(own)
+        if isinstance(ids, DataFrame):
+            self.frames.append((index, own, ids))
+        else:
+            self.held.setdefault((index, own), {}).update(dict.fromkeys(map(str, ids)))
 
     def leave(self) -> None:
         from tessera.streaming.feed import append
 
-        for index, ids in self.held.items():
-            append(index.spark, self.path, index.name, list(ids), self.fields.get(index))
+        for index, fields, ids in [*((i, f, list(ids)) for (i, f), ids in self.held.items()), *self.frames]:
+            append(index.spark, self.path, index.name, ids, None if fields is None else list(fields))
 
 
 NAMED: dict[str, Callable[..., Base]] = {"base": Base, "bypass": Bypass, "urgent": Urgent, "atomic": Atomic, "atomic_no_refresh": Atomic, "queued": Queued, "active_job": Queued, "sidekiq": Queued, "lazy_sidekiq": Queued, "delayed_sidekiq": Queued}
@@ -100,7 +128,7 @@ class Observer:
     def changed(self, changes: Any) -> None:
         rows = changes.filter(self.only_if(changes)) if self.only_if else changes
         ids = self.to_ids(rows)
-        current().update(self.index, [r[0] for r in ids.select(F.col(ids.columns[0]).cast("string")).distinct().toLocalIterator()])
+        current().update(self.index, ids.select(F.col(ids.columns[0]).cast("string").alias("_id")).distinct())
 
 
 def batch_name() -> str:

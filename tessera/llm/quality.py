@@ -33,7 +33,7 @@ _RUNS = re.compile(r"(.)\1+")
 
 def shape(token: str) -> str:
     """Upper-case letters as X, others as x, digits as 9, the rest as they are; runs count once."""
-    s = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in token[:64])
+    s = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in token)
     return _RUNS.sub(r"\1", s)
 
 

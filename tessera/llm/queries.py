@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import kmtree, licenses, near_dup, packing, quality, spm, tokenout, toxicity, url_filter, vafile, vectors
-from tessera.llm.common import scratch
+from tessera.llm.common import save, scratch
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -45,10 +45,11 @@ def may_learn(labels: DataFrame) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected grade, tail probability and decision of every document."""
+    """Expected grade, tail probability and decision of every document; held_out: never learned from."""
     docs = table(spark, sf_dir, "documents")
-    model = quality.fit(docs, graded(table(spark, sf_dir, "labels")))
-    return quality.classify(docs, model)
+    ratings = graded(table(spark, sf_dir, "labels").filter(crc_thirds(F.col("doc_id")) != 1))
+    scored = quality.classify(docs, quality.fit(docs, ratings))
+    return scored.withColumn("held_out", F.coalesce(crc_thirds(F.col("doc_id")) == 1, F.lit(False)))
 
 
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +70,7 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = vectors.finite(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    whole = good.select("id", F.transform("v", lambda x: F.floor(F.lit(256.0) * x).cast("double")).alias("v"))
+    whole = save(vafile.whole_numbers(vectors.finite(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), 256.0), "va-rows")
     return vafile.search(whole, whole.filter("id % 50 = 0"), k=5)
 
 

@@ -1,14 +1,21 @@
 """Exact top-k search by inner product with a vector-approximation file.
 
-Each component of an integer vector is replaced by the number of its cell: `bits` bits, cells of equal whole width
-between the component's least and largest value. A block of the file holds ids, cells, and apart from them the exact
-vectors. A search scans the cells of a block: with a cell's centre c and half width h, q . x lies within q . c +- |q| . h.
-Rows whose upper bound is below the k-th lower bound are out; the others' exact vectors are read in the order of
-their upper bounds until the k-th exact score is above the next bound. So the result is certain, ties included.
+Each component of a vector of whole numbers is replaced by the number of its cell: `bits` bits a component, with cell
+bounds at quantiles of a bounded sample (any bounds give right results) and the component's least and largest value outside.
+A block of the file holds cells and, in columns of their own, exact vectors and ids; vectors that a block holds several
+times are one entry with their ids.
+
+1. The scan reads cells alone. For a cell of centre c and half width h, q . x lies within q . c +- |q| . h. A block gives
+   the entries whose upper bound gets to its k-th lower bound.
+2. Entries below the k-th lower bound of all blocks are out. Of the others, each query reads the exact vectors of the
+   best few by upper bound; then those whose upper bound gets to the k-th exact score so far. No entry beyond
+   them can be among the k best, ties included: the result is certain.
 
 Queries come in blocks, too. Every block of queries meets every block of rows once, by an equi-join on a group number
-that is dealt to rows' blocks and of which queries' blocks get a copy for each group; k rows for each query and block
-go on to the last ranking.
+that is dealt to rows' blocks and of which queries' blocks get a copy for each group.
+
+Scores are exact integers, whatever the size of the components; beyond 64 bits they count as the largest (least) such
+number. Vectors whose bounds overflow a double are read exactly instead.
 
 Nulls and edge cases: vectors that are null, hold null or non-finite components, have no id, or whose length isn't
 the most frequent one take no part. Repeated rows are candidates each; a query's own row is every row with its id;
@@ -22,13 +29,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import save
-from tessera.llm.vectors import packed, top, unpacked
+from tessera.llm.common import bounded_sample, save
+from tessera.llm.vectors import matrix, packed, top, unpacked
+
+MOST = (1 << 63) - 1
+FILE = "block long, cells binary, exact binary, ids binary, starts binary"
+BOUNDS = "query_id long, block long, entry int, lower double, upper double"
+
 
-FOUND = "query_id long, vec_id long, score long"
+def whole_numbers(rows: DataFrame, scale: float) -> DataFrame:
+    """id, v: floor(scale * x) of each component, as doubles; past 2^52 they are whole already, past all doubles the largest."""
+
+    def whole(x: Column) -> Column:
+        y = F.greatest(F.least(x * scale, F.lit(1.7976931348623157e308)), F.lit(-1.7976931348623157e308))
+        return F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)
+
+    return rows.select("id", F.transform("v", whole).alias("v"))
 
 
 def bounds_of(rows: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,68 +57,152 @@ def bounds_of(rows: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r[f"a{i}"] for i in range(dims)]), np.array([r[f"b{i}"] for i in range(dims)])
 
 
-def search_block(ids: np.ndarray, cells: np.ndarray, exact: np.ndarray, low: np.ndarray, width: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, step: int = 32) -> list[tuple[int, int, int]]:
-    """(query, id, score) of the best k of this block for each query; exact vectors are read only as needed."""
-    half = (width - 1) / 2
-    near = queries @ (low + cells * width + half).T
-    loose = np.abs(queries) @ half
-    out = []
-    for q, qid, mid, slack in zip(queries, own, near, loose, strict=True):
-        rows = np.flatnonzero(ids != qid)
-        if not len(rows):
-            continue
-        upper, lower = mid[rows] + slack, mid[rows] - slack
-        kth = np.partition(lower, -k)[-k] if len(rows) > k else -np.inf
-        keep = np.flatnonzero(upper >= kth)
-        order = keep[np.argsort(-upper[keep], kind="stable")]
-        best: list[tuple[int, int]] = []
-        for at in range(0, len(order), step):
-            if len(best) >= k and upper[order[at]] < -best[k - 1][0]:
-                break
-            r = rows[order[at : at + step]]
-            scores = exact[r] @ q
-            best = sorted(best + list(zip((-scores).astype(np.int64).tolist(), ids[r].tolist(), strict=True)))[:k]
-        out += [(int(qid), i, -s) for s, i in best]
-    return out
-
-
-def search(rows: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, block: int = 2048, query_block: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score. rows, queries: id, v (whole numbers as doubles, of one length)."""
+def cell_edges(sample: np.ndarray, low: np.ndarray, high: np.ndarray, bits: int) -> np.ndarray:
+    """(dims, cells + 1) bounds: inner ones at quantiles of the sample, outer ones at the extremes of all rows."""
+    inner = np.quantile(sample, np.arange(1, 2**bits) / 2**bits, axis=0, method="lower").T
+    return np.concatenate([low[:, None], np.clip(inner, low[:, None], high[:, None]), high[:, None]], 1)
+
+
+def cells_of(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The cell of each component: that of the last inner bound which it gets to."""
+    return np.stack([np.searchsorted(edges[j, 1:-1], x[:, j], "right") for j in range(x.shape[1])], 1).astype("u1")
+
+
+def score_bounds(cells: np.ndarray, edges: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, entries) lower and upper bounds of the inner products; rounding is on the safe side."""
+    at = np.arange(cells.shape[1])[None, :]
+    low, high = edges[at, cells], edges[at, cells.astype(np.int64) + 1]
+    with np.errstate(over="ignore", invalid="ignore"):
+        half = (high - low) / 2
+        mid, size = queries @ (low + half).T, np.abs(queries)
+        slack = size @ half.T * (1 + 1e-9) + size @ (np.maximum(np.abs(low), np.abs(high)) * 1e-12).T + 1e-9
+        lower, upper = mid - slack, mid + slack
+    bad = ~np.isfinite(lower) | ~np.isfinite(upper)
+    lower, upper = np.clip(lower, -(2.0**63), 2.0**63), np.clip(upper, -(2.0**63), 2.0**63)  # as scores are
+    lower[bad], upper[bad] = -np.inf, np.inf
+    return lower, upper
+
+
+def entries_of(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct vectors, ids, and where each vector's ids start; of a vector only the ids that can be needed.
+
+    Those are its k + 1 least ids, each at most k times: one of them may be the query's own.
+    """
+    whole = np.ascontiguousarray(x + 0.0).view(f"V{8 * x.shape[1]}").ravel()  # -0.0 is 0.0
+    _, first, of = np.unique(whole, return_index=True, return_inverse=True)
+    order = np.lexsort((ids, of))
+    ids, of = ids[order], of[order]
+    new_vector = np.concatenate([[True], of[1:] != of[:-1]])
+    new_id = new_vector | np.concatenate([[True], ids[1:] != ids[:-1]])
+    begins = np.flatnonzero(new_vector)
+    nth_id = np.cumsum(new_id) - np.cumsum(new_id)[begins][of]
+    repeat = np.arange(len(ids)) - np.flatnonzero(new_id)[np.cumsum(new_id) - 1]
+    keep = (nth_id <= k) & (repeat < k)
+    starts = np.concatenate([[0], np.cumsum(np.bincount(of[keep], minlength=len(first)))])
+    return x[first], ids[keep], starts
+
+
+def inner_products(x: np.ndarray, q: np.ndarray) -> list[int]:
+    """Exact inner products of rows of whole numbers."""
+    most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
+    if most < 2**53:
+        return (x * q).sum(1).astype(np.int64).tolist()
+    if most < 2**62 and max(np.abs(x).max(), np.abs(q).max()) < 2**62:
+        return (x.astype(np.int64) * q.astype(np.int64)).sum(1).tolist()
+    return [max(-MOST, min(MOST, sum(int(a) * int(b) for a, b in zip(r.tolist(), s.tolist(), strict=True)))) for r, s in zip(x, q, strict=True)]
+
+
+def _read(wanted: DataFrame, file: DataFrame, asked: DataFrame) -> DataFrame:
+    """query_id, vec_id, score of entries (query_id, block, entry), by their exact vectors."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, entries, exact, ids, starts in zip(*(b.column(i) for i in range(5)), strict=True):
+                rows, at = np.array(entries.as_py(), np.int64), np.frombuffer(starts.as_py(), "<i4")
+                x, own = np.frombuffer(exact.as_py(), "<f8").reshape(len(at) - 1, -1), np.frombuffer(ids.as_py(), "<i8")
+                yield pa.record_batch(
+                    [pa.array([block.as_py()] * len(rows), pa.int64()), pa.array(rows, pa.int32()), pa.array(list(x[rows]), pa.list_(pa.float64())), pa.array([own[at[r] : at[r + 1]] for r in rows], pa.list_(pa.int64()))],
+                    ["block", "entry", "x", "ids"],
+                )
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                asker, x, q = b.column(0).to_numpy(), matrix(b.column(1)), matrix(b.column(2))
+                lists = b.column(3)
+                n = np.diff(lists.offsets.to_numpy())
+                asker, ids, points = np.repeat(asker, n), lists.flatten().to_numpy(), np.repeat(np.array(inner_products(x, q), np.int64), n)
+                other = asker != ids
+                yield pa.record_batch([pa.array(asker[other]), pa.array(ids[other]), pa.array(points[other])], ["query_id", "vec_id", "score"])
+
+    needed = wanted.groupBy("block").agg(F.collect_set("entry").alias("entries"))  # at most a block's entries
+    read = file.select("block", "exact", "ids", "starts").join(needed, "block").select("block", "entries", "exact", "ids", "starts")
+    vectors = read.mapInArrow(pick, "block long, entry int, x array<double>, ids array<long>")
+    met = wanted.select("query_id", "block", "entry").join(vectors, ["block", "entry"]).join(asked, "query_id")
+    return save(met.select("query_id", "x", "v", "ids").mapInArrow(score, "query_id long, vec_id long, score long"), "va-scores")
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, block: int = 4096, query_block: int = 256, sample: int = 4096) -> DataFrame:
+    """query_id, rank, vec_id, score. rows, queries: id, v (whole numbers as doubles, of one length).
+
+    sample: how many rows, about, the bounds of the cells are taken from.
+    """
     spark = rows.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    first = rows.limit(1).collect()
-    if not first:
+    some = [r.v for r in bounded_sample(rows, "id", sample, seed=9).select("v").collect()] or [r.v for r in rows.select("v").limit(1).collect()]
+    if not some:
         return empty
-    low, high = bounds_of(rows, len(first[0].v))
-    width = np.maximum(1, np.ceil((high - low + 1) / 2**bits))
+    low, high = bounds_of(rows, len(some[0]))
+    edges = cell_edges(np.array(some, float), low, high, bits)
 
-    own = queries.groupBy("id").agg(F.min("v").alias("v"))
-    n = own.count()
+    asked = save(queries.groupBy("id").agg(F.min("v").alias("v")).withColumnRenamed("id", "query_id"), "va-asked")
+    n = asked.count()
     if not n:
         return empty
-    asked = save(packed(own.repartition(max(1, n // query_block)), query_block).select(F.col("ids").alias("q_ids"), F.col("body").alias("q_body")), "va-queries", "none")
+    by_block = packed(asked.withColumnRenamed("query_id", "id").repartition(max(1, n // query_block)), query_block)
+    query_blocks = save(by_block.select(F.col("ids").alias("q_ids"), F.col("body").alias("q_body")), "va-queries", "none")
 
     def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for b in batches:
-            cells = [np.clip((unpacked(i.as_py(), v.as_py())[1] - low) // width, 0, 2**bits - 1).astype("u1").tobytes() for i, v in zip(b.column(0), b.column(1), strict=True)]
-            exact = [unpacked(i.as_py(), v.as_py())[1].astype("<i4").tobytes() for i, v in zip(b.column(0), b.column(1), strict=True)]
-            yield pa.record_batch([b.column(0), pa.array(cells, pa.binary()), pa.array(exact, pa.binary())], ["ids", "cells", "exact"])
+            for ids, body in zip(b.column(0), b.column(1), strict=True):
+                x, own, starts = entries_of(*unpacked(ids.as_py(), body.as_py()), k)
+                parts = [cells_of(x, edges).tobytes(), x.tobytes(), own.astype("<i8").tobytes(), starts.astype("<i4").tobytes()]
+                yield pa.record_batch([pa.array([number], pa.int64()), *(pa.array([p], pa.binary()) for p in parts)], ["block", "cells", "exact", "ids", "starts"])
+                number += 1
 
-    file = save(packed(rows, block).select("ids", "body").mapInArrow(approximate, "ids binary, cells binary, exact binary"), "va-file", "none")
+    file = save(packed(rows, block).select("ids", "body").mapInArrow(approximate, FILE), "va-file", "none")
     groups = max(1, min(4096, file.count()))
-    dealt = file.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
-    copied = asked.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    dealt = file.select("cells", "ids", "starts", "block").withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    copied = query_blocks.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for ids, cells, exact, q_ids, q_body in zip(*(b.column(i) for i in range(5)), strict=True):
-                i = np.frombuffer(ids.as_py(), "<i8")
-                qi, q = unpacked(q_ids.as_py(), q_body.as_py())
-                c = np.frombuffer(cells.as_py(), "u1").reshape(len(i), -1)
-                x = np.frombuffer(exact.as_py(), "<i4").reshape(len(i), -1)
-                found += search_block(i, c, x, low, width, q, qi, k)
-            yield pa.record_batch([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
-
-    met = dealt.join(copied, "g").select("ids", "cells", "exact", "q_ids", "q_body").mapInArrow(run, FOUND)
-    return top(met, k, "long")
+            for number, cells, ids, starts, q_ids, q_body in zip(*(b.column(i) for i in range(6)), strict=True):
+                at, own = np.frombuffer(starts.as_py(), "<i4"), np.frombuffer(ids.as_py(), "<i8")
+                asker, q = unpacked(q_ids.as_py(), q_body.as_py())
+                lower, upper = score_bounds(np.frombuffer(cells.as_py(), "u1").reshape(len(at) - 1, -1), edges, q)
+                # entries with no other id than the query's are none of its candidates
+                single = np.flatnonzero(own[at[:-1]] == own[at[1:] - 1])
+                mine = own[at[:-1]][single][None, :] == asker[:, None]
+                lower[:, single] = np.where(mine, -np.inf, lower[:, single])
+                upper[:, single] = np.where(mine, -np.inf, upper[:, single])
+                kth = np.partition(lower, -k, axis=1)[:, -k] if lower.shape[1] > k else np.full(len(asker), -np.inf)
+                i, j = np.nonzero((upper >= kth[:, None]) & (upper > -np.inf))
+                yield pa.record_batch(
+                    [pa.array(asker[i]), pa.array([number.as_py()] * len(i), pa.int64()), pa.array(j, pa.int32()), pa.array(lower[i, j]), pa.array(upper[i, j])],
+                    ["query_id", "block", "entry", "lower", "upper"],
+                )
+
+    found = save(dealt.join(copied, "g").select("block", "cells", "ids", "starts", "q_ids", "q_body").mapInArrow(scan, BOUNDS), "va-bounds")
+    best = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lower")))).filter(F.col("n") <= k)
+    kth = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("lower")).otherwise(float("-inf")).alias("least"))
+    left = save(found.join(kth, "query_id").filter(F.col("upper") >= F.col("least")).drop("least", "lower"), "va-left")
+
+    in_order = Window.partitionBy("query_id").orderBy(F.desc("upper"), "block", "entry")
+    first = save(left.withColumn("n", F.row_number().over(in_order)).filter(F.col("n") <= 2 * k), "va-first")
+    scores = _read(first, file, asked)
+    certain = top(scores, k, "long").groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+    more = left.join(first.select("query_id", "block", "entry"), ["query_id", "block", "entry"], "left_anti").join(certain, "query_id", "left").filter("kth is null or upper >= kth")
+    more = save(more.drop("kth"), "va-more")
+    return top(scores if more.isEmpty() else scores.unionByName(_read(more, file, asked)), k, "long")

@@ -46,7 +46,7 @@ def packed(rows: DataFrame, size: int, key: str | None = None, kind: str = "<f8"
             ids, body = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             n = range(0, len(ids), size)
             return pa.record_batch(
-                [pa.array([k] * len(n), pa.int32()), pa.array([ids[i : i + size].astype("<i8").tobytes() for i in n], pa.binary()), pa.array([body[i : i + size].astype(kind).tobytes() for i in n], pa.binary())],
+                [pa.array([k] * len(n), pa.int64()), pa.array([ids[i : i + size].astype("<i8").tobytes() for i in n], pa.binary()), pa.array([body[i : i + size].astype(kind).tobytes() for i in n], pa.binary())],
                 ["key", "ids", "body"],
             )
 
@@ -62,7 +62,7 @@ def packed(rows: DataFrame, size: int, key: str | None = None, kind: str = "<f8"
         for k in list(held):
             yield block(k)
 
-    return rows.select("id", "v", *([key] if key else [])).mapInArrow(run, "key int, ids binary, body binary")
+    return rows.select("id", "v", *([key] if key else [])).mapInArrow(run, "key long, ids binary, body binary")
 
 
 def unpacked(ids: bytes, body: bytes, kind: str = "<f8") -> tuple[np.ndarray, np.ndarray]:

@@ -30,7 +30,7 @@ def brute_rule(host, path):
     return best
 
 
-def brute_ranks(pages, damping=0.85, rounds=10):
+def brute_ranks(pages, damping=0.85, rounds=300):
     links, seeds = {}, {"trust": {}, "distrust": {}}
     hosts = set()
     for url, html in pages:
@@ -77,11 +77,12 @@ def check_urls(rows, pages):
         host, path = brute_parts(urls[r.page_id])
         rule, says = brute_rule(host, path)
         assert (r.host, r.path, r.rule) == (host, path, rule)
-        assert abs(r.trust - ranks["trust"].get(host, 0)) < 1e-6 and abs(r.distrust - ranks["distrust"].get(host, 0)) < 1e-6
+        trust, distrust = (ranks[k].get(host, 0) for k in ("trust", "distrust"))
+        assert abs(r.trust - trust) < 5e-3 * trust + 1e-9 and abs(r.distrust - distrust) < 5e-3 * distrust + 1e-9
         if says:
             assert r.verdict == says
-        elif abs(r.distrust - r.trust) > 1e-6:
-            assert r.verdict == ("block" if r.distrust > r.trust else "allow")
+        elif abs(distrust - trust) > 1e-2 * trust:
+            assert r.verdict == ("block" if distrust > trust else "allow")
 
 
 def test_op2(spark):
@@ -118,6 +119,17 @@ def test_verdicts_do_not_depend_on_the_number_of_seeds(spark):
         assert set(got.values()) == {"block"} and len(got) == 4
 
 
+def test_a_chain_of_hosts_is_followed_to_its_end(spark):
+    """Against the closed solution: host i of a chain of reversed links gets 0.15 * 0.85^i of the blocked seed's mass."""
+    rows = [(0, "http://h0.example.com/de/1", "")] + [(i, f"http://h{i}.example.com/x", f'<a href="http://h{i - 1}.example.com/">y</a>') for i in range(1, 31)]
+    long = [(99, "http://long.example.com/" + "p/" * 20_000, "<a href='http://h3.example.com'>" * 3000)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows + long, "page_id long, url string, html string")).collect()}
+    assert all(got[i].verdict == "block" for i in range(31)) and got[99].verdict == "block" and len(got[99].path) == 40_001
+    for i in range(31):  # of the links to h3 3000 are from the long page
+        mass = 0.15 * 0.85**i / (1 if i < 4 else 3001)
+        assert abs(got[i].distrust - mass) < 1e-3 * mass + 1e-9
+
+
 def vector_frame(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "'q' as v", "2 as score", "3 as key")
 
@@ -154,6 +166,47 @@ def test_vafile_is_exact(spark, odd_vectors):
     assert vafile.search(none, none).count() == 0 and vafile.search(whole, none).count() == 0
 
 
+def brute_products(data, queries, k=5):
+    clamp = lambda n: max(-(2**63) + 1, min(2**63 - 1, n))
+    return {i: sorted(((j, clamp(sum(a * b for a, b in zip(q, v, strict=True)))) for j, v in data if j != i), key=lambda x: (-x[1], x[0]))[:k] for i, q in queries.items()}
+
+
+@pytest.mark.parametrize("sizes", [(1e7,), (1e12, 1.0), (1e15, 1e15, 1e-3), (1e200, 1e300, 1.0), (1e160, -1e308)])
+def test_vafile_is_exact_on_large_components(spark, sizes):
+    import math
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(rng.choice(sizes) * rng.choice([-1, 1, 1.5, rng.normal()])) for _ in range(3)]) for i in range(120)] + [(200, [1e7, 1.0, 0.0]), (201, [-0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    whole = vafile.whole_numbers(frame, 256.0)
+    largest = 1.7976931348623157e308
+    data = [(i, [math.floor(max(-largest, min(largest, 256 * x))) for x in v]) for i, v in rows]
+    got = {}
+    for r in sorted(vafile.search(whole, whole.filter("id % 50 = 0"), k=5, block=16).collect(), key=lambda r: r.rank):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == brute_products(data, {i: v for i, v in data if i % 50 == 0})
+
+
+def test_scores_past_64_bits_in_small_numbers(spark):
+    rows = [(50, [1e7, 1.0]), (1, [1e7, 2.0]), (2, [-1.0, 3.0]), (3, [2.0, 5.0]), (100, [3e7, -3e7])]
+    whole = vafile.whole_numbers(spark.createDataFrame(rows, "id long, v array<double>"), 256.0)
+    got = [(r.vec_id, r.score) for r in vafile.search(whole, whole.filter("id = 50")).orderBy("rank").collect()]
+    assert got[2:] == [(3, 1_310_720_327_680), (2, -655_359_803_392)] and got[1] == (1, 65536 * (10**14 + 2))
+
+
+def test_bounds_hold_and_prune():
+    rng = np.random.default_rng(8)
+    x = np.floor(rng.normal(size=(3000, 16)) * 256)
+    x[0, 3] = 1e12  # one outlier leaves other cells as they are
+    edges = vafile.cell_edges(x[:500], x.min(0), x.max(0), 6)
+    q = np.floor(rng.normal(size=(10, 16)) * 256)
+    lower, upper = vafile.score_bounds(vafile.cells_of(x, edges), edges, q)
+    exact = q @ x.T
+    assert (lower <= exact).all() and (exact <= upper).all()
+    kth = np.partition(lower, -5, axis=1)[:, -5]
+    assert ((upper >= kth[:, None]).sum(1) < 200).all()
+
+
 def test_op6(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     data = [(r.vec_id, np.floor(256 * np.array(r.embedding, float)).astype(int)) for r in e]
@@ -195,6 +248,26 @@ def test_kmtree(spark, odd_vectors):
     assert kmtree.search(none, none).count() == 0
 
 
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_kmtree_splits_large_leaves(spark, clusters):
+    """Clustered and unclustered vectors, a third of them equal; leaves of 60 rows on three levels."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(clusters, 8)) * 4 if clusters else np.zeros((1, 8))
+    hot = rng.normal(size=8)
+    data = {i: hot if i % 3 == 1 else centres[i % len(centres)] + rng.normal(size=8) for i in range(6000)}
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in data.items()], "id long, v array<double>").repartition(4)
+    rows = kmtree.search(frame, frame.filter("id % 50 = 0"), k=5, fit_sample=600, leaf_rows=60, branch=4, leaf_sample=200, calibration=60, block=64).collect()
+    assert recall(rows, data) >= 0.9
+
+
+def test_kmtree_on_extreme_norms(spark):
+    rng = np.random.default_rng(7)
+    plain = {i: rng.normal(size=5) for i in range(160)}
+    data = {i: v * (1e200 if i % 3 == 0 else 1e-200 if i % 3 == 1 else 1) for i, v in plain.items()}
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in data.items()], "id long, v array<double>")
+    assert recall([r for r in kmtree.search(frame, frame.filter("id % 50 = 0"), k=5).collect()], plain) >= 0.9
+
+
 def test_op7(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     assert recall(op7_kmtree(spark, SF).collect(), {r.vec_id: np.array(r.embedding, float) for r in e}) >= 0.9

@@ -10,9 +10,11 @@ distrust of the result are rounded); its pages that no rule fits get that verdic
 neither reaches are allowed.
 
 All steps are DataFrame expressions: links are counted by (source, target) before anything is joined, an iteration is
-one join and one aggregation, and every fifth is written to the shared folder.
+one join and one aggregation, and every fifth is written to the shared folder. Iteration ends when no host's trust or
+distrust has changed by more than `tolerance` of itself in the last five: so all hosts that links lead to are reached,
+however far and however little arrives (down to 1e-300, some 4,000 links away, which counts as nothing).
 
-Nulls and edge cases: a null url, or one without `://`, has an empty host and path and is allowed unless a rule says
+Nulls and edge cases: equal trust and distrust allow; a rule doesn't fit an url without a path; a null url, or one without `://`, has an empty host and path and is allowed unless a rule says
 otherwise; null pages have no links; repeated rows are judged each and count as seeds each; a null page_id stays; an
 empty table gives no rows; extra columns are ignored.
 """
@@ -71,7 +73,7 @@ def host_links(judged: DataFrame) -> DataFrame:
     return linked.unionByName(own).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 10, cut: int = 5) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, cut: int = 5) -> DataFrame:
     """host, trust, distrust. links: src, dst, weight; seeds: host, trusted, blocked (masses)."""
     links = save(links, "host-links")
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
@@ -83,16 +85,20 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     rank = start
     if not edges.isEmpty():
         base = start.select("kind", "host", (F.col("s") * (1 - damping)).alias("s"))
-        for i in range(rounds):
-            moved = edges.join(rank.select("kind", F.col("host").alias("src"), "s"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("s") * F.col("share") * damping).alias("s"))
-            rank = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("s").alias("s"))
-            if (i + 1) % cut == 0 or i + 1 == rounds:
-                rank = save(rank, "rank")
+        while True:
+            before = rank.select("kind", "host", F.col("s").alias("s0"))
+            for _ in range(cut):
+                moved = edges.join(rank.select("kind", F.col("host").alias("src"), "s"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("s") * F.col("share") * damping).alias("s"))
+                rank = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("s").alias("s")).filter("s > 1e-300")
+            rank = save(rank, "rank")
+            gap = F.abs(F.coalesce("s0", F.lit(0.0)) - F.coalesce("s", F.lit(0.0)))
+            if rank.join(before, ["kind", "host"], "full").filter(gap > tolerance * F.coalesce("s", F.lit(0.0))).isEmpty():
+                break
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("s")).otherwise(0.0)).alias(kind)
     return rank.groupBy("host").agg(of("trust"), of("distrust"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, threshold: float = 0.5, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, threshold: float = 0.5, damping: float = 0.85, tolerance: float = 1e-3) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every page."""
     own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     placed = own.select("page_id", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"), "html")
@@ -100,7 +106,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, threshold: flo
     judged = placed.select("page_id", "host", "path", rule.alias("rule"), says.alias("says"), "html")
     count = lambda v: F.sum(F.when(F.col("says") == v, 1.0).otherwise(0.0))
     seeds = judged.filter("host <> ''").groupBy("host").agg(count("allow").alias("trusted"), count("block").alias("blocked"))
-    ranks = save(propagate(host_links(judged), seeds, damping, rounds), "host-ranks")
+    ranks = save(propagate(host_links(judged), seeds, damping, tolerance), "host-ranks")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     share = F.round(F.try_divide(distrust, trust + distrust), 9)
     method = F.when(share > threshold, "block").otherwise("allow")

@@ -180,9 +180,10 @@ class Scanner:
         joined = b" " + b" ".join(words) + b" "
         places, base = [], set()
         for phrase, label in self.phrases:
-            at = joined.find(phrase)
+            at, before, word = joined.find(phrase), 0, 0
             while at >= 0:
-                places.append(joined.count(b" ", 0, at))
+                word, before = word + joined.count(b" ", before, at), at
+                places.append(word)
                 base.add(label)
                 at = joined.find(phrase, at + 1)
         spans, known = [], None

@@ -10,7 +10,9 @@ Every whole document is then tagged: forward and backward messages are computed
 by a blocked scan over 2 x 2 matrices. A document's score is its largest marginal of the label "toxic"; spans are
 runs of tokens whose marginal gets to 0.5, with character offsets.
 
-Training reads a bounded, documented sample: at most about `most` documents of each label.
+Training reads a bounded, documented sample: at most about `most` documents of each label, and of them `windows` windows of
+`width` tokens at most: up to 4 around labelled tokens of a toxic document, 2 anywhere in a clean one. (Which features
+label tokens is decided on the whole texts of the sample.) Scoring reads whole texts.
 
 Nulls and edge cases: a null or empty text has no tokens and gets score 0; labels that are null aren't used; without
 any toxic (or any clean) training document every score is 0; repeated rows are scored each; columns beside doc_id
@@ -180,7 +182,7 @@ def train_crf(sequences: list[list[bytes]], labels: list[list[int]], steps: int
     return Crf(weights, float(bias), trans, start)
 
 
-def train(toxic: list[list[bytes]], clean: list[list[bytes]], width: int = 48, windows: int = 2500) -> Crf:
+def train(toxic: list[list[bytes]], clean: list[list[bytes]], width: int = 48, windows: int = 5000) -> Crf:
     """toxic, clean: words of the training documents of either label."""
     toxic, clean = distinct_documents(toxic), distinct_documents(clean)
     marks = Memo(marks_of, 100_000)
@@ -202,7 +204,7 @@ def train(toxic: list[list[bytes]], clean: list[list[bytes]], width: int = 48, w
         for a in rng.integers(0, max(1, len(d) - width + 1), 2) if d else ():
             sequences.append(d[a : a + width])
             labels.append([0] * len(sequences[-1]))
-    pick = rng.permutation(len(sequences))[: 2 * windows]
+    pick = rng.permutation(len(sequences))[:windows]
     return train_crf([sequences[i] for i in pick], [labels[i] for i in pick])
 
 
@@ -331,8 +333,9 @@ def tagger(model: Crf):
     return tag
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 2500) -> Crf:
-    """docs: doc_id, text; labels: doc_id, toxic. At most about `most` documents of each label are read.
+def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, width: int = 48, windows: int = 5000) -> Crf:
+    """docs: doc_id, text; labels: doc_id, toxic. At most about `most` documents of each label are read, and at most
+    `windows` windows of `width` tokens from them trained on.
 
     The sample is drawn from the labels; its ids are few and find their texts without a shuffle.
     """
@@ -341,7 +344,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2500) -> Crf:
         ids = bounded_sample(labels.filter(F.col("toxic") == label).select("doc_id"), "doc_id", most)
         rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
         words[label] = [word_bytes(r.text) for r in rows.select("text").toLocalIterator()]
-    return train(words[1], words[0])
+    return train(words[1], words[0], width, windows)
 
 
 def score(docs: DataFrame, model: Crf) -> DataFrame:

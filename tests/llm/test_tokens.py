@@ -89,7 +89,13 @@ def test_op4(spark, odd_docs, no_docs, piece_bpe):
         assert r.decoded_sha256 == hashlib.sha256(piece_bpe.library.decode(ids).encode()).hexdigest()
     back = spm.decode(spm.encode(odd_docs, tokenizer_path(PIECE_BPE)), tokenizer_path(PIECE_BPE)).collect()
     assert {r.doc_id: r.text for r in back} == {k: piece_bpe.library.decode(piece_bpe.library.encode(v)) for k, v in texts.items()}
-    assert op4_sentencepiece(spark, SF).count() == 200
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = op4_sentencepiece(spark, SF).collect()
+    assert len(rows) == len(texts) == 200
+    for r in rows:
+        ids = piece_bpe.library.encode(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(piece_bpe.library.decode(ids).encode()).hexdigest()
 
 
 def check_tokens(rows, docs, bpe, end):

@@ -15,10 +15,12 @@ _own_folder: dict[str, str] = {}
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster shares (`spark.checkpoint.dir`).
 
-    Only where that setting is missing, as in local tests, a temporary folder of this machine stands in.
+    Only where that setting is missing in local mode, as in tests, a temporary folder of this machine stands in.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
         base = _own_folder.setdefault("path", "")
         if not base:
             base = _own_folder["path"] = "file://" + tempfile.mkdtemp(prefix="tessera-")

@@ -448,6 +448,17 @@ def agg_bucket_selector(spark, sf):
     return agg(spark, sf, "customer", spec).withColumn("mean", F.round("mean", 4))
 
 
+@query("agg_significant_terms", "WITH f AS (SELECT o_custkey AS key, count(*) AS doc_count, sum(count(*)) OVER () AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1), b AS (SELECT o_custkey AS key, count(*) AS bg_count, sum(count(*)) OVER () AS n FROM orders GROUP BY 1) SELECT f.key, doc_count, bg_count, round((doc_count / f.n - bg_count / b.n) * (doc_count / f.n) / (bg_count / b.n), 9) AS score FROM f JOIN b ON f.key = b.key WHERE doc_count / f.n > bg_count / b.n ORDER BY (doc_count / f.n - bg_count / b.n) * (doc_count / f.n) / (bg_count / b.n) DESC, f.key LIMIT 20")
+def agg_significant_terms(spark, sf):
+    d = agg(spark, sf, "orders", {"significant_terms": {"field": "o_custkey", "min_doc_count": 1, "size": 20}}, lambda r: r.filter({"term": {"o_orderstatus": "P"}}))
+    return d.withColumn("score", F.round("score", 9))
+
+
+@query("agg_sampler", "SELECT o_orderpriority AS key, count(*) AS doc_count FROM (SELECT * FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 200) GROUP BY 1")
+def agg_sampler(spark, sf):
+    return agg(spark, sf, "orders", {"sampler": {"shard_size": 200}, "aggs": {"p": {"terms": {"field": "o_orderpriority"}}}}, lambda r: r.filter(F1))
+
+
 # -- fetch ------------------------------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ number of buckets. Metrics of the same level share an aggregation.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
@@ -21,9 +22,9 @@ from tessera.plans.compiler import Compiler, every
 from tessera.operators.sorting import sort_keys, tie_breaks
 
 METRICS = {"avg", "sum", "min", "max", "value_count", "stats", "extended_stats", "cardinality", "percentiles", "percentile_ranks", "median_absolute_deviation", "weighted_avg", "geo_bounds", "geo_centroid"}
-BUCKETS = {"terms", "histogram", "date_histogram", "range", "date_range", "filter", "filters", "missing", "global", "nested", "reverse_nested", "composite", "top_hits"}
+BUCKETS = {"terms", "histogram", "date_histogram", "range", "date_range", "filter", "filters", "missing", "global", "nested", "reverse_nested", "composite", "top_hits", "sampler", "significant_terms", "geotile_grid"}
 PIPELINES = {"derivative", "cumulative_sum", "moving_fn", "moving_avg", "serial_diff", "bucket_sort", "bucket_script", "bucket_selector", "avg_bucket", "sum_bucket", "max_bucket", "min_bucket", "stats_bucket"}
-SHIFTS = {"global", "nested", "reverse_nested"}
+SHIFTS = {"global", "nested", "reverse_nested", "sampler"}
 NAMED = {"filters", "filter", "range", "date_range", "missing"}
 PERCENTS = [1, 5, 25, 50, 75, 95, 99]
 #: Calendar units of date histograms.
@@ -72,7 +73,12 @@ def metric_columns(name: str, kind: str, body: Mapping, c: Compiler) -> dict[str
             out |= {f"{name}.sum_of_squares": F.sum(v * v), f"{name}.variance": F.var_pop(v), f"{name}.std_deviation": F.stddev_pop(v)}
         return out
     if kind == "percentiles":
-        return {f"{name}.{p:g}": F.percentile(v, p / 100) for p in map(float, body.get("percents", PERCENTS))}
+        percents = [float(p) for p in body.get("percents", PERCENTS)]
+        wanted = F.array(*[F.lit(p / 100) for p in percents])
+        # one buffer for all; exact ones hold the group's distinct values, a sketch is bounded by its accuracy
+        sketch = body.get("tdigest") or body.get("hdr")
+        found = F.percentile_approx(v, wanted, int(sketch.get("compression", 100)) * 100) if sketch else F.percentile(v, wanted)
+        return {f"{name}.{p:g}": found[i] for i, p in enumerate(percents)}
     if kind == "percentile_ranks":
         return {f"{name}.{x:g}": 100.0 * F.count_if(v <= x) / F.count(v) for x in map(float, body["values"])}
     # median absolute deviation: the group's median is there already (see Aggregator.aggregated)
@@ -107,7 +113,12 @@ class Aggregator:
     def key(self, kind: str, body: Mapping, at: Level) -> tuple[DataFrame, dict[str, Column]]:
         """The rows that a bucket aggregation looks at, and its key columns (one row may be in several buckets)."""
         df, c = at.df, at.compiler
-        if kind == "terms":
+        if kind == "geotile_grid":
+            p, n = c.col(body["field"]), float(2 ** int(body.get("precision", 7)))
+            lat = F.radians(F.least(F.greatest(p["lat"], F.lit(-85.05112878)), F.lit(85.05112878)))
+            cell = lambda part: F.least(F.greatest(F.floor(part * n), F.lit(0.0)), F.lit(n - 1)).cast("long").cast("string")
+            return df.filter(p["lat"].isNotNull()), {"key": F.concat_ws("/", F.lit(str(int(body.get("precision", 7)))), cell((p["lon"] + 180) / 360), cell((1 - F.log(F.tan(lat) + 1 / F.cos(lat)) / math.pi) / 2))}
+        if kind in ("terms", "significant_terms"):
             v = c.script(body["script"]) if "script" in body else c.col(body["field"])
             if "field" in body and (c.is_array(body["field"]) or body["field"] in c.schema.analyzers):
                 many = c.tokens(body["field"]) if body["field"] in c.schema.analyzers else v
@@ -214,6 +225,10 @@ class Aggregator:
         if kind == "nested":
             rows = at.df.select("*", F.explode(at.compiler.col(body["path"])).alias("__e"))
             return Level(rows, Compiler(self.compiler.schema, self.compiler.stats, F.col("__e"), body["path"], self.compiler.flags), at.parents, at.shown)
+        if kind == "sampler":  # the best documents of each parent, by score and then by id
+            order = [F.col("_score").desc_nulls_last(), *[k.order() for k in tie_breaks(at.df, self.id_column)]]
+            place = F.row_number().over(Window.partitionBy(*(at.parents or [F.lit(1)])).orderBy(*order))
+            return Level(at.df.withColumn("__n", place).filter(F.col("__n") <= int(body.get("shard_size", 100))).drop("__n"), at.compiler, at.parents, at.shown)
         plain = Compiler(self.compiler.schema, self.compiler.stats, flags=self.compiler.flags)
         return Level(at.df.dropDuplicates(["_index", "_id", *at.parents]), plain, at.parents, at.shown)
 
@@ -243,7 +258,9 @@ class Aggregator:
             out = self.all_named(kind, body, out, own[0], at)
         if kind in ("histogram", "date_histogram"):
             out = self.filled(kind, body, out, own[0], at.parents)
-        if "min_doc_count" in body:
+        if kind == "significant_terms":
+            out = self.significant(body, out, own[0], df, at)
+        if "min_doc_count" in body and kind != "significant_terms":
             out = out.filter(F.col("doc_count") >= int(body["min_doc_count"]))
         if pipes:
             out = self.piped(pipes, out, own[0], at.parents)
@@ -258,6 +275,22 @@ class Aggregator:
                 out = out.orderBy(*order).limit(size)
         return out, Level(df.drop("__k"), at.compiler, [*at.parents, *own], at.shown | shown)
 
+    def significant(self, body: Mapping, out: DataFrame, key: str, df: DataFrame, at: Level) -> DataFrame:
+        """Terms that are more frequent here than in all documents: doc_count, bg_count and score, the largest first.
+
+        With the shares here and there, score = (here - there) * here / there.
+        """
+        rows, keys = self.key("terms", body, Level(self.everything, at.compiler))
+        behind = rows.groupBy(keys["key"].alias(key)).agg(F.count("*").alias("bg_count"))
+        total = self.everything.agg(F.count("*").alias("__all"))
+        own = at.df.groupBy(*at.parents).agg(F.count("*").alias("__own"))
+        both = out.join(behind, key).join(F.broadcast(total))
+        both = both.join(own, at.parents) if at.parents else both.join(F.broadcast(own))
+        here, there = F.col("doc_count") / F.col("__own"), F.col("bg_count") / F.col("__all")
+        scored = both.withColumn("score", (here - there) * here / there).drop("__all", "__own").filter((F.col("score") > 0) & (F.col("doc_count") >= int(body.get("min_doc_count", 3))))
+        place = F.row_number().over(Window.partitionBy(*(at.parents or [F.lit(1)])).orderBy(F.desc("score"), key))
+        return scored.withColumn("__place", place).filter(F.col("__place") <= int(body.get("size", 10))).orderBy(*at.parents, "__place").drop("__place")
+
     @staticmethod
     def term_order(order: Any, key: str) -> list[Column]:
         out = []
@@ -417,7 +450,8 @@ class Aggregator:
         for r, k in zip(rows, keys, strict=True):
             given = k[len(at.parents) :]
             plain = given[0] if [inner.shown[c].rpartition(".")[2] for c in own] == ["key"] or len(own) == 1 and kind != "composite" else {inner.shown[c].removeprefix(f"{name}.") if at.parents else inner.shown[c]: v for c, v in zip(own, given, strict=True)}
-            b = {"key": plain, "doc_count": r["doc_count"], **metric_tree(metrics, r.asDict(True)), **below.get(k, {})}
+            extra = {c: r[c] for c in ("score", "bg_count") if kind == "significant_terms"}
+            b = {"key": plain, "doc_count": r["doc_count"], **extra, **metric_tree(metrics, r.asDict(True)), **below.get(k, {})}
             if isinstance(plain, datetime):
                 b["key_as_string"] = plain.isoformat()
             buckets.setdefault(k[: len(at.parents)], []).append(b)

@@ -312,6 +312,11 @@ def test_analysis(spark):
     assert one(REGISTRY.resolve("tri", settings), "ABCD") == ["abc", "bcd"]
     with pytest.raises(KeyError):
         REGISTRY.resolve("nothing")
+    sounds = lambda e: REGISTRY.resolve("p", {"analyzer": {"p": {"tokenizer": "standard", "filter": ["lowercase", "f"]}}, "filter": {"f": {"type": "phonetic", "encoder": e}}})
+    assert one(sounds("nysiis"), "Knight Macdonald Phillipson Schmidt Brown Browne Robert") == ["NAGT", "MCDANALD", "FALAPSAN", "SNAD", "BRAN", "BRAN", "RABAD"]
+    assert one(sounds("soundex"), "Robert Rupert") == ["R163", "R163"]
+    with pytest.raises(ValueError):
+        sounds("other")
 
 
 def test_documents_are_stored_with_their_tokens(cities):

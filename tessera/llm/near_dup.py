@@ -7,10 +7,9 @@
 2. Equal word sequences are one class; only its least id goes on.
 3. Signatures are cut into bands; documents that share a band are candidates. Within a bucket, members are compared
    with its hub (whose buckets are the largest: the original of a group of copies), so a large group costs one
-   comparison a member. Where that leaves more than one component in a bucket, members of different components are
-   compared too, all pairs of them: in larger ones than SMALL in blocks, first each block's own members, then those of
-   different blocks with what components are left. A pair of blocks verifies its candidates in one task, skips those
-   that its links have united by then, and gives no more links than unite its members.
+   comparison a member. Where that leaves more than one component in a bucket, links between components are looked
+   for too: in small buckets among all pairs of members, in larger ones by an exact filter on the shingles in which
+   members differ from the core of their group (see _family_pairs), which passes over no pair that reaches the threshold.
 4. A candidate pair passes if its signatures agree in at least `prune` of the slots (five standard deviations below the
    threshold) and J_P of the two whole texts, computed exactly, gets to the threshold.
 5. Links make components: a bounded number of them in one task of an executor, more by alternating large-star and
@@ -33,16 +32,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import save, word_bytes
 
 SHINGLE, BANDS, ROWS, THRESHOLD, PRUNE = 5, 24, 4, 0.8, 0.6
 SLOTS = BANDS * ROWS
-SMALL = 12  # buckets up to this size compare all members of different components at once
-BLOCK = 256  # members of a block of larger ones
-HELD = 4_000_000  # shingles that a pair of blocks keeps at once (64 MB)
+RHO = 1 / THRESHOLD - 1
+EPS = 1e-6  # for rounding, on the side of more candidates
+SMALL = 12  # buckets up to this size compare all members of different components; larger ones give the same links by their families
 FEW = 500_000  # links that one task may follow
 _U = np.uint64
 _STEP = [_U(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -260,8 +259,9 @@ def _buckets(bands: DataFrame) -> DataFrame:
 
 
 def _hubs(members: DataFrame) -> DataFrame:
-    """key, centre: each bucket's member of the largest weight; of equals the one with the least id."""
-    return save(members.groupBy("key").agg((-F.max(F.struct("weight", (-F.col("rep")).alias("r")))["r"]).alias("centre")), "hubs")
+    """key, centre, centre_weight: each bucket's member of the largest weight; of equals the one with the least id."""
+    most = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("m"))
+    return save(most.select("key", (-F.col("m.r")).alias("centre"), F.col("m.weight").alias("centre_weight")), "hubs")
 
 
 def _split(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -277,94 +277,128 @@ def _small_pairs(split: DataFrame) -> DataFrame:
     return a.join(b, "key").filter("a < b and root_a <> root_b").select("a", "b")
 
 
-def _block_pairs(large: DataFrame, reps: DataFrame, own: bool) -> DataFrame:
-    """Candidates of different components in large buckets, of a block's own members or else of two blocks.
+def _bags(used: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """rep, n, u, v, full, light, most of the texts `used` (rep), from x = count / scale of their n distinct shingles.
 
-    Members meet in blocks of about BLOCK. key, i, j: the two blocks; rep, digest, root: a member with candidates there;
-    others: its candidates of larger ids. All pairs whose signatures agree in PRUNE of the slots; one that shares several
-    bands in the first of them alone.
+    The scale, which J_P doesn't depend on, is the count that most of the text has. u and v are sums of min(1, x) and
+    max(0, x - 1); full and light are the shingles of x >= 1 and of x < 1, whose largest x is `most`.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = large.join(reps.select("rep", "digest", "marks"), "rep").select("key", "band", "rep", "digest", "root", "marks", blocks.alias("of"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("i"))
-    lists = [F.collect_list(c).alias(c) for c in ("rep", "digest", "root", "marks")]
-    held = save(placed.groupBy("key", "i").agg(F.max("of").alias("of"), F.max("band").alias("band"), *lists), "blocks")
-    columns = ["key", "i", "j", "band", *(f"{c}_{x}" for x in "ab" for c in ("rep", "digest", "root", "marks"))]
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("rep", "digest", "root", "marks")]
-    if own:
-        met = held.select("key", "i", F.col("i").alias("j"), "band", *side("a"), *side("b")).select(columns)
-    else:
-        left = held.filter("i < of - 1").select("key", "band", "i", F.explode(F.sequence(F.col("i") + 1, F.col("of") - 1)).alias("j"), *side("a"))
-        met = left.join(held.select("key", F.col("i").alias("j"), *side("b")), ["key", "j"]).select(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                key, i, j, band, ra, da, ta, ma, rb, db, tb, mb = (c[at].as_py() for c in batch.columns)
-                x, y = (np.frombuffer(b"".join(m), np.uint32).reshape(-1, BANDS, ROWS) for m in (ma, mb))
-                digests, roots = dict(zip(ra + rb, da + db, strict=True)), dict(zip(ra + rb, ta + tb, strict=True))
-                ra, rb, ta, tb = (np.array(v, np.int64) for v in (ra, rb, ta, tb))
-                others: dict[int, list[int]] = {}
-                for k in range(len(x)):
-                    left = np.flatnonzero((tb != ta[k]) & (rb > ra[k] if own else rb != ra[k]))
-                    same = x[k][None] == y[left]
-                    near = (same.all(2).argmax(1) == band) & (np.count_nonzero(same, axis=(1, 2)) >= PRUNE * SLOTS)
-                    for r in rb[left[near]].tolist():
-                        low, high = sorted((int(ra[k]), r))
-                        others.setdefault(low, []).append(high)
-                        others.setdefault(high, [])
-                if others:
-                    n, ids = len(others), list(others)
-                    yield pa.record_batch(
-                        [pa.array([key] * n, pa.int64()), pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32()), pa.array(ids, pa.int64()), pa.array([digests[r] for r in ids], pa.binary()), pa.array([roots[r] for r in ids], pa.int64()), pa.array([others[r] for r in ids], pa.list_(pa.int64()))],
-                        ["key", "i", "j", "rep", "digest", "root", "others"],
-                    )
-
-    return met.mapInArrow(run, "key long, i int, j int, rep long, digest binary, root long, others array<long>")
-
-
-class _Bags:
-    """Bags of a few hundred texts, made when they are wanted; at most about HELD shingles are kept."""
-
-    def __init__(self, texts: dict[int, str]):
-        self.texts, self.kept, self.held = texts, OrderedDict(), 0
-
-    def __getitem__(self, rep: int) -> tuple[np.ndarray, np.ndarray]:
-        if rep in self.kept:
-            self.kept.move_to_end(rep)
-            return self.kept[rep]
-        bag = self.kept[rep] = shingle_bag(word_bytes(self.texts[rep]))
-        self.held += len(bag[0])
-        while self.held > HELD and len(self.kept) > 1:
-            self.held -= len(self.kept.popitem(last=False)[1][0])
-        return bag
-
-
-def _linked(blocks: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) that unite what the candidates of each pair of blocks unite. blocks: as _block_pairs() gives them."""
-    blocks = save(blocks, "near-blocks")
-    texts = _texts(blocks.select("digest"), reps, docs)
-
-    def run(group: pa.Table) -> pa.Table:
-        ids = group["rep"].to_pylist()
-        texts, others, root = (dict(zip(ids, group[c].to_pylist(), strict=True)) for c in ("text", "others", "root"))
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                out: list[list] = [[] for _ in range(6)]
+                for text in b.column(1).slice(at, 256).to_pylist():
+                    h, counts = shingle_bag(word_bytes(text))
+                    values, often = np.unique(counts, return_counts=True)
+                    x = counts / values[np.argmax(values * often)]
+                    h = h.view(np.int64)
+                    for c, value in enumerate((len(h), float(np.minimum(1, x).sum()), float(np.maximum(0, x - 1).sum()), h[x >= 1], h[x < 1], float(x[x < 1].max(initial=0)))):
+                        out[c].append(value)
+                kinds = [pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.float64()]
+                yield pa.record_batch([b.column(0).slice(at, 256), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["rep", "n", "u", "v", "full", "light", "most"])
+
+    named = reps.join(used.select("rep").distinct(), "rep", "left_semi").select("rep", "digest")
+    texts = _texts(named.select("digest"), reps, docs)
+    return named.join(texts, "digest").select("rep", "text").mapInArrow(run, "rep long, n long, u double, v double, full array<long>, light array<long>, most double")
+
+
+def _families(large: DataFrame, hubs: DataFrame) -> DataFrame:
+    """family, rep, root: any two members of a bucket are in a family together.
+
+    A family is named after a hub: a text is at home with the hub of the largest weight among those of its buckets, and a
+    family holds all buckets with a text that is at home there. So a group of copies is one family, not one a band.
+    """
+    placed = save(large.select("key", "rep").join(hubs, "key"), "placed")
+    home = placed.groupBy("rep").agg((-F.max(F.struct("centre_weight", (-F.col("centre")).alias("r")))["r"]).alias("family"))
+    of = save(placed.select("key", "rep").join(home, "rep").select("key", "family").distinct(), "homes")
+    several = large.select("key", "rep", "root").join(of, "key").select("family", "rep", "root").distinct()
+    return save(several, "families")
 
-        def find(x: int) -> int:
-            while root.get(x, x) != x:
-                x = root[x]
-            return x
-
-        bags, out = _Bags(texts), []
-        for a in sorted(others):
-            for b in others[a]:
-                if (x := find(a)) == (y := find(b)):
-                    continue
-                if probability_jaccard(bags[a], bags[b]) >= THRESHOLD - 1e-12:
-                    root[max(x, y)] = min(x, y)
-                    out.append((a, b))
-        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-    whole = blocks.join(texts, "digest")
-    return save(whole.groupBy("key", "i", "j").applyInArrow(run, "a long, b long"), "links")
+def _family_pairs(families: DataFrame, bags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates (a, b) of different components among the members of each family, and the members' distances from their
+    family's core: family, rep, w, centre (the member of least w).
+
+    The core are the shingles that more than half of a family holds. A member differs from it by what it has besides
+    (own) and what it lacks: its delta, of d elements. With r = 1 / THRESHOLD - 1, c shingles in the core, h of them
+    in the member, and u, v as in _bags(),
+
+        w = u - r v - (2 + r) h + (1 + r / 2) c        (for sets: own + (1 + r) lacking - r c / 2)
+
+    (shingles count min(1, x)).
+    J_P is at most 1 / (1 + outside(a) / inside(a) + outside(b) / inside(b)), the masses of each bag outside and inside the
+    shingles that both hold (its terms are concave). So J_P >= THRESHOLD needs common elements of the deltas whose shares,
+    (1 + r) x in each bag that has one and 1 + r / 2 in each that lacks it, sum to w_a + w_b; and at least
+    (w_a + w_b) / (2 + r) of them. Hence, without comparing all members with all:
+
+    * if w_a + w_b > 0, the pair shares an element among the rarest d - k + 1 of either, k being the least number that
+      the member needs with any other (prefix filter): an equi-join on such elements finds it, and gives only pairs that
+      can share enough beside that element, by its place in either and by how many elements they have that others have too;
+    * else, sets are both linked to the member of least w, which every such member is compared with.
+
+    Bags with repeated shingles may fail the second point; _irregular() finds those.
+    """
+    whole = save(families.join(bags, "rep"), "family-bags")
+    size = whole.groupBy("family").agg(F.count("*").alias("members"))
+    held = whole.select("family", F.explode(F.concat("full", "light")).alias("token")).groupBy("family", "token").agg(F.count("*").alias("df"))
+    core = save(held.join(size, "family").filter(F.col("df") * 2 > F.col("members")).groupBy("family").agg(F.collect_list("token").alias("core")), "cores")
+    none = F.array().cast("array<long>")
+    both = whole.join(core, "family", "left").withColumn("core", F.coalesce("core", none))
+    lacking = F.array_except("core", F.concat("full", "light"))
+    sized = both.select("family", "rep", "root", "n", "u", "v", "most", F.size("core").alias("c"), F.array_except("full", "core").alias("own"), F.array_except("light", "core").alias("light"), lacking.alias("lacking"))
+    w = F.col("u") - RHO * F.col("v") - (2 + RHO) * (F.col("c") - F.size("lacking")) + (1 + RHO / 2) * F.col("c")
+    weighed = sized.select("family", "rep", "root", "c", "own", "light", "most", "lacking", w.alias("w"), (F.size("own") + F.size("light") + F.size("lacking")).alias("d"))
+    deltas = save(weighed.withColumn("loose", F.greatest(F.lit(0.0), F.col("d") - RHO / 2 * F.col("c") - F.col("w"))), "deltas")
+
+    roots = deltas.groupBy("family", "root").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    least = deltas.groupBy("family").agg(F.min(F.struct("w", "rep", "root")).alias("m"), F.max("loose").alias("loosest"))
+    about = save(least.join(roots, "family").select("family", "main", "loosest", F.col("m.w").alias("least_w"), F.col("m.rep").alias("centre"), F.col("m.root").alias("centre_root")), "family-centres")
+    known = deltas.join(about, "family")
+    star = known.filter((F.col("root") != F.col("centre_root")) & (F.col("w") + F.col("least_w") <= EPS)).select(F.col("rep").alias("a"), F.col("centre").alias("b"))
+
+    partner = F.greatest(F.col("least_w"), (F.col("w") - (2 + RHO) * (RHO / 2 * F.col("c") + F.col("loosest"))) / (1 + RHO))
+    k = F.greatest(F.lit(1), F.ceil((F.col("w") + partner) / (2 + RHO) - EPS))
+    element = lambda gone, share: lambda t: F.struct(t.alias("token"), F.lit(gone).alias("gone"), share.alias("share"))
+    kinds = (("own", False, F.lit(1 + RHO)), ("light", False, (1 + RHO) * F.col("most")), ("lacking", True, F.lit(1 + RHO / 2)))
+    elements = F.explode(F.concat(*[F.transform(c, element(gone, share)) for c, gone, share in kinds]))
+    spread = save(known.filter(k <= F.col("d")).select("family", "rep", "root", "main", "w", "d", (F.col("d") - k + 1).alias("prefix"), elements.alias("e")).select("*", "e.token", "e.gone", "e.share").drop("e"), "elements")
+    often = spread.groupBy("family", "token", "gone").agg(F.count("*").alias("df"))
+    # elements that others have too: s of the d; those that only one member has come first and are in no pair
+    ofs = Window.partitionBy("family", "rep")
+    by_rarity = ofs.orderBy("df", "token", "gone")
+    counted = spread.join(often.filter("df > 1"), ["family", "token", "gone"]).withColumns({"s": F.count("*").over(ofs), "all": F.sum("share").over(ofs), "top": F.max("share").over(ofs), "place": F.row_number().over(by_rarity), "sum": F.sum("share").over(by_rarity.rowsBetween(Window.unboundedPreceding, 0))})
+    prefixes = save(counted.filter(F.col("place") <= F.col("prefix") - (F.col("d") - F.col("s"))).drop("prefix", "df", "d"), "prefixes")
+
+    on = ["family", "token", "gone"]
+    side = lambda x: prefixes.select(*on, *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "root", "main", "w", "s", "all", "top", "place", "sum", "share")))
+    met = side("a").filter("root_a <> main_a").join(side("b"), on).filter("root_a <> root_b and (root_b = main_b or rep_a < rep_b)")
+    # what a pair that shares this element can share at most: up to its place, and after it
+    need = (F.col("w_a") + F.col("w_b")) / (2 + RHO) - EPS
+    after = F.least(F.col("s_a") - F.col("place_a"), F.col("s_b") - F.col("place_b"))
+    most = F.least("place_a", "place_b") + after
+    shares = F.least(F.col("all_a"), most * F.col("top_a")) + F.least(F.col("all_b"), most * F.col("top_b"))
+    met = met.filter((need <= most) & (F.col("w_a") + F.col("w_b") - EPS <= shares))
+    last = [F.max(f"{c}_{x}").alias(f"{c}_{x}") for x in "ab" for c in ("place", "sum")]
+    shared = met.groupBy("family", "rep_a", "rep_b", "w_a", "w_b", "s_a", "s_b", "all_a", "all_b").agg(F.count("*").alias("n"), F.sum(F.col("share_a") + F.col("share_b")).alias("shares"), *last)
+    enough = F.col("shares") + F.col("all_a") - F.col("sum_a") + F.col("all_b") - F.col("sum_b") >= F.col("w_a") + F.col("w_b") - EPS
+    found = shared.filter((F.col("n") + after >= need) & enough).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    pairs = star.unionByName(found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs, known.select("family", "rep", "w", "centre", "least_w")
+
+
+def _irregular(weights: DataFrame, roots: DataFrame) -> DataFrame:
+    """rep of bags with repeated shingles that are near their family's core without being linked to its centre."""
+    now = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    near = weights.filter(F.col("w") + F.col("least_w") <= EPS).select("rep", "centre").join(now("rep"), "rep", "left").join(now("centre"), "centre", "left")
+    return save(near.filter(F.coalesce("root_rep", "rep") != F.coalesce("root_centre", "centre")).select("rep").distinct(), "irregular")
+
+
+def _irregular_pairs(left: DataFrame, large: DataFrame) -> DataFrame:
+    """Candidates (a, b): each of `left` with the members of its buckets that are in other components."""
+    keys = large.join(left, "rep", "left_semi").select("key", F.col("rep").alias("x"), F.col("root").alias("root_x"))
+    met = keys.join(large.select("key", "rep", "root"), "key").filter("root <> root_x")
+    return met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -400,11 +434,16 @@ def _classes(docs: DataFrame) -> DataFrame:
     # buckets that hold several components still
     split = _split(members, roots)
     if not split.isEmpty():
-        follow(_verified(_similar(_small_pairs(split).distinct(), reps), reps, docs))
-        for own in (True, False):
-            large = _split(members.filter(F.col("n") > SMALL), roots)
-            if not large.isEmpty():
-                follow(_linked(_block_pairs(large, reps, own), reps, docs))
+        pairs = _small_pairs(split)
+        large = split.filter(F.col("n") > SMALL)
+        weights = None
+        if not large.isEmpty():
+            families = _families(large, hubs)
+            more, weights = _family_pairs(families, save(_bags(families, reps, docs), "bags"))
+            pairs = pairs.unionByName(more)
+        follow(_verified(_similar(pairs.distinct(), reps), reps, docs))
+        if weights is not None and not (left := _irregular(weights, roots)).isEmpty():
+            follow(_verified(_similar(_irregular_pairs(left, _split(members.filter(F.col("n") > SMALL), roots)), reps), reps, docs))
 
     by_root = save(reps.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", "doc", F.coalesce("root", "rep").alias("root")), "classes")
     least = save(by_root.groupBy("root").agg(F.min(F.struct("doc", "digest")).alias("least")), "least").select("root", F.col("least.doc").alias("class_id"), F.col("least.digest").alias("class_digest"))

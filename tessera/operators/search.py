@@ -339,11 +339,20 @@ class Search:
         spec = self.value("suggest")[name]
         return term_suggestions(self.scanned, self.compiler, spec.get("text", (self.value("suggest") or {}).get("text")), spec["term"])
 
+    def profile(self) -> dict:
+        """The page's physical plan, and what its phases took in milliseconds."""
+        run = self.page()._jdf.queryExecution()
+        mode = self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        plan, phases = run.explainString(mode), run.tracker().phases()
+        took = {n: phases.apply(n).durationMs() for n in ("analysis", "optimization", "planning") if phases.contains(n)}
+        return {"plan": plan, "phases": took, "took": round(self.took * 1000)}
+
     def response(self, hits: list[Hit]) -> dict:
         total = self.total() if self.indexes else 0
         best = max((h.data["_score"] for h in hits if h.data["_score"] is not None), default=None) if not self.value("order") or self.value("track_scores") else None
         stop = self.value("terminate_after")
-        return {
+        profile = {"profile": self.profile()} if self.value("profile") and self.indexes else {}
+        return profile | {
             "took": round(self.took * 1000), "timed_out": False, "terminated_early": bool(stop and total >= stop) if stop else None,
             "hits": {"total": {"value": total, "relation": "eq"}, "max_score": best, "hits": [h.data for h in hits]},
             "aggregations": self.aggregations(), "suggest": self.suggestions(),
@@ -351,7 +360,8 @@ class Search:
 
 
 class MultiSearch:
-    """Several requests as one: those that haven't run are run side by side."""
+    """Several requests as one: those that haven't run are run side by side, each on the columns and row groups it needs (a
+    shared copy of the documents would have to hold all that any of them reads)."""
 
     def __init__(self, requests: list):
         self.requests = list(requests)

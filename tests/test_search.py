@@ -215,6 +215,12 @@ def test_stored_analysis(spark, root):
     assert "__tokens_t" in plan
 
 
+def test_profile(products):
+    told = products.filter({"range": {"age": {"gte": 50}}}).profile().response()["profile"]
+    assert "== Physical Plan ==" in told["plan"] and set(told["phases"]) == {"analysis", "optimization", "planning"}
+    assert "profile" not in products.limit(1).response()
+
+
 def test_post_filter_comes_after_aggregations(products):
     r = products.filter({"range": {"age": {"gte": 50}}}).post_filter({"term": {"age": 50}}).aggs({"n": {"value_count": {"field": "age"}}})
     assert r.count() == 1 and r.aggs()["n"]["value"] == 5

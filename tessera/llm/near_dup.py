@@ -42,6 +42,7 @@ SLOTS = BANDS * ROWS
 RHO = 1 / THRESHOLD - 1
 EPS = 1e-6  # for rounding, on the side of more candidates
 SMALL = 12  # buckets up to this size compare all members of different components; larger ones give the same links by their families
+SENT = 1_000_000  # ids that a broadcast may hold (24 MB with digests)
 FEW = 500_000  # links that one task may follow
 _U = np.uint64
 _STEP = [_U(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -148,11 +149,15 @@ def _similar(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(one("b"), "b").join(one("a"), "a").select("a", "b", "digest_a", "digest_b", "marks_a", "marks_b").mapInArrow(run, "a long, b long, digest_a binary, digest_b binary")
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """A saved table of ids (and digests), to be broadcast if there are at most SENT of them; else joins shuffle."""
+    return F.broadcast(ids) if ids.count() <= SENT else ids
+
+
 def _texts(used: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """digest, text of the digests in `used`, each once (rows of other texts may have the same doc_id)."""
     used = save(used.distinct().join(reps.select("digest", F.col("doc").alias("doc_id")), "digest"), "near-ids")
-    few = used.count() <= 1_000_000  # 24 MB as ids and digests; beyond that they're shuffled
-    used = F.broadcast(used) if few else used
+    used = _small(used)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -462,9 +467,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     several = save(found.groupBy("__tessera_id").count().filter("count > 1").select("__tessera_id"), "several")
     kept = save(found.filter("keep").select("__tessera_id", "__tessera_digest").distinct(), "kept")
     words_of = F.pandas_udf(lambda texts: texts.map(lambda t: digest(word_bytes(t))), "binary")
-    named = docs.withColumn("__tessera_id", F.col("doc_id").cast("long")).join(kept.select("__tessera_id").distinct(), "__tessera_id", "left_semi")
-    once = named.join(several, "__tessera_id", "left_anti")
-    again = named.join(several, "__tessera_id", "left_semi").withColumn("__tessera_digest", words_of(F.col("text").cast("string")))
-    again = again.join(kept, ["__tessera_id", "__tessera_digest"], "left_semi").dropDuplicates(["__tessera_id", "__tessera_digest"])
-    rest = docs.filter(F.col("doc_id").cast("long").isNull())
-    return once.select(docs.columns).unionByName(again.select(docs.columns)).unionByName(rest)
+    alone = kept.join(several, "__tessera_id", "left_anti").select("__tessera_id")
+    named = docs.withColumn("__tessera_id", F.col("doc_id").cast("long"))
+    once = named.join(_small(save(alone, "kept-once")), "__tessera_id", "left_semi").select(docs.columns)
+    if not several.isEmpty():
+        again = named.join(_small(several), "__tessera_id", "left_semi").withColumn("__tessera_digest", words_of(F.col("text").cast("string")))
+        again = again.join(kept, ["__tessera_id", "__tessera_digest"], "left_semi").dropDuplicates(["__tessera_id", "__tessera_digest"])
+        once = once.unionByName(again.select(docs.columns))
+    return once.unionByName(docs.filter(F.col("doc_id").cast("long").isNull()))

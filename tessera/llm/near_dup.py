@@ -337,9 +337,11 @@ def _family_pairs(families: DataFrame, bags: DataFrame) -> tuple[DataFrame, Data
     (1 + r) x in each bag that has one and 1 + r / 2 in each that lacks it, sum to w_a + w_b; and at least
     (w_a + w_b) / (2 + r) of them. Hence, without comparing all members with all:
 
-    * if w_a + w_b > 0, the pair shares an element among the rarest d - k + 1 of either, k being the least number that
-      the member needs with any other (prefix filter): an equi-join on such elements finds it, and gives only pairs that
-      can share enough beside that element, by its place in either and by how many elements they have that others have too;
+    * if w_a + w_b > 0, the pair has a first common element, from the rarest on, and all that it shares comes from there on
+      (prefix filter): an equi-join on elements gives only pairs for which what either has from that place on, of elements
+      that other components have too, suffices in number and shares. An element is left out if that is too little with
+      its other holder of least w, and elements with the same holders are one with their shares together, so that a pair
+      with a line in common meets once;
     * else, sets are both linked to the member of least w, which every such member is compared with.
 
     Bags with repeated shingles may fail the second point; _irregular() finds those.
@@ -367,27 +369,33 @@ def _family_pairs(families: DataFrame, bags: DataFrame) -> tuple[DataFrame, Data
     element = lambda gone, share: lambda t: F.struct(t.alias("token"), F.lit(gone).alias("gone"), share.alias("share"))
     kinds = (("own", False, F.lit(1 + RHO)), ("light", False, (1 + RHO) * F.col("most")), ("lacking", True, F.lit(1 + RHO / 2)))
     elements = F.explode(F.concat(*[F.transform(c, element(gone, share)) for c, gone, share in kinds]))
-    spread = save(known.filter(k <= F.col("d")).select("family", "rep", "root", "main", "w", "d", (F.col("d") - k + 1).alias("prefix"), elements.alias("e")).select("*", "e.token", "e.gone", "e.share").drop("e"), "elements")
-    often = spread.groupBy("family", "token", "gone").agg(F.count("*").alias("df"))
-    # elements that others have too: s of the d; those that only one member has come first and are in no pair
-    ofs = Window.partitionBy("family", "rep")
-    by_rarity = ofs.orderBy("df", "token", "gone")
-    counted = spread.join(often.filter("df > 1"), ["family", "token", "gone"]).withColumns({"s": F.count("*").over(ofs), "all": F.sum("share").over(ofs), "top": F.max("share").over(ofs), "place": F.row_number().over(by_rarity), "sum": F.sum("share").over(by_rarity.rowsBetween(Window.unboundedPreceding, 0))})
-    prefixes = save(counted.filter(F.col("place") <= F.col("prefix") - (F.col("d") - F.col("s"))).drop("prefix", "df", "d"), "prefixes")
-
-    on = ["family", "token", "gone"]
-    side = lambda x: prefixes.select(*on, *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "root", "main", "w", "s", "all", "top", "place", "sum", "share")))
-    met = side("a").filter("root_a <> main_a").join(side("b"), on).filter("root_a <> root_b and (root_b = main_b or rep_a < rep_b)")
-    # what a pair that shares this element can share at most: up to its place, and after it
-    need = (F.col("w_a") + F.col("w_b")) / (2 + RHO) - EPS
-    after = F.least(F.col("s_a") - F.col("place_a"), F.col("s_b") - F.col("place_b"))
-    most = F.least("place_a", "place_b") + after
-    shares = F.least(F.col("all_a"), most * F.col("top_a")) + F.least(F.col("all_b"), most * F.col("top_b"))
-    met = met.filter((need <= most) & (F.col("w_a") + F.col("w_b") - EPS <= shares))
-    last = [F.max(f"{c}_{x}").alias(f"{c}_{x}") for x in "ab" for c in ("place", "sum")]
-    shared = met.groupBy("family", "rep_a", "rep_b", "w_a", "w_b", "s_a", "s_b", "all_a", "all_b").agg(F.count("*").alias("n"), F.sum(F.col("share_a") + F.col("share_b")).alias("shares"), *last)
-    enough = F.col("shares") + F.col("all_a") - F.col("sum_a") + F.col("all_b") - F.col("sum_b") >= F.col("w_a") + F.col("w_b") - EPS
-    found = shared.filter((F.col("n") + after >= need) & enough).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    spread = save(known.filter(k <= F.col("d")).select("family", "rep", "root", "main", "w", partner.alias("partner"), elements.alias("e")).select("*", "e.token", "e.gone", "e.share").drop("e"), "elements")
+    often = spread.groupBy("family", "token", "gone").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("rep")).alias("holders"), F.min("root").alias("low"), F.max("root").alias("high"))
+    # elements of one member or one component are in no pair; those that the same members hold (an edit's, a line's) go as one
+    on = ["family", "gone", "df", "holders"]
+    useful = spread.join(often.filter("df > 1 and low <> high").drop("low", "high"), ["family", "token", "gone"])
+    together = useful.groupBy("rep", "root", "main", "w", "partner", *on).agg(F.count("*").alias("times"), F.sum("share").alias("share"))
+    # what a pair whose first common element this is can share at most: `left` elements, of shares `rest` in this member
+    onwards = Window.partitionBy("family", "rep").orderBy("df", "holders", "gone").rowsBetween(0, Window.unboundedFollowing)
+    ranked = together.withColumns({"left": F.sum("times").over(onwards), "rest": F.sum("share").over(onwards)})
+    # so that of the other w <= reach and z <= EPS - z
+    bounded = ranked.withColumns({"reach": (F.col("left") + EPS) * (2 + RHO) - F.col("w"), "z": F.col("w") - F.col("rest")}).filter("reach >= partner")
+    apart = F.col("root") != F.col("main")
+    others = lambda c: F.when(apart, F.min(c).over(Window.partitionBy(*on))).otherwise(F.min(F.when(apart, F.col(c))).over(Window.partitionBy(*on)))
+    met_by = bounded.withColumns({"least_z": others("z"), "low_w": others("w")})
+    prefixes = save(met_by.filter((F.col("z") + F.col("least_z") <= EPS) & (F.col("low_w") <= F.col("reach"))).select(*on, "rep", "root", "main", "w", "times", "share", "left", "rest", "reach", "z"), "prefixes")
+
+    # one of a pair has z <= EPS / 2: 0 is for two of these, 1 and 2 for one as a and as b
+    side = lambda x, alone, other: prefixes.select(
+        *on, *(F.col(c).alias(f"{c}_{x}") for c in prefixes.columns if c not in on), F.explode(F.when(F.col("z") <= EPS / 2, F.array(F.lit(0), F.lit(alone))).otherwise(F.array(F.lit(other)))).alias("meet")
+    )
+    met = side("a", 1, 2).filter("root_a <> main_a").join(side("b", 2, 1), [*on, "meet"]).filter("root_a <> root_b and (root_b = main_b or rep_a < rep_b)")
+    met = met.filter((F.col("w_b") <= F.col("reach_a")) & (F.col("w_a") <= F.col("reach_b")) & (F.col("z_a") + F.col("z_b") <= EPS))
+    # those of a pair's common elements that are left here are its first ones
+    after = F.min(F.least(F.col("left_a") - F.col("times_a"), F.col("left_b") - F.col("times_b"))).alias("after")
+    later = F.min(F.col("rest_a") - F.col("share_a")) + F.min(F.col("rest_b") - F.col("share_b"))
+    shared = met.groupBy("family", "rep_a", "rep_b", "w_a", "w_b").agg(F.sum(F.greatest("times_a", "times_b")).alias("n"), after, (F.sum(F.col("share_a") + F.col("share_b")) + later).alias("shares"))
+    found = shared.filter((F.col("n") + F.col("after") >= (F.col("w_a") + F.col("w_b")) / (2 + RHO) - EPS) & (F.col("shares") >= F.col("w_a") + F.col("w_b") - EPS)).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     pairs = star.unionByName(found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs, known.select("family", "rep", "w", "centre", "least_w")
 

@@ -430,6 +430,37 @@ def test_variants_without_their_original_and_chains_of_edits(spark):
             assert {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()} == expected
 
 
+def joined_rows(plan):
+    """The largest number of rows that a join of an executed plan made."""
+    kind, below = plan.nodeName(), plan.children()
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in kind else [below.apply(i) for i in range(below.size())]
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in kind and plan.metrics().contains("numOutputRows") else 0
+    return max([own, *map(joined_rows, inner)])
+
+
+def test_lines_in_common_meet_once(spark, monkeypatch):
+    """Texts around a passage, each with two of eight lines: those with one in common aren't links, and their common shingles make one row a pair at most."""
+    rng = random.Random(23)
+    new = lambda n: [f"t{rng.randrange(10**9)}" for _ in range(n)]
+    passage, lines = new(100), [new(20) for _ in range(8)]
+    rows = []
+    for i in range(240):
+        x, y = rng.sample(lines, 2)
+        rows.append((i, " ".join(passage + x + new(4) + y + new(4))))
+    made, family_pairs = [], near_dup._family_pairs
+
+    def watched(*args):
+        pairs, weights = family_pairs(*args)
+        pairs.collect()
+        made.append(joined_rows(pairs._jdf.queryExecution().executedPlan()))
+        return pairs, weights
+
+    monkeypatch.setattr(near_dup, "_family_pairs", watched)
+    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute_classes(dict(rows))
+    assert made and made[0] < 240 * 239 / 2  # fewer than pairs
+
+
 def test_links_need_common_elements_of_their_deltas():
     """The bound that _family_pairs() rests on, for random bags and cores."""
     rng = np.random.default_rng(4)

@@ -6,7 +6,9 @@ A block of the file holds cells and, in columns of their own, exact vectors and
 times are one entry with their ids.
 
 1. The scan reads cells alone. For a cell of centre c and half width h, q . x lies within q . c +- |q| . h. A block gives
-   the entries whose upper bound gets to its k-th lower bound.
+   the entries whose upper bound gets to the query's k-th score among the sampled rows, found first; a product in single
+   precision, with a margin for its rounding, rules out most. Where that tells too little, those that get to the block's
+   k-th lower bound.
 2. Entries below the k-th lower bound of all blocks are out. Of the others, each query reads the exact vectors of the
    best few by upper bound; then those whose upper bound gets to the k-th exact score so far. No entry beyond
    them can be among the k best, ties included: the result is certain.
@@ -83,6 +85,36 @@ def score_bounds(cells: np.ndarray, edges: np.ndarray, queries: np.ndarray) -> t
     return lower, upper
 
 
+def least_scores(ids: np.ndarray, x: np.ndarray, asker: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+    """What each query's k-th score is at least, by the rows (ids, x) but its own; -inf if they don't tell."""
+    if len(ids) < k:
+        return np.full(len(asker), -np.inf)
+    with np.errstate(over="ignore", invalid="ignore"):
+        scores = q @ x.T
+        unknown = ~np.isfinite(scores).all(1)
+        scores[ids[None, :] == asker[:, None]] = -np.inf
+        kth = np.partition(scores, -k, axis=1)[:, -k] - np.abs(q) @ np.abs(x).max(0) * x.shape[1] * 2.0**-50
+    return np.where(unknown | ~np.isfinite(kth), -np.inf, np.clip(kth, -(2.0**63), 2.0**63))
+
+
+def sides(cells: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and half widths of entries, in single precision."""
+    at = np.arange(cells.shape[1])[None, :]
+    return tuple(((edges[:, 1:] + sign * edges[:, :-1]) / 2).astype("f4")[at, cells] for sign in (1, -1))
+
+
+def reaching(mid: np.ndarray, half: np.ndarray, edges: np.ndarray, queries: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ...]:
+    """query, entry, lower and upper bound of those whose upper bound gets to `least`, for moderate values. mid, half: sides().
+
+    Products are in single precision; the margin is over twice what their rounding can come to.
+    """
+    margin = np.abs(queries) @ np.abs(edges).max(1) * (4 * queries.shape[1] + 64) * 2.0**-23 + np.abs(least) * 1e-6 + 1e-6
+    near, slack = queries.astype("f4") @ mid.T, np.abs(queries).astype("f4") @ half.T
+    i, j = np.nonzero(near + slack >= (least - margin).astype("f4")[:, None])
+    near, slack = near[i, j].astype(float), slack[i, j].astype(float) + 2 * margin[i]
+    return i, j, near - slack, near + slack
+
+
 def entries_of(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct vectors, ids, and where each vector's ids start; of a vector only the ids that can be needed.
 
@@ -145,22 +177,31 @@ def _read(wanted: DataFrame, file: DataFrame, asked: DataFrame) -> DataFrame:
 def search(rows: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, block: int = 4096, query_block: int = 256, sample: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score. rows, queries: id, v (whole numbers as doubles, of one length).
 
-    sample: how many rows, about, the bounds of the cells are taken from.
+    sample: how many rows, about, the bounds of the cells and each query's first least score are taken from.
     """
     spark = rows.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    some = [r.v for r in bounded_sample(rows, "id", sample, seed=9).select("v").collect()] or [r.v for r in rows.select("v").limit(1).collect()]
+    some = bounded_sample(rows, "id", sample, seed=9).select("id", "v").collect() or rows.select("id", "v").limit(1).collect()
     if not some:
         return empty
-    low, high = bounds_of(rows, len(some[0]))
-    edges = cell_edges(np.array(some, float), low, high, bits)
+    some_ids, some_x = np.array([r.id for r in some]), np.array([r.v for r in some], float)
+    low, high = bounds_of(rows, some_x.shape[1])
+    edges = cell_edges(some_x, low, high, bits)
+    largest = float(np.abs(edges).max())
 
     asked = save(queries.groupBy("id").agg(F.min("v").alias("v")).withColumnRenamed("id", "query_id"), "va-asked")
     n = asked.count()
     if not n:
         return empty
     by_block = packed(asked.withColumnRenamed("query_id", "id").repartition(max(1, n // query_block)), query_block)
-    query_blocks = save(by_block.select(F.col("ids").alias("q_ids"), F.col("body").alias("q_body")), "va-queries", "none")
+
+    def started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, body in zip(b.column(0), b.column(1), strict=True):
+                least = least_scores(some_ids, some_x, *unpacked(ids.as_py(), body.as_py()), k)
+                yield pa.record_batch([pa.array([ids.as_py()], pa.binary()), pa.array([body.as_py()], pa.binary()), pa.array([least.tobytes()], pa.binary())], ["q_ids", "q_body", "q_least"])
+
+    query_blocks = save(by_block.select("ids", "body").mapInArrow(started, "q_ids binary, q_body binary, q_least binary"), "va-queries", "none")
 
     def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
@@ -177,24 +218,37 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, block
     copied = query_blocks.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, entries = None, None
         for b in batches:
-            for number, cells, ids, starts, q_ids, q_body in zip(*(b.column(i) for i in range(6)), strict=True):
+            for number, cells, ids, starts, q_ids, q_body, q_least in zip(*(b.column(i) for i in range(7)), strict=True):
                 at, own = np.frombuffer(starts.as_py(), "<i4"), np.frombuffer(ids.as_py(), "<i8")
                 asker, q = unpacked(q_ids.as_py(), q_body.as_py())
-                lower, upper = score_bounds(np.frombuffer(cells.as_py(), "u1").reshape(len(at) - 1, -1), edges, q)
+                least = np.frombuffer(q_least.as_py(), "<f8")
+                cell = np.frombuffer(cells.as_py(), "u1").reshape(len(at) - 1, -1)
                 # entries with no other id than the query's are none of its candidates
-                single = np.flatnonzero(own[at[:-1]] == own[at[1:] - 1])
-                mine = own[at[:-1]][single][None, :] == asker[:, None]
-                lower[:, single] = np.where(mine, -np.inf, lower[:, single])
-                upper[:, single] = np.where(mine, -np.inf, upper[:, single])
-                kth = np.partition(lower, -k, axis=1)[:, -k] if lower.shape[1] > k else np.full(len(asker), -np.inf)
-                i, j = np.nonzero((upper >= kth[:, None]) & (upper > -np.inf))
+                single = own[at[:-1]] == own[at[1:] - 1]
+                most = float(np.abs(q).max())
+                if max(most, largest) < 1e15 and most * largest * q.shape[1] < 2.0**62 and np.isfinite(least).all():
+                    if held != number.as_py():
+                        held, entries = number.as_py(), sides(cell, edges)
+                    i, j, lower, upper = reaching(*entries, edges, q, least)
+                    other = ~(single[j] & (own[at[:-1]][j] == asker[i]))
+                    i, j, lower, upper = i[other], j[other], lower[other], upper[other]
+                else:
+                    lower, upper = score_bounds(cell, edges, q)
+                    alone = np.flatnonzero(single)
+                    mine = own[at[:-1]][alone][None, :] == asker[:, None]
+                    lower[:, alone] = np.where(mine, -np.inf, lower[:, alone])
+                    upper[:, alone] = np.where(mine, -np.inf, upper[:, alone])
+                    kth = np.partition(lower, -k, axis=1)[:, -k] if lower.shape[1] > k else np.full(len(asker), -np.inf)
+                    i, j = np.nonzero((upper >= np.maximum(kth, least)[:, None]) & (upper > -np.inf))
+                    lower, upper = lower[i, j], upper[i, j]
                 yield pa.record_batch(
-                    [pa.array(asker[i]), pa.array([number.as_py()] * len(i), pa.int64()), pa.array(j, pa.int32()), pa.array(lower[i, j]), pa.array(upper[i, j])],
+                    [pa.array(asker[i]), pa.array([number.as_py()] * len(i), pa.int64()), pa.array(j, pa.int32()), pa.array(lower), pa.array(upper)],
                     ["query_id", "block", "entry", "lower", "upper"],
                 )
 
-    found = save(dealt.join(copied, "g").select("block", "cells", "ids", "starts", "q_ids", "q_body").mapInArrow(scan, BOUNDS), "va-bounds")
+    found = save(dealt.join(copied, "g").select("block", "cells", "ids", "starts", "q_ids", "q_body", "q_least").mapInArrow(scan, BOUNDS), "va-bounds")
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lower")))).filter(F.col("n") <= k)
     kth = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("lower")).otherwise(float("-inf")).alias("least"))
     left = save(found.join(kth, "query_id").filter(F.col("upper") >= F.col("least")).drop("least", "lower"), "va-left")

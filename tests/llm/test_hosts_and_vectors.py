@@ -207,6 +207,30 @@ def test_bounds_hold_and_prune():
     assert ((upper >= kth[:, None]).sum(1) < 200).all()
 
 
+def test_blocks_give_few_entries_to_queries_that_have_a_first_score(spark, monkeypatch):
+    """Vectors without clusters, some of them several times, in blocks: what the scan gives isn't some entries of every block."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 16))
+    x[5000:5100] = x[100:200]
+    x[5100:5200] = x[50]
+    whole = vafile.whole_numbers(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3), 256.0)
+    given, save = {}, vafile.save
+
+    def counted(df, name, *args):
+        saved = save(df, name, *args)
+        given[name] = saved.count()
+        return saved
+
+    monkeypatch.setattr(vafile, "save", counted)
+    got = {}
+    for r in sorted(vafile.search(whole, whole.filter("id % 50 = 0"), k=5, block=100).collect(), key=lambda r: r.rank):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    v = np.floor(256 * x).astype(int)
+    products = v @ v[::50].T
+    assert got == {i: sorted(((j, int(products[j, i // 50])) for j in range(6000) if j != i), key=lambda p: (-p[1], p[0]))[:5] for i in range(0, 6000, 50)}
+    assert given["va-bounds"] < 120 * 60 * 5 / 2  # queries, blocks, half of the k entries that each block has
+
+
 def test_op6(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     data = [(r.vec_id, np.floor(256 * np.array(r.embedding, float)).astype(int)) for r in e]

@@ -3,18 +3,19 @@
 Each component of a vector of whole numbers is replaced by the number of its cell: `bits` bits a component, with cell
 bounds at quantiles of a bounded sample (any bounds give right results) and the component's least and largest value outside.
 A block of the file holds cells and, in columns of their own, exact vectors and ids; vectors that a block holds several
-times are one entry with their ids.
+times are one entry with their ids. Rows are dealt by a hash of their vector and lie in its order, so that equal ones
+share a block or a few.
 
-1. The scan reads cells alone. For a cell of centre c and half width h, q . x lies within q . c +- |q| . h. A block gives
-   the entries whose upper bound gets to the query's k-th score among the sampled rows, found first; a product in single
-   precision, with a margin for its rounding, rules out most. Where that tells too little, those that get to the block's
-   k-th lower bound.
-2. Entries below the k-th lower bound of all blocks are out. Of the others, each query reads the exact vectors of the
-   best few by upper bound; then those whose upper bound gets to the k-th exact score so far. No entry beyond
-   them can be among the k best, ties included: the result is certain.
+1. Cells tell which entries can matter. For a cell of centre c and half width h, q . x lies within q . c +- |q| . h. Those
+   are left whose upper bound gets to the query's least score: at first its k-th among the sampled rows, found before, later
+   its k-th exact score so far. A product in single precision, with a margin for its rounding, rules out most. Where that
+   tells too little, those are left that get to the k-th lower bound of 4,096 entries.
+2. Exact vectors are read of the entries that are left. No other can be among the k best, ties included: the result is
+   certain.
 
-Queries come in blocks, too. Every block of queries meets every block of rows once, by an equi-join on a group number
-that is dealt to rows' blocks and of which queries' blocks get a copy for each group.
+Queries come in blocks, too. Blocks of rows are dealt to groups, a partition each, and every group gets a copy of all
+queries by the shuffle. A task holds its group (up to some `group` blocks), passes the queries along it and gives k
+scores a query. There are as many copies as groups, not as blocks, and nothing that grows with the rows is broadcast.
 
 Scores are exact integers, whatever the size of the components; beyond 64 bits they count as the largest (least) such
 number. Vectors whose bounds overflow a double are read exactly instead.
@@ -27,20 +28,22 @@ rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_sample, save
-from tessera.llm.vectors import matrix, packed, top, unpacked
+from tessera.llm.vectors import packed, top, unpacked
 
 MOST = (1 << 63) - 1
+#: Queries that a task passes along its group at a time, entries that they meet at a time, exact vectors read at a time.
+TOGETHER, STRETCH, READ = 1024, 4096, 1 << 15
 FILE = "block long, cells binary, exact binary, ids binary, starts binary"
-BOUNDS = "query_id long, block long, entry int, lower double, upper double"
+FOUND = "query_id long, vec_id long, score long"
 
 
 def whole_numbers(rows: DataFrame, scale: float) -> DataFrame:
@@ -97,22 +100,74 @@ def least_scores(ids: np.ndarray, x: np.ndarray, asker: np.ndarray, q: np.ndarra
     return np.where(unknown | ~np.isfinite(kth), -np.inf, np.clip(kth, -(2.0**63), 2.0**63))
 
 
-def sides(cells: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Centres and half widths of entries, in single precision."""
+def sides(cells: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Entries in single precision: the centres of their cells, the half widths, and 1."""
     at = np.arange(cells.shape[1])[None, :]
-    return tuple(((edges[:, 1:] + sign * edges[:, :-1]) / 2).astype("f4")[at, cells] for sign in (1, -1))
+    parts = [((edges[:, 1:] + sign * edges[:, :-1]) / 2).astype("f4")[at, cells] for sign in (1, -1)]
+    return np.concatenate([*parts, np.ones((len(cells), 1), "f4")], 1)
 
 
-def reaching(mid: np.ndarray, half: np.ndarray, edges: np.ndarray, queries: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ...]:
-    """query, entry, lower and upper bound of those whose upper bound gets to `least`, for moderate values. mid, half: sides().
+def reaching(cells: np.ndarray, edges: np.ndarray, queries: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """query, entry of those whose upper bound gets to `least`, for moderate values.
 
-    Products are in single precision; the margin is over twice what their rounding can come to.
+    One product in single precision gives how far upper bounds are above `least`; the margin is over twice what rounding can come to.
     """
-    margin = np.abs(queries) @ np.abs(edges).max(1) * (4 * queries.shape[1] + 64) * 2.0**-23 + np.abs(least) * 1e-6 + 1e-6
-    near, slack = queries.astype("f4") @ mid.T, np.abs(queries).astype("f4") @ half.T
-    i, j = np.nonzero(near + slack >= (least - margin).astype("f4")[:, None])
-    near, slack = near[i, j].astype(float), slack[i, j].astype(float) + 2 * margin[i]
-    return i, j, near - slack, near + slack
+    size = np.abs(queries)
+    margin = (size @ np.abs(edges).max(1) + np.abs(least)) * (4 * queries.shape[1] + 64) * 2.0**-23 + 1e-6
+    above = np.concatenate([queries, size, (margin - least)[:, None]], 1).astype("f4") @ sides(cells, edges).T
+    return np.divmod(np.flatnonzero(above.ravel() >= 0), len(cells))
+
+
+def left(cells: np.ndarray, edges: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int, mine: Callable[[slice], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """query, entry of those that can matter, whatever the values. mine: which entries are no candidates of a stretch of queries."""
+    most, largest = float(np.abs(queries).max()), float(np.abs(edges).max())
+    if max(most, largest) < 1e15 and most * largest * queries.shape[1] < 2.0**62 and np.isfinite(least).all():
+        return reaching(cells, edges, queries, least)
+    found = []
+    for n in range(0, len(queries), 256):
+        some = slice(n, n + 256)
+        lower, upper = score_bounds(cells, edges, queries[some])
+        own = mine(some)
+        lower[own] = upper[own] = -np.inf
+        kth = np.partition(lower, -k, axis=1)[:, -k] if lower.shape[1] > k else np.full(len(lower), -np.inf)
+        i, j = np.nonzero((upper >= np.maximum(kth, least[some])[:, None]) & (upper > -np.inf))
+        found.append((i + n, j))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+class Group:
+    """Blocks of rows as one: cells, exact vectors and ids of their entries."""
+
+    def __init__(self, blocks: list[tuple[np.ndarray, ...]], edges: np.ndarray):
+        cells, exact, ids, starts = zip(*blocks, strict=True)
+        self.cells, self.exact, self.ids, self.edges = np.concatenate(cells), np.concatenate(exact), np.concatenate(ids), edges
+        before = np.cumsum([0, *(len(i) for i in ids)])
+        self.begin = np.concatenate([s[:-1] + n for s, n in zip(starts, before[:-1], strict=True)])
+        self.count = np.concatenate([np.diff(s) for s in starts])
+        self.single = self.ids[self.begin] == self.ids[self.begin + self.count - 1]
+
+    def best(self, asker: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """query, id, score of each query's k best; `least`: what scores get to at least."""
+        least, of, ids, scores = least.copy(), *(np.zeros(0, np.int64) for _ in range(3))
+        for n in range(0, len(self.cells), STRETCH):
+            single, first = self.single[n : n + STRETCH], self.ids[self.begin[n : n + STRETCH]]
+            i, j = left(self.cells[n : n + STRETCH], self.edges, queries, least, k, lambda some, single=single, first=first: single & (first == asker[some, None]))
+            for m in range(0, len(i), READ):
+                a, b = i[m : m + READ], j[m : m + READ] + n
+                score = inner_products(self.exact[b].astype(float), queries[a])
+                good = score >= least[a]
+                a, b, score = a[good], b[good], score[good]
+                count = self.count[b]
+                at = np.repeat(self.begin[b] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                a, score, own = np.repeat(a, count), np.repeat(score, count), self.ids[at]
+                other = own != asker[a]
+                of, ids, scores = np.concatenate([of, a[other]]), np.concatenate([ids, own[other]]), np.concatenate([scores, score[other]])
+                order = np.lexsort((ids, -scores, of))
+                of, ids, scores = of[order], ids[order], scores[order]
+                nth = np.arange(len(of)) - np.searchsorted(of, of)
+                of, ids, scores, nth = of[nth < k], ids[nth < k], scores[nth < k], nth[nth < k]
+                least[of[nth == k - 1]] = np.maximum(least[of[nth == k - 1]], scores[nth == k - 1])
+        return of, ids, scores
 
 
 def entries_of(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,50 +189,31 @@ def entries_of(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return x[first], ids[keep], starts
 
 
-def inner_products(x: np.ndarray, q: np.ndarray) -> list[int]:
+def narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in two bytes each, where all of a block fit, else as doubles."""
+    return (x.astype("<i2") if np.abs(x).max(initial=0) < 1 << 15 else x.astype("<f8")).tobytes()
+
+
+def vectors_of(body: bytes, n: int, dims: int) -> np.ndarray:
+    """n vectors of narrow()."""
+    return np.frombuffer(body, "<i2" if len(body) == 2 * n * dims else "<f8").reshape(n, dims)
+
+
+def inner_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Exact inner products of rows of whole numbers."""
     most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
     if most < 2**53:
-        return (x * q).sum(1).astype(np.int64).tolist()
+        return (x * q).sum(1).astype(np.int64)
     if most < 2**62 and max(np.abs(x).max(), np.abs(q).max()) < 2**62:
-        return (x.astype(np.int64) * q.astype(np.int64)).sum(1).tolist()
-    return [max(-MOST, min(MOST, sum(int(a) * int(b) for a, b in zip(r.tolist(), s.tolist(), strict=True)))) for r, s in zip(x, q, strict=True)]
+        return (x.astype(np.int64) * q.astype(np.int64)).sum(1)
+    return np.array([max(-MOST, min(MOST, sum(int(a) * int(b) for a, b in zip(r.tolist(), s.tolist(), strict=True)))) for r, s in zip(x, q, strict=True)], np.int64)
 
 
-def _read(wanted: DataFrame, file: DataFrame, asked: DataFrame) -> DataFrame:
-    """query_id, vec_id, score of entries (query_id, block, entry), by their exact vectors."""
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, entries, exact, ids, starts in zip(*(b.column(i) for i in range(5)), strict=True):
-                rows, at = np.array(entries.as_py(), np.int64), np.frombuffer(starts.as_py(), "<i4")
-                x, own = np.frombuffer(exact.as_py(), "<f8").reshape(len(at) - 1, -1), np.frombuffer(ids.as_py(), "<i8")
-                yield pa.record_batch(
-                    [pa.array([block.as_py()] * len(rows), pa.int64()), pa.array(rows, pa.int32()), pa.array(list(x[rows]), pa.list_(pa.float64())), pa.array([own[at[r] : at[r + 1]] for r in rows], pa.list_(pa.int64()))],
-                    ["block", "entry", "x", "ids"],
-                )
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                asker, x, q = b.column(0).to_numpy(), matrix(b.column(1)), matrix(b.column(2))
-                lists = b.column(3)
-                n = np.diff(lists.offsets.to_numpy())
-                asker, ids, points = np.repeat(asker, n), lists.flatten().to_numpy(), np.repeat(np.array(inner_products(x, q), np.int64), n)
-                other = asker != ids
-                yield pa.record_batch([pa.array(asker[other]), pa.array(ids[other]), pa.array(points[other])], ["query_id", "vec_id", "score"])
-
-    needed = wanted.groupBy("block").agg(F.collect_set("entry").alias("entries"))  # at most a block's entries
-    read = file.select("block", "exact", "ids", "starts").join(needed, "block").select("block", "entries", "exact", "ids", "starts")
-    vectors = read.mapInArrow(pick, "block long, entry int, x array<double>, ids array<long>")
-    met = wanted.select("query_id", "block", "entry").join(vectors, ["block", "entry"]).join(asked, "query_id")
-    return save(met.select("query_id", "x", "v", "ids").mapInArrow(score, "query_id long, vec_id long, score long"), "va-scores")
-
-
-def search(rows: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, block: int = 4096, query_block: int = 256, sample: int = 4096) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, block: int = 4096, query_block: int = 256, sample: int = 4096, group: int = 128) -> DataFrame:
     """query_id, rank, vec_id, score. rows, queries: id, v (whole numbers as doubles, of one length).
 
     sample: how many rows, about, the bounds of the cells and each query's first least score are taken from.
+    group: how many blocks of rows a task holds, about, if there are more of them than tasks.
     """
     spark = rows.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -185,78 +221,69 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, bits: int = 6, block
     if not some:
         return empty
     some_ids, some_x = np.array([r.id for r in some]), np.array([r.v for r in some], float)
-    low, high = bounds_of(rows, some_x.shape[1])
+    dims, tasks = some_x.shape[1], 3 * spark.sparkContext.defaultParallelism
+    low, high = bounds_of(rows, dims)
     edges = cell_edges(some_x, low, high, bits)
-    largest = float(np.abs(edges).max())
 
     asked = save(queries.groupBy("id").agg(F.min("v").alias("v")).withColumnRenamed("id", "query_id"), "va-asked")
     n = asked.count()
     if not n:
         return empty
-    by_block = packed(asked.withColumnRenamed("query_id", "id").repartition(max(1, n // query_block)), query_block)
+    by_block = packed(asked.withColumnRenamed("query_id", "id").repartition(max(1, min(n // query_block, tasks))), query_block)
 
     def started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, body in zip(b.column(0), b.column(1), strict=True):
-                least = least_scores(some_ids, some_x, *unpacked(ids.as_py(), body.as_py()), k)
-                yield pa.record_batch([pa.array([ids.as_py()], pa.binary()), pa.array([body.as_py()], pa.binary()), pa.array([least.tobytes()], pa.binary())], ["q_ids", "q_body", "q_least"])
+                asker, q = unpacked(ids.as_py(), body.as_py())
+                parts = [asker.tobytes(), narrow(q), least_scores(some_ids, some_x, asker, q, k).tobytes()]
+                yield pa.record_batch([pa.array([p], pa.binary()) for p in parts], ["ids", "body", "more"])
 
-    query_blocks = save(by_block.select("ids", "body").mapInArrow(started, "q_ids binary, q_body binary, q_least binary"), "va-queries", "none")
+    query_blocks = save(by_block.select("ids", "body").mapInArrow(started, "ids binary, body binary, more binary"), "va-queries", "snappy")
 
     def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
         for b in batches:
             for ids, body in zip(b.column(0), b.column(1), strict=True):
                 x, own, starts = entries_of(*unpacked(ids.as_py(), body.as_py()), k)
-                parts = [cells_of(x, edges).tobytes(), x.tobytes(), own.astype("<i8").tobytes(), starts.astype("<i4").tobytes()]
+                parts = [cells_of(x, edges).tobytes(), narrow(x), own.astype("<i8").tobytes(), starts.astype("<i4").tobytes()]
                 yield pa.record_batch([pa.array([number], pa.int64()), *(pa.array([p], pa.binary()) for p in parts)], ["block", "cells", "exact", "ids", "starts"])
                 number += 1
 
-    file = save(packed(rows, block).select("ids", "body").mapInArrow(approximate, FILE), "va-file", "none")
-    groups = max(1, min(4096, file.count()))
-    dealt = file.select("cells", "ids", "starts", "block").withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    copied = query_blocks.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    dealt = rows.select("id", "v", F.xxhash64("v").alias("h")).hint("rebalance", F.col("h")).sortWithinPartitions("h")
+    file = save(packed(dealt, block).select("ids", "body").mapInArrow(approximate, FILE), "va-file", "snappy")
+    blocks = file.count()
+    groups = max(1, -(-blocks // group), min(blocks, tasks))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, entries = None, None
+        """A group's blocks of rows come first, then blocks of queries, which have no cells."""
+        held: list[tuple[np.ndarray, ...]] = []
+        waiting: list[tuple[np.ndarray, ...]] = []
+        whole: Group | None = None
+
+        def passed() -> pa.RecordBatch:
+            nonlocal whole
+            whole = whole or Group(held, edges)
+            held.clear()
+            asker, q, least = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            waiting.clear()
+            of, ids, scores = whole.best(asker, q.astype(float), least, k)
+            return pa.record_batch([pa.array(asker[of]), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
+
         for b in batches:
-            for number, cells, ids, starts, q_ids, q_body, q_least in zip(*(b.column(i) for i in range(7)), strict=True):
-                at, own = np.frombuffer(starts.as_py(), "<i4"), np.frombuffer(ids.as_py(), "<i8")
-                asker, q = unpacked(q_ids.as_py(), q_body.as_py())
-                least = np.frombuffer(q_least.as_py(), "<f8")
-                cell = np.frombuffer(cells.as_py(), "u1").reshape(len(at) - 1, -1)
-                # entries with no other id than the query's are none of its candidates
-                single = own[at[:-1]] == own[at[1:] - 1]
-                most = float(np.abs(q).max())
-                if max(most, largest) < 1e15 and most * largest * q.shape[1] < 2.0**62 and np.isfinite(least).all():
-                    if held != number.as_py():
-                        held, entries = number.as_py(), sides(cell, edges)
-                    i, j, lower, upper = reaching(*entries, edges, q, least)
-                    other = ~(single[j] & (own[at[:-1]][j] == asker[i]))
-                    i, j, lower, upper = i[other], j[other], lower[other], upper[other]
-                else:
-                    lower, upper = score_bounds(cell, edges, q)
-                    alone = np.flatnonzero(single)
-                    mine = own[at[:-1]][alone][None, :] == asker[:, None]
-                    lower[:, alone] = np.where(mine, -np.inf, lower[:, alone])
-                    upper[:, alone] = np.where(mine, -np.inf, upper[:, alone])
-                    kth = np.partition(lower, -k, axis=1)[:, -k] if lower.shape[1] > k else np.full(len(asker), -np.inf)
-                    i, j = np.nonzero((upper >= np.maximum(kth, least)[:, None]) & (upper > -np.inf))
-                    lower, upper = lower[i, j], upper[i, j]
-                yield pa.record_batch(
-                    [pa.array(asker[i]), pa.array([number.as_py()] * len(i), pa.int64()), pa.array(j, pa.int32()), pa.array(lower), pa.array(upper)],
-                    ["query_id", "block", "entry", "lower", "upper"],
-                )
-
-    found = save(dealt.join(copied, "g").select("block", "cells", "ids", "starts", "q_ids", "q_body", "q_least").mapInArrow(scan, BOUNDS), "va-bounds")
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lower")))).filter(F.col("n") <= k)
-    kth = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("lower")).otherwise(float("-inf")).alias("least"))
-    left = save(found.join(kth, "query_id").filter(F.col("upper") >= F.col("least")).drop("least", "lower"), "va-left")
-
-    in_order = Window.partitionBy("query_id").orderBy(F.desc("upper"), "block", "entry")
-    first = save(left.withColumn("n", F.row_number().over(in_order)).filter(F.col("n") <= 2 * k), "va-first")
-    scores = _read(first, file, asked)
-    certain = top(scores, k, "long").groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-    more = left.join(first.select("query_id", "block", "entry"), ["query_id", "block", "entry"], "left_anti").join(certain, "query_id", "left").filter("kth is null or upper >= kth")
-    more = save(more.drop("kth"), "va-more")
-    return top(scores if more.isEmpty() else scores.unionByName(_read(more, file, asked)), k, "long")
+            for cells, ids, body, more in zip(*(b.column(i) for i in range(4)), strict=True):
+                own, body = np.frombuffer(ids.as_py(), "<i8"), body.as_py()
+                if cells.is_valid:
+                    starts = np.frombuffer(more.as_py(), "<i4").astype(np.int64)
+                    n = len(starts) - 1
+                    held.append((np.frombuffer(cells.as_py(), "u1").reshape(n, -1), vectors_of(body, n, dims), own, starts))
+                elif held or whole:
+                    waiting.append((own, vectors_of(body, len(own), dims), np.frombuffer(more.as_py(), "<f8")))
+                    if sum(len(w[0]) for w in waiting) >= TOGETHER:
+                        yield passed()
+        if waiting:
+            yield passed()
+
+    per_block = file.select("cells", "ids", F.col("exact").alias("body"), F.col("starts").alias("more"), F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("g"))
+    copies = query_blocks.select(F.lit(None).cast("binary").alias("cells"), "ids", "body", "more", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    met = per_block.unionByName(copies).repartitionById(groups, F.col("g")).sortWithinPartitions(F.col("cells").isNull())
+    return top(save(met.select("cells", "ids", "body", "more").mapInArrow(scan, FOUND), "va-bounds"), k, "long")

@@ -231,6 +231,32 @@ def test_blocks_give_few_entries_to_queries_that_have_a_first_score(spark, monke
     assert given["va-bounds"] < 120 * 60 * 5 / 2  # queries, blocks, half of the k entries that each block has
 
 
+def test_queries_are_copied_for_groups_and_never_broadcast(spark, monkeypatch):
+    """Small blocks, so that there are many; vectors repeated under shifted ids."""
+    rng = np.random.default_rng(14)
+    base = rng.normal(size=(150, 8))
+    x = base[np.arange(6000) % 150]
+    whole = vafile.whole_numbers(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3), 256.0)
+    plans, given, save = [], {}, vafile.save
+
+    def looked_at(df, name, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        saved = save(df, name, *args)
+        given[name] = saved.count()
+        return saved
+
+    monkeypatch.setattr(vafile, "save", looked_at)
+    found = vafile.search(whole, whole.filter("id % 50 = 0"), k=5, block=20, query_block=10)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r.rank):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    v = np.floor(256 * x).astype(int)
+    products = v @ v[::50].T
+    assert got == {i: sorted(((j, int(products[j, i // 50])) for j in range(6000) if j != i), key=lambda p: (-p[1], p[0]))[:5] for i in range(0, 6000, 50)}
+    assert not any("Broadcast" in p for p in [*plans, found._jdf.queryExecution().executedPlan().toString()])
+    assert given["va-bounds"] <= 120 * 5 * 3 * spark.sparkContext.defaultParallelism  # queries, k, groups
+
+
 def test_op6(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     data = [(r.vec_id, np.floor(256 * np.array(r.embedding, float)).astype(int)) for r in e]

@@ -126,12 +126,14 @@ class Index:
     def analysed(self, folder: str, files: int | None = None) -> Index:
         """This index over a copy of its documents, stored in `folder` with their tokens and the terms' statistics.
 
-        files: how many to write, at least; by default as many as the documents are read in.
+        files: how many to deal the documents to, if a file's share in reading is over four times as large; they are shuffled only then.
         """
-        df = self.with_tokens(self.documents())
-        if files is not None and df.rdd.getNumPartitions() < files:
-            df = self.with_tokens(self.documents().repartition(files))
-        df.write.parquet(f"{folder}/documents")
+        docs = self.documents()
+        if files is not None:
+            read = [r["count"] for r in docs.groupBy(F.spark_partition_id()).count().collect()]  # no column is read for it
+            if sum(read) and max(read) * files > 4 * sum(read):
+                docs = docs.repartition(files, self.id_column, *[p for p in self.analyzers if p in docs.columns])  # by keys: rows dealt in turn are sorted first
+        self.with_tokens(docs).write.option("compression", "zstd").parquet(f"{folder}/documents")
         out = copy.copy(self)
         out._frame = lambda: self.spark.read.parquet(f"{folder}/documents")
         out._terms = Terms(self.spark, folder)

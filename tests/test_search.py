@@ -273,3 +273,16 @@ def test_plans_prune_and_push(spark, tmp_path):
     plan = i.filter({"term": {"a": 3}}).source("a").order("id").frame()._jdf.queryExecution().toString()
     scan = next(line for line in plan.splitlines() if "FileScan parquet" in line)
     assert "EqualTo(a,3)" in plan and "struct<id:bigint,a:bigint>" in scan and "TakeOrderedAndProject" in plan
+
+
+def test_analysed_documents_are_dealt_anew_only_if_they_lie_unevenly(spark, root, monkeypatch):
+    rows = [(i, f"word{i} the fox") for i in range(400)]
+    frame = spark.createDataFrame(rows, "id int, t string")
+    frame.repartition(12).write.parquet(f"{root}/even")
+    frame.coalesce(1).write.parquet(f"{root}/single")
+    repartition, dealt = type(frame).repartition, []
+    monkeypatch.setattr(type(frame), "repartition", lambda self, *a: dealt.append(a) or repartition(self, *a))
+    for name, n in (("even", 0), ("single", 1)):
+        own = Index(name, frame=lambda name=name: spark.read.parquet(f"{root}/{name}"), id_column="id", text={"t": "standard"}).analysed(f"{root}/own-{name}", files=12)
+        assert len(dealt) == n and found(own.query({"match": {"t": "word7 word9"}})) == [7, 9]
+        assert own.documents().count() == 400 and (name == "even" or dealt[0][1:] == ("id", "t"))

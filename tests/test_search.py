@@ -285,4 +285,5 @@ def test_analysed_documents_are_dealt_anew_only_if_they_lie_unevenly(spark, root
     for name, n in (("even", 0), ("single", 1)):
         own = Index(name, frame=lambda name=name: spark.read.parquet(f"{root}/{name}"), id_column="id", text={"t": "standard"}).analysed(f"{root}/own-{name}", files=12)
         assert len(dealt) == n and found(own.query({"match": {"t": "word7 word9"}})) == [7, 9]
+        assert found(own.query({"match_phrase": {"t": "Word9 the"}})) == [9]
         assert own.documents().count() == 400 and (name == "even" or dealt[0][1:] == ("id", "t"))
